@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from peptora.llm import simhash
+from peptora.llm import packing, simhash, substring, urlrules
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op4_packing": packing.op4_packing,
+    "op7_substring": substring.op7_substring,
+    "op8_url_rules": urlrules.op8_url_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op8_url_rules": urlrules.OP8_SQL,
+}
