@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from peptora.llm import packing, simhash, substring, urlrules
+from peptora.llm import lzprint, ogg, packing, quality, simhash, substring, toxicity, urlrules
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_quality": quality.op2_quality,
+    "op3_ogg": ogg.op3_ogg,
     "op4_packing": packing.op4_packing,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_fingerprint": lzprint.op6_fingerprint,
     "op7_substring": substring.op7_substring,
     "op8_url_rules": urlrules.op8_url_rules,
 }
