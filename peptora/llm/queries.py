@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from peptora.llm import lzprint, ogg, packing, quality, simhash, substring, toxicity, urlrules
+from peptora.llm import lmscore, lzprint, ogg, packing, pieces, quality, simhash, substring, toxicity, urlrules
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -13,6 +13,8 @@ QUERIES = {
     "op6_fingerprint": lzprint.op6_fingerprint,
     "op7_substring": substring.op7_substring,
     "op8_url_rules": urlrules.op8_url_rules,
+    "op9_lm_scoring": lmscore.op9_lm_scoring,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 
 ORACLE_SQL = {
