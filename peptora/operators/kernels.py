@@ -52,18 +52,17 @@ def entropies(x: np.ndarray, length: int = SEG_WINDOW) -> np.ndarray:
     return -(p * np.log2(p, out=np.zeros_like(p), where=p > 0)).sum(axis=0)
 
 
-LOG_FACTORIAL = np.array([math.lgamma(k + 1) for k in range(21)])
+LOG = np.log(np.maximum(np.arange(21), 1))
+LOG_FACTORIAL = np.cumsum(LOG)
 
 
 def log_probability(counts: np.ndarray, length: int, factorial: np.ndarray) -> np.ndarray:
     """ln of the chance of each composition (20 x windows): its arrangements and the ways to name it, over all strings."""
-    alike = np.zeros((counts.shape[1],))
-    ordered = np.sort(counts, axis=0)
-    same = np.ones(counts.shape[1], np.int64)
-    for k in range(1, 21):  # groups of residues with one count, zeros included, may trade names
-        more = (ordered[k] == ordered[k - 1]) if k < 20 else np.zeros(len(same), bool)
-        alike -= np.where(more, 0.0, LOG_FACTORIAL[same])
-        same = np.where(more, same + 1, 1)
+    ordered = np.sort(np.ascontiguousarray(counts.T, np.int32), axis=1)
+    alike, same = np.zeros(len(ordered)), np.ones(len(ordered), np.int64)
+    for k in range(1, 20):  # groups of residues with one count, zeros included, may trade names: n ones give n!
+        same = np.where(ordered[:, k] == ordered[:, k - 1], same + 1, 1)
+        alike -= LOG[same]
     return LOG_FACTORIAL[20] + alike + factorial[length] - factorial[counts].sum(axis=0) - length * math.log(20)
 
 

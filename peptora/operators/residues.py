@@ -9,6 +9,7 @@ exact in any order.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -173,15 +174,19 @@ def disordered_runs(table: DataFrame, least: int = 5) -> DataFrame:
 def window_entropy(table: DataFrame, length: int = SEG_WINDOW) -> DataFrame:
     """Adds entropy (bits) of the residues in the window that starts here; null where it doesn't fit.
 
-    Only the 20 residues count; a window without any has entropy 0. Twenty sums share one sort.
+    Only the 20 residues count; a window without any has entropy 0. Counts are differences of
+    running sums, which share one sort.
     """
-    ahead = BY_POSITION.rowsBetween(0, length - 1)
-    counts = [F.sum((F.col("aa") == a).cast("long")).over(ahead) for a in RESIDUES]
-    got = table.select("*", F.array(*counts).alias("_counts"))
-    total = F.aggregate("_counts", F.lit(0).cast("long"), lambda a, c: a + c)
-    part = lambda a, c: F.when(c > 0, a - c.cast("double") / F.col("_total") * F.log2(c.cast("double") / F.col("_total"))).otherwise(a)
-    got = got.withColumn("_total", total).withColumn("entropy", F.when(F.col("pos") + length <= F.col("n"), F.aggregate("_counts", F.lit(0.0), part)))
-    return got.drop("_counts", "_total")
+    so_far = BY_POSITION.rowsBetween(Window.unboundedPreceding, 0)
+    got = table.select("*", *[F.sum((F.col("aa") == a).cast("long")).over(so_far).alias(f"_{a}") for a in RESIDUES])
+    within = lambda c: (F.lead(c, length - 1).over(BY_POSITION) - F.coalesce(F.lag(c, 1).over(BY_POSITION), F.lit(0))).cast("double")
+    got = got.select(*table.columns, *[within(f"_{a}").alias(f"_{a}") for a in RESIDUES])
+    total = reduce(lambda x, y: x + y, [F.col(f"_{a}") for a in RESIDUES])
+    got = got.withColumn("_total", total)
+    share = lambda a: F.col(f"_{a}") / F.col("_total")
+    bits = reduce(lambda x, y: x + y, [F.when(F.col(f"_{a}") > 0, share(a) * F.log2(share(a))).otherwise(0.0) for a in RESIDUES])
+    got = got.withColumn("entropy", F.when(F.col("pos") + length <= F.col("n"), -bits))
+    return got.drop("_total", *[f"_{a}" for a in RESIDUES])
 
 
 def low_complexity(table: DataFrame, length: int = SEG_WINDOW, low: float = SEG_LOW, high: float = SEG_HIGH) -> DataFrame:
@@ -235,7 +240,8 @@ def spread_average(table: DataFrame, value: str, widths: tuple[int, ...] = (20,
     for w in widths:
         fits = (F.col("pos") >= w // 2) & (F.col("pos") + (w - w // 2) <= F.col("n"))
         out = out.withColumn("_m", F.when(fits, F.avg(value).over(BY_POSITION.rowsBetween(-(w // 2), w - w // 2 - 1))))
-        behind = F.first("_m", ignorenulls=True).over(BY_POSITION.rowsBetween(0, Window.unboundedFollowing))
+        # Backwards, as a frame up to the end would be summed anew for every row.
+        behind = F.last("_m", ignorenulls=True).over(Window.partitionBy("acc").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0))
         before = F.last("_m", ignorenulls=True).over(BY_POSITION.rowsBetween(Window.unboundedPreceding, 0))
         out = out.withColumn(f"avg_{w}", F.coalesce("_m", before, behind)).drop("_m")
     return out
