@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from peptora.functions.tables import COEFFICIENTS100, CORE, FOLD_C, FOLD_H, FOLD_R, FOLD_WINDOW, HYDROPATHY10, LENGTH_COEFFICIENT, NORMALISATION, PROFILE_RADIUS, SCALE_NAMES, SCALES100, SEG_HIGH, SEG_LOW, SEG_WINDOW, RESIDUES, granule10000
 
-BY_POSITION = Window.partitionBy("acc").orderBy("pos")
+
+def by_position() -> Window:
+    return Window.partitionBy("acc").orderBy("pos")
 
 
 def residues(sequences: DataFrame) -> DataFrame:
@@ -33,7 +35,7 @@ def valued(scale: Mapping[str, float], aa: str = "aa") -> Column:
 
 
 def around(radius: int) -> Window:
-    return BY_POSITION.rowsBetween(-radius, radius)
+    return by_position().rowsBetween(-radius, radius)
 
 
 def width(radius: int) -> Column:
@@ -114,7 +116,7 @@ def sliding_average(table: DataFrame, value: str, window: int, weighted: bool =
 
 def proline_once(value: Column) -> Column:
     """0 for a proline right behind or one behind another, so that PP and PxP count once."""
-    again = (F.col("aa") == "P") & ((F.coalesce(F.lag("aa", 1).over(BY_POSITION), F.lit("")) == "P") | (F.coalesce(F.lag("aa", 2).over(BY_POSITION), F.lit("")) == "P"))
+    again = (F.col("aa") == "P") & ((F.coalesce(F.lag("aa", 1).over(by_position()), F.lit("")) == "P") | (F.coalesce(F.lag("aa", 2).over(by_position()), F.lit("")) == "P"))
     return F.when(again, 0).otherwise(value)
 
 
@@ -123,7 +125,7 @@ def best_window(table: DataFrame, value: Column, length: int, shorter: bool) ->
 
     ``shorter``: a protein under that length is one window; else it has none (null).
     """
-    ahead = BY_POSITION.rowsBetween(0, length - 1)
+    ahead = by_position().rowsBetween(0, length - 1)
     fits = F.col("pos") + length <= F.col("n")
     fits = fits | ((F.col("n") < length) & (F.col("pos") == 0)) if shorter else fits
     got = table.withColumn("_v", value).withColumn("_sum", F.when(fits, F.sum("_v").over(ahead)))
@@ -135,17 +137,17 @@ def best_window(table: DataFrame, value: Column, length: int, shorter: bool) ->
 
 def best_subarray(table: DataFrame, value: Column) -> DataFrame:
     """acc, best: the greatest sum over any stretch: prefix sums less their least so far."""
-    running = BY_POSITION.rowsBetween(Window.unboundedPreceding, 0)
+    running = by_position().rowsBetween(Window.unboundedPreceding, 0)
     got = table.withColumn("_sum", F.sum(value).over(running))
-    before = F.least(F.coalesce(F.min("_sum").over(BY_POSITION.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.lit(0))
+    before = F.least(F.coalesce(F.min("_sum").over(by_position().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.lit(0))
     return got.withColumn("_best", F.col("_sum") - before).groupBy("acc").agg(F.max("_best").alias("best"))
 
 
 def runs(table: DataFrame, state: Column) -> DataFrame:
     """acc, n, first, last (excluded), size: maximal stretches where ``state`` holds."""
     got = table.withColumn("_in", F.coalesce(state, F.lit(False)))
-    start = F.col("_in") & ~F.coalesce(F.lag("_in").over(BY_POSITION), F.lit(False))
-    got = got.withColumn("_run", F.sum(start.cast("long")).over(BY_POSITION.rowsBetween(Window.unboundedPreceding, 0))).where("_in")
+    start = F.col("_in") & ~F.coalesce(F.lag("_in").over(by_position()), F.lit(False))
+    got = got.withColumn("_run", F.sum(start.cast("long")).over(by_position().rowsBetween(Window.unboundedPreceding, 0))).where("_in")
     return got.groupBy("acc", "n", "_run").agg(F.min("pos").cast("long").alias("first"), (F.max("pos") + 1).cast("long").alias("last")).drop("_run").withColumn("size", F.col("last") - F.col("first"))
 
 
@@ -177,9 +179,9 @@ def window_entropy(table: DataFrame, length: int = SEG_WINDOW) -> DataFrame:
     Only the 20 residues count; a window without any has entropy 0. Counts are differences of
     running sums, which share one sort.
     """
-    so_far = BY_POSITION.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = by_position().rowsBetween(Window.unboundedPreceding, 0)
     got = table.select("*", *[F.sum((F.col("aa") == a).cast("long")).over(so_far).alias(f"_{a}") for a in RESIDUES])
-    within = lambda c: (F.lead(c, length - 1).over(BY_POSITION) - F.coalesce(F.lag(c, 1).over(BY_POSITION), F.lit(0))).cast("double")
+    within = lambda c: (F.lead(c, length - 1).over(by_position()) - F.coalesce(F.lag(c, 1).over(by_position()), F.lit(0))).cast("double")
     got = got.select(*table.columns, *[within(f"_{a}").alias(f"_{a}") for a in RESIDUES])
     total = reduce(lambda x, y: x + y, [F.col(f"_{a}") for a in RESIDUES])
     got = got.withColumn("_total", total)
@@ -195,8 +197,8 @@ def low_complexity(table: DataFrame, length: int = SEG_WINDOW, low: float = SEG_
     # An entropy is a sum of shares; a margin under any gap between its values keeps the comparison free of rounding.
     got = window_entropy(table, length).withColumn("_in", F.col("entropy") <= high + 1e-9)
     got = got.withColumn("_in", F.coalesce("_in", F.lit(False)))
-    start = F.col("_in") & ~F.coalesce(F.lag("_in").over(BY_POSITION), F.lit(False))
-    got = got.withColumn("_run", F.sum(start.cast("long")).over(BY_POSITION.rowsBetween(Window.unboundedPreceding, 0))).where("_in")
+    start = F.col("_in") & ~F.coalesce(F.lag("_in").over(by_position()), F.lit(False))
+    got = got.withColumn("_run", F.sum(start.cast("long")).over(by_position().rowsBetween(Window.unboundedPreceding, 0))).where("_in")
     found = got.groupBy("acc", "n", "_run").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.min("entropy").alias("least")).where(F.col("least") <= low + 1e-9)
     # A window stands at its middle: it covers down residues before and up - 1 behind.
     spans = found.select("acc", "n", F.col("lo").cast("long").alias("first"), (F.col("hi") + down + up).cast("long").alias("last"))
@@ -214,10 +216,10 @@ def merge_spans(spans: DataFrame) -> DataFrame:
 
 def core_domains(table: DataFrame, state: Column, value: Column, length: int = CORE) -> DataFrame:
     """acc, core, core_first, domain, domain_first, domain_last: the best window inside stretches of ``state``, and its stretch's sum."""
-    ahead = BY_POSITION.rowsBetween(0, length - 1)
+    ahead = by_position().rowsBetween(0, length - 1)
     got = table.withColumn("_in", F.coalesce(state, F.lit(False))).withColumn("_v", value)
-    start = F.col("_in") & ~F.coalesce(F.lag("_in").over(BY_POSITION), F.lit(False))
-    got = got.withColumn("_run", F.sum(start.cast("long")).over(BY_POSITION.rowsBetween(Window.unboundedPreceding, 0)))
+    start = F.col("_in") & ~F.coalesce(F.lag("_in").over(by_position()), F.lit(False))
+    got = got.withColumn("_run", F.sum(start.cast("long")).over(by_position().rowsBetween(Window.unboundedPreceding, 0)))
     inside = (F.min(F.col("_in").cast("int")).over(ahead) == 1) & (F.col("pos") + length <= F.col("n"))
     got = got.withColumn("_core", F.when(inside, F.sum("_v").over(ahead)))
     best = got.where("_core is not null").groupBy("acc").agg(F.max(F.struct("_core", (-F.col("pos")).alias("back"), "_run")).alias("best"))
@@ -239,17 +241,17 @@ def spread_average(table: DataFrame, value: str, widths: tuple[int, ...] = (20,
     out = table
     for w in widths:
         fits = (F.col("pos") >= w // 2) & (F.col("pos") + (w - w // 2) <= F.col("n"))
-        out = out.withColumn("_m", F.when(fits, F.avg(value).over(BY_POSITION.rowsBetween(-(w // 2), w - w // 2 - 1))))
+        out = out.withColumn("_m", F.when(fits, F.avg(value).over(by_position().rowsBetween(-(w // 2), w - w // 2 - 1))))
         # Backwards, as a frame up to the end would be summed anew for every row.
         behind = F.last("_m", ignorenulls=True).over(Window.partitionBy("acc").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0))
-        before = F.last("_m", ignorenulls=True).over(BY_POSITION.rowsBetween(Window.unboundedPreceding, 0))
+        before = F.last("_m", ignorenulls=True).over(by_position().rowsBetween(Window.unboundedPreceding, 0))
         out = out.withColumn(f"avg_{w}", F.coalesce("_m", before, behind)).drop("_m")
     return out
 
 
 def letter_counts(table: DataFrame, k: int = 1) -> DataFrame:
     """gram, count over all proteins for words of ``k`` neighbouring residues."""
-    gram = F.concat(F.col("aa"), *[F.lead("aa", j).over(BY_POSITION) for j in range(1, k)])
+    gram = F.concat(F.col("aa"), *[F.lead("aa", j).over(by_position()) for j in range(1, k)])
     return table.select(gram.alias("gram")).where("gram is not null").groupBy("gram").agg(F.count("*").alias("count"))
 
 

@@ -260,8 +260,8 @@ def trigrams(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("d04_normalisation", f"""
-WITH {RES}, raw AS (SELECT acc, avg(score) + 0.25 * ln(n{D}) AS raw FROM v_w GROUP BY acc, n)
-SELECT organism, round(avg(raw), 6) AS mean, round(stddev_pop(raw), 6) AS sd, count(raw) AS scored, count(*) FILTER (WHERE raw IS NULL) AS skipped FROM v_seq LEFT JOIN raw USING (acc) GROUP BY organism""")
+WITH {RES}, r AS (SELECT acc, avg(score) + 0.25 * ln(n{D}) AS x FROM v_w GROUP BY acc, n)
+SELECT organism, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd, count(x) AS scored, count(*) FILTER (WHERE x IS NULL) AS skipped FROM v_seq LEFT JOIN r USING (acc) GROUP BY organism""")
 def normalisation(spark: SparkSession, d: str) -> DataFrame:
     s = sequences(spark, d)
     got = s.select("acc", "organism").join(R.protein_scores(s).select("acc", "raw"), "acc", "left")
@@ -272,14 +272,14 @@ def _summary_sql(radii: tuple[int, ...]) -> str:
     scales = ",\n".join(_values(f"t_{n}", {a: row[k] for a, row in SCALES100.items()}) for k, n in enumerate(SCALE_NAMES))
     names = [(n, r) for r in radii for n in SCALE_NAMES]
     means = ", ".join(f"{over(r, f'sum({n})')}{D} / (least(pos, {r}) + least(n - 1 - pos, {r}) + 1) / 100.0{D} AS {n}{r}" for n, r in names)
-    aggs = ", ".join(f"round(avg({x}), 6) AS {x}_mean, round(quantile_cont({x}, 0.25), 6) AS {x}_q25, round(quantile_cont({x}, 0.5), 6) AS {x}_q50, round(quantile_cont({x}, 0.75), 6) AS {x}_q75, round(stddev_pop({x}), 6) AS {x}_sd" for x in (f"{n}{r}" for n, r in names))
+    aggs = ", ".join(f"round(avg({x}), 9) AS {x}_mean, round(quantile_cont({x}, 0.25), 9) AS {x}_q25, round(quantile_cont({x}, 0.5), 9) AS {x}_q50, round(quantile_cont({x}, 0.75), 9) AS {x}_q75, round(stddev_pop({x}), 6) AS {x}_sd" for x in (f"{n}{r}" for n, r in names))
     return f"WITH {SEQ}, {scales}, v_res0 AS (SELECT acc, length(seq) AS n, unnest(range(length(seq))) AS pos, unnest(string_split(seq, '')) AS aa FROM v_seq), s AS (SELECT acc, n, pos, {', '.join(f't_{n}.v AS {n}' for n in SCALE_NAMES)} FROM v_res0 " + " ".join(f"JOIN t_{n} USING (aa)" for n in SCALE_NAMES) + f"), m AS (SELECT acc, {means} FROM s) SELECT acc, {aggs} FROM m GROUP BY acc"
 
 
 @query("d05_window_summaries", _summary_sql((7,)))
 def window_summaries(spark: SparkSession, d: str) -> DataFrame:
     got = R.window_summaries(residue_table(spark, d), (7,))
-    return got.select("acc", *[r6(c).alias(c) for c in got.columns if c != "acc"])
+    return got.select("acc", *[F.round(c, 6 if c.endswith("_sd") else 9).alias(c) for c in got.columns if c != "acc"])
 
 
 @query("d06_profile_statistics", f"WITH {PROFILE} SELECT acc, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, " + ", ".join(f"round(quantile_cont(value, {p}), 6) AS q{round(100 * p):02d}" for p in (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)) + ", round(min(value), 6) AS low, round(max(value), 6) AS high, round(avg((value > 0)::INT), 6) AS positive, round(coalesce(avg(value) FILTER (WHERE value > 0), 0), 6) AS strength FROM v_prof GROUP BY acc")
