@@ -8,8 +8,8 @@ exact in any order.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -176,19 +176,19 @@ def disordered_runs(table: DataFrame, least: int = 5) -> DataFrame:
 def window_entropy(table: DataFrame, length: int = SEG_WINDOW) -> DataFrame:
     """Adds entropy (bits) of the residues in the window that starts here; null where it doesn't fit.
 
-    Only the 20 residues count; a window without any has entropy 0. Counts are differences of
-    running sums, which share one sort.
+    Only the 20 residues count; a window without any has entropy 0. Letters are counted
+    in the window's own short string, which one frame gathers.
     """
-    so_far = by_position().rowsBetween(Window.unboundedPreceding, 0)
-    got = table.select("*", *[F.sum((F.col("aa") == a).cast("long")).over(so_far).alias(f"_{a}") for a in RESIDUES])
-    within = lambda c: (F.lead(c, length - 1).over(by_position()) - F.coalesce(F.lag(c, 1).over(by_position()), F.lit(0))).cast("double")
-    got = got.select(*table.columns, *[within(f"_{a}").alias(f"_{a}") for a in RESIDUES])
-    total = reduce(lambda x, y: x + y, [F.col(f"_{a}") for a in RESIDUES])
-    got = got.withColumn("_total", total)
-    share = lambda a: F.col(f"_{a}") / F.col("_total")
-    bits = reduce(lambda x, y: x + y, [F.when(F.col(f"_{a}") > 0, share(a) * F.log2(share(a))).otherwise(0.0) for a in RESIDUES])
-    got = got.withColumn("entropy", F.when(F.col("pos") + length <= F.col("n"), -bits))
-    return got.drop("_total", *[f"_{a}" for a in RESIDUES])
+    window = F.array_join(F.collect_list("aa").over(by_position().rowsBetween(0, length - 1)), "")
+    # With T residues counted c each: log2 T - sum of c log2 c / T, the products from a table.
+    products = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(length + 1)])
+    total = F.length(F.regexp_replace("_w", f"[^{RESIDUES}]", ""))
+    # A fold over the letters, not 20 terms: long expressions make methods that the JVM leaves uncompiled.
+    count = lambda a: F.length("_w") - F.length(F.replace(F.col("_w"), a, F.lit("")))
+    summed = F.aggregate(F.array(*map(F.lit, RESIDUES)), F.lit(0.0), lambda x, a: x + F.get(products, count(a)))
+    got = table.withColumn("_w", window).select("*", summed.alias("_sum"), total.alias("_total"))
+    bits = F.when(F.col("_total") > 0, F.log2(F.col("_total")) - F.col("_sum") / F.col("_total")).otherwise(0.0)
+    return got.withColumn("entropy", F.when(F.col("pos") + length <= F.col("n"), bits)).drop("_w", "_sum", "_total")
 
 
 def low_complexity(table: DataFrame, length: int = SEG_WINDOW, low: float = SEG_LOW, high: float = SEG_HIGH) -> DataFrame:
