@@ -9,7 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch: texts are long, and a task's batches stand in memory on both sides.
+BATCH = 500
+
+
+def bound_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,6 +53,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def bodies(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and the text's UTF-8 bytes (null text: empty), then the named columns."""
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body"), *more)
 
 

@@ -38,8 +38,11 @@ NONE = -math.inf
 #: Characters from which a text is scanned in chunks, of a chunk, and chunks of a block.
 GIANT, CHUNK, BLOCK = 1 << 15, 1 << 14, 64
 STEP = 1 / 256
+LATIN, MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", ".,!?;:%$&#*|"
 UNKNOWN_PENALTY = 10.0
-MEMO = 400_000
+MEMO = 300_000
+#: Texts of an Arrow batch that are answered together.
+PART = 256
 
 
 def public_model(name: str = "piece_bpe_32k.model") -> str:
@@ -74,13 +77,21 @@ class PieceModel:
                 self.bytes[k] = piece.replace(SPACE, " ").encode()
         self.unknown = min(s for s, _ in self.score.values()) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.score))
-        self.begun = {w[:k] for w in self.score for k in range(1, len(w))}
-        # Where no piece crosses, texts may be cut: before a space behind another character, and around a line end.
+        begun = {w[:k] for w in self.score for k in range(1, len(w))}
+        #: Pieces and beginnings of pieces: score, id (-1: no piece), and whether a longer piece begins so.
+        self.known = {w: (*self.score.get(w, (NONE, -1)), w in begun) for w in begun | self.score.keys()}
+        self.score_of = {k: x for x, k in self.score.values()}
+        # Where no piece crosses, texts may be cut: before a space behind another character, around
+        # line ends, and between Latin letters and marks.
         if any(SPACE in w.lstrip(SPACE) for w in self.score):
             raise ValueError("a piece crosses a border between words")
-        self.alone = "".join(c for c in "\n\r\t" if not any(c in w for w in self.score if len(w) > 1))
-        self.words = re.compile(f"{SPACE}+[^{SPACE}{self.alone}]*|[^{SPACE}{self.alone}]+|[{self.alone or SPACE}]")
-        self.memo: dict[str, array] = {}
+        self.alone = "".join(c for c in "\n\t" if not any(c in w for w in self.score if len(w) > 1))
+        marks = re.escape(MARKS)
+        mixed = re.compile(f"[{LATIN}][{marks}]|[{marks}][{LATIN}]")
+        end = rf" {self.alone}]|\Z)"
+        apart = "" if any(map(mixed.search, self.score)) else f" *[{LATIN}]+(?=[{marks}{end}| *[{marks}]+(?=[{LATIN}{end}|"
+        self.words = re.compile(f"{apart} *[^ {self.alone}]+| +" + f"|[{self.alone}]" * bool(self.alone))
+        self.memo: dict[str, bytes] = {}
 
     def forward(self, text: str, starts: int, entry: list[float]) -> tuple[list[float], list[tuple[int, int] | None], list[int]]:
         """Best score at each position of paths whose pieces start before ``starts``, their last piece, their entry."""
@@ -89,23 +100,23 @@ class PieceModel:
         for a, s in enumerate(entry[: n + 1]):
             if s > NONE:
                 best[a], origin[a] = s, a
-        score, begun = self.score, self.begun
+        known = self.known.get
         for at in range(starts):
             here = best[at]
             if here == NONE:
                 continue
-            end, single = at + 1, False
-            while end <= n:
-                piece = text[at:end]
-                if piece in score:
-                    s, k = score[piece]
-                    if end == at + 1:
-                        single = True
+            single = False
+            for end in range(at + 1, n + 1):
+                found = known(text[at:end])
+                if found is None:
+                    break
+                s, k, more = found
+                if k >= 0:
+                    single |= end == at + 1
                     if here + s > best[end]:
                         best[end], last[end], origin[end] = here + s, (at, k), origin[at]
-                if piece not in begun:
+                if not more:
                     break
-                end += 1
             if not single and here + self.unknown > best[at + 1]:
                 best[at + 1], last[at + 1], origin[at + 1] = here + self.unknown, (at, -1), origin[at]
         return best, last, origin
@@ -123,46 +134,115 @@ class PieceModel:
         out.reverse()
         return out
 
+    def is_cut(self, text: str, k: int) -> bool:
+        return (text[k] == SPACE and text[k - 1] != SPACE) or text[k] in self.alone
+
     def cut(self, text: str, low: int) -> int:
         """First position from ``low`` that every path passes, or -1."""
         for k in range(max(1, low), len(text)):
-            if (text[k] == SPACE and text[k - 1] != SPACE) or text[k] in self.alone:
+            if self.is_cut(text, k):
                 return k
         return -1
 
+    def sections(self, text: str, starts: int) -> tuple[int, int]:
+        """First and last position of a chunk that every path passes: between them paths don't depend on its borders."""
+        low = self.cut(text[:starts], self.longest - 1)
+        if low < 0:
+            return -1, -1
+        high = starts - 1
+        while high > low and not self.is_cut(text, high):
+            high -= 1
+        return low, high
+
+    def exits(self, best: list[float], starts: int) -> np.ndarray:
+        return np.array((best[starts:] + [NONE] * self.longest)[: self.longest])
+
     def matrix(self, text: str, starts: int) -> np.ndarray:
         """Best scores from each entry state to each exit state of a chunk of ``starts`` characters."""
         size = self.longest
-        out = np.full((size, size), NONE)
-        q = self.cut(text[:starts], size - 1)
-
-        def exits(best: list[float]) -> list[float]:
-            return (best[starts:] + [NONE] * size)[:size]
-
         alone = [[NONE] * a + [0.0] for a in range(size)]
-        if q < 0:
-            for a in range(size):
-                out[a] = exits(self.forward(text, starts, alone[a])[0])
-            return out
-        rest = exits([NONE] * q + self.forward(text[q:], starts - q, [0.0])[0])
-        for a in range(size):
-            out[a] = self.forward(text[:q], q, alone[a])[0][q] + np.array(rest)
-        return out
-
-    def encode(self, text: str) -> array:
-        """Ids of a whole text in one pass, word by word; words are remembered."""
-        memo, out = self.memo, array("i")
-        for w in self.words.findall(escaped(text)):
-            ids = memo.get(w)
-            if ids is None:
-                _, last, _ = self.forward(w, len(w), [0.0])
-                ids = self.trace(w, last, len(w))
-                if len(memo) >= MEMO:
-                    memo.clear()
-                if len(w) <= 64:
-                    memo[w] = ids
-            out += ids
-        return out
+        low, high = self.sections(text, starts)
+        if low < 0:
+            return np.stack([self.exits(self.forward(text, starts, e)[0], starts) for e in alone])
+        rest = self.exits(self.forward(text[high:], starts - high, [0.0])[0], starts - high) + self.stretch_score(text[low:high].replace(SPACE, " "))
+        return np.stack([self.forward(text[:low], low, e)[0][low] + rest for e in alone])
+
+    def origins(self, text: str, starts: int, entry: list[float]) -> list[int]:
+        """The entry state that the best path to each exit state comes from, -1 where none ends."""
+        low, high = self.sections(text, starts)
+        if low < 0:
+            return (self.forward(text, starts, entry)[2][starts:] + [-1] * self.longest)[: self.longest]
+        came = self.forward(text[:low], low, entry)[2][low]
+        return [came if s > NONE else -1 for s in self.exits(self.forward(text[high:], starts - high, [0.0])[0], starts - high)]
+
+    def between(self, text: str, starts: int, entry: list[float], end: int) -> array:
+        """Ids of a chunk's pieces on the best path from its entry scores to exit state ``end``."""
+        low, high = self.sections(text, starts)
+        if low < 0:
+            return self.trace(text, self.forward(text, starts, entry)[1], starts + end)
+        out = self.trace(text[:low], self.forward(text[:low], low, entry)[1], low)
+        out.frombytes(self.stretch(text[low:high].replace(SPACE, " ")))
+        return out + self.trace(text[high:], self.forward(text[high:], starts - high, [0.0])[1], starts - high + end)
+
+    def segment(self, w: str) -> tuple[bytes, float]:
+        """Ids (as bytes of an int array) and score of a stretch between cuts: ``forward`` from one state."""
+        text = w.replace(" ", SPACE)
+        n = len(text)
+        best, back, ids = [0.0] + [NONE] * n, [0] * (n + 1), [-1] * (n + 1)
+        known = self.known.get
+        for at in range(n):
+            here, single = best[at], False
+            for end in range(at + 1, n + 1):
+                found = known(text[at:end])
+                if found is None:
+                    break
+                s, k, more = found
+                if k >= 0:
+                    if end == at + 1:
+                        single = True
+                    if here + s > best[end]:
+                        best[end], back[end], ids[end] = here + s, at, k
+                if not more:
+                    break
+            if not single and here + self.unknown > best[at + 1]:
+                best[at + 1], back[at + 1], ids[at + 1] = here + self.unknown, at, -1
+        out, at = array("i"), n
+        while at:
+            if ids[at] >= 0:
+                out.append(ids[at])
+            else:
+                out.extend(self.byte_ids[b] for b in reversed(text[back[at] : at].encode()))
+            at = back[at]
+        out.reverse()
+        return out.tobytes(), best[n]
+
+    def word(self, w: str) -> bytes:
+        """Ids of a stretch between cuts, remembered if short."""
+        ids = self.segment(w)[0]
+        if len(self.memo) >= MEMO:
+            self.memo.clear()
+        if len(w) <= 64:
+            self.memo[w] = ids
+        return ids
+
+    def stretch(self, text: str) -> bytes:
+        """Ids of a text between cuts, spaces not yet escaped."""
+        get = self.memo.get
+        return b"".join([get(w) or self.word(w) for w in self.words.findall(text)])
+
+    def stretch_score(self, text: str) -> float:
+        """The score of ``stretch``, whole multiples of STEP and so exact in any order."""
+        return sum(self.segment(w)[1] if not w.isascii() else self.ascii_score(w) for w in self.words.findall(text))
+
+    def ascii_score(self, w: str) -> float:
+        """A remembered word's score from its ids; bytes of unknown characters are told apart by a fresh pass."""
+        ids = np.frombuffer(self.memo.get(w) or self.word(w), np.int32)
+        score = [self.score_of.get(k) for k in ids.tolist()]
+        return self.segment(w)[1] if None in score else sum(score)
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a whole text in one pass, word by word."""
+        return np.frombuffer(self.stretch(" " + text.replace(SPACE, " ")) if text else b"", np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; the space put before it goes. Bytes that are no UTF-8 become U+FFFD."""
@@ -242,8 +322,7 @@ def scan_chunks(texts: DataFrame, path: str, chunk: int = CHUNK, block: int = BL
         for b in batches:
             got = []
             for n, t, v in zip(b.column(3), b.column(4), b.column(5)):
-                _, _, origin = model(path).forward(t.as_py(), n.as_py(), v.as_py())
-                got.append((origin[n.as_py() :] + [-1] * size)[:size])
+                got.append(model(path).origins(t.as_py(), n.as_py(), v.as_py()))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(got, pa.list_(pa.int32()))], ["key", "block", "chunk", "origin"])
 
     maps = materialise(ready.mapInArrow(origins, "key string, block int, chunk int, origin array<int>"), "maps")
@@ -271,9 +350,7 @@ def scan_chunks(texts: DataFrame, path: str, chunk: int = CHUNK, block: int = BL
         for b in batches:
             got = []
             for n, t, v, e in zip(b.column(2), b.column(3), b.column(4), b.column(5)):
-                n, t = n.as_py(), t.as_py()
-                _, back, _ = model(path).forward(t, n, v.as_py())
-                got.append(np.frombuffer(model(path).trace(t, back, n + e.as_py()), np.int32))
+                got.append(np.frombuffer(model(path).between(t.as_py(), n.as_py(), v.as_py(), e.as_py()), np.int32))
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(got, pa.list_(pa.int32()))], ["key", "chunk", "ids"])
 
     pieces = ready.join(last, ["key", "chunk"]).select("key", "chunk", "starts", "part", "entry", "exit").mapInArrow(traced, "key string, chunk int, ids array<int>")
@@ -281,6 +358,11 @@ def scan_chunks(texts: DataFrame, path: str, chunk: int = CHUNK, block: int = BL
     return whole.select("key", F.flatten(F.transform("all", lambda x: x["ids"])).alias("ids"))
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for k in range(0, batch.num_rows, PART):
+        yield batch.slice(k, PART)
+
+
 def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """``docs`` without text, and ids (array<int>); a column of that name is replaced.
 
@@ -294,8 +376,9 @@ def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.frombuffer(model(path).encode(t.as_py()), np.int32) for t in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names[:-1], "ids"])
+            for part in parts(b):
+                ids = [model(path).encode(t.as_py()) for t in part.column(part.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names[:-1], "ids"])
 
     short = docs.where(F.length("text") <= giant).mapInArrow(run, schema)
     long = docs.where(F.length("text") > giant).withColumn("_key", F.sha2("text", 256))
@@ -311,8 +394,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [model(path).decode(x.as_py()) if x.is_valid else None for x in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(text, pa.string())], [*b.schema.names[:-1], "text"])
+            for part in parts(b):
+                text = [model(path).decode(x.as_py()) if x.is_valid else None for x in part.column(part.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(text, pa.string())], [*part.schema.names[:-1], "text"])
 
     return encoded.select(*rest, "ids").mapInArrow(run, schema)
 
@@ -322,13 +406,20 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.translate(F.coalesce("text", F.lit("")), SPACE, " ")
     docs = docs.select("doc_id", "text", F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
-    ids = encode(docs).withColumn("n_ids", F.size("ids").cast("long"))
+    path = public_model()
 
-    def crc(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes()) for x in b.column(4)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.int64())], [*b.schema.names, "ids_crc32"])
-
-    ids = ids.select("doc_id", "n_chars", "text_sha256", "n_ids", "ids").mapInArrow(crc, "doc_id long, n_chars long, text_sha256 string, n_ids long, ids array<int>, ids_crc32 long")
-    back = decode(ids).withColumn("decoded_sha256", F.sha2("text", 256))
+            for part in parts(b):
+                n, crc, sha = [], [], []
+                for x in part.column(3):
+                    ids = x.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)
+                    n.append(len(ids))
+                    crc.append(zlib.crc32(ids.tobytes()))
+                    sha.append(hashlib.sha256(model(path).decode(ids.tolist()).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha)], [*part.schema.names[:3], "n_ids", "ids_crc32", "decoded_sha256"])
+
+    # Counting and decoding share a pass, so that a task has two Python workers, not three.
+    ids = encode(docs, path).select("doc_id", "n_chars", "text_sha256", "ids")
+    back = ids.mapInArrow(run, "doc_id long, n_chars long, text_sha256 string, n_ids long, ids_crc32 long, decoded_sha256 string")
     return back.select("doc_id", "n_chars", "n_ids", "ids_crc32", "decoded_sha256", (F.col("decoded_sha256") == F.col("text_sha256")).alias("round_trip"))
