@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
@@ -26,6 +28,8 @@ from peptora.llm.common import bodies, materialise, table
 CAPACITY = 2048
 SALTS = 64
 BLOCK = 1 << 19
+#: Stands between words that are encoded together; alone it has one id.
+MARK = "\0"
 PLAN = "length int, first_rank long, last_rank long, first_sequence long, place int, each int"
 
 
@@ -35,68 +39,124 @@ def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+#: The tokenizer parts letters from marks anyway, so they are remembered apart where ASCII stands on both sides.
+WORDS = re.compile(rb"[a-z]+(?=[.,!?;:%$&#*()\s]|\Z)|[.,!?;:%$&#*()]+(?=[a-z\s]|\Z)|\S+")
+
+
 class WordEncoder:
-    """Token ids by a tokenizer that never joins across ASCII white space and drops it.
+    """Token ids by a lower-casing tokenizer that never joins across ASCII white space and drops it.
 
     Each distinct word is encoded once while it stays in the memo, which is emptied when it
     holds ``most`` words. Texts go through in blocks that end at white space.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self._empty()
 
     def _empty(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.size = np.zeros(1024, np.int64)
-        self.ends = np.zeros(1025, np.int64)
+        self.ends = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
-        self.used = 0
+
+    def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words on end, and how many each has.
+
+        Words go to the tokenizer in one string, with a mark of one id between them; a word that
+        holds the mark's character, or any if the mark has more ids, goes alone.
+        """
+        if self.mark is None or any(MARK.encode() in w for w in words):
+            got = [self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids for w in words]
+            sizes = np.fromiter(map(len, got), np.int64, len(words))
+            return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
+        text = f" {MARK} ".encode().join(words).decode("utf-8", "replace")
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.flatnonzero(ids == self.mark)
+        edges = np.concatenate([[-1], at, [len(ids)]])
+        return np.delete(ids, at), np.diff(edges) - 1
 
     def _learn(self, words: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        at, n = len(self.number), len(words)
-        while at + n > len(self.size):
-            self.size, self.ends = np.append(self.size, self.size), np.append(self.ends, self.ends[1:])
-        sizes = np.fromiter(map(len, got), np.int64, n)
-        self.size[at : at + n] = sizes
-        self.ends[at + 1 : at + n + 1] = self.used + np.cumsum(sizes)
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum()))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.append(self.flat, self.flat)
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.number.update(zip(words, range(at, at + n)))
-
-    def _block(self, words: list[bytes]) -> np.ndarray:
-        new = [w for w in dict.fromkeys(words) if w not in self.number]
-        if len(self.number) + len(new) > self.most and self.number:
-            self._empty()
-            new = list(dict.fromkeys(words))
-        if new:
+        for k in range(0, len(words), 2000):
+            part = words[k : k + 2000]
+            flat, sizes = self._ids(part)
+            at, n = len(self.number), len(part)
+            used = int(self.ends[at])
+            while at + n >= len(self.ends):
+                self.ends = np.append(self.ends, np.zeros_like(self.ends))
+            while used + len(flat) > len(self.flat):
+                self.flat = np.append(self.flat, np.zeros_like(self.flat))
+            self.ends[at + 1 : at + n + 1] = used + np.cumsum(sizes)
+            self.flat[used : used + len(flat)] = flat
+            self.number.update(zip(part, range(at, at + n)))
+
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all the words, and where each word's end."""
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        which = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        late = np.flatnonzero(which < 0)
+        if len(late):
+            new = list(dict.fromkeys(map(words.__getitem__, late.tolist())))
+            if len(self.number) + len(new) > self.most and self.number:
+                self._empty()
+                return self._words(words)
             self._learn(new)
-        which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        size = self.size[which]
+            which[late] = np.fromiter((self.number[words[k]] for k in late.tolist()), np.int64, len(late))
+        start = self.ends[which]
+        size = self.ends[which + 1] - start
         ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.ends[which] - ends + size, size) + np.arange(total)]
+        return self.flat[np.repeat(start - ends + size, size) + np.arange(ends[-1])], ends
+
+    @staticmethod
+    def lowered(body: bytes) -> bytes:
+        """A-Z lower-cased, so that fewer words differ; not where a special token's name might come out of it."""
+        return body if b"<|" in body else body.lower()
 
     def encode(self, body: bytes) -> np.ndarray:
+        body = self.lowered(body)
         if len(body) <= BLOCK:
-            return self._block(body.split())
+            return self._words(WORDS.findall(body))[0]
         out, at = [], 0
         while at < len(body):
             end = at + BLOCK
             while end < len(body) and body[end] not in b" \t\n\r\x0b\x0c":
                 end += 1
-            out.append(self._block(body[at:end].split()))
+            out.append(self._words(WORDS.findall(body[at:end]))[0])
             at = end
         return np.concatenate(out)
 
+    def encode_all(self, bodies: Iterable[bytes]) -> Iterator[np.ndarray]:
+        """Ids of each text; short texts go through together, up to BLOCK bytes of them."""
+        words: list[bytes] = []
+        bounds, size = [0], 0
+
+        def held() -> Iterator[np.ndarray]:
+            nonlocal bounds, size
+            ids, ends = self._words(words)
+            edges = np.concatenate([[0], ends])[bounds].tolist()
+            for s, e in zip(edges, edges[1:]):
+                yield ids[s:e]
+            words.clear()
+            bounds, size = [0], 0
+
+        for body in bodies:
+            if len(body) > BLOCK:
+                yield from held()
+                yield self.encode(body)
+                continue
+            words += WORDS.findall(self.lowered(body))
+            bounds.append(len(words))
+            size += len(body)
+            if size > BLOCK:
+                yield from held()
+        yield from held()
+
 
 @functools.cache
 def encoder(path: str) -> WordEncoder:
@@ -114,11 +174,10 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not Path(path).exists():
             raise FileNotFoundError(f"no tokenizer file at {path}")
-        encode = encoder(path).encode
         for b in batches:
             row, piece, start, length, crc, kept = [], [], [], [], [], []
-            for k, x in enumerate(b.column(1)):
-                ids = np.append(encode(x.as_py()), np.uint32(end_id)).astype("<u4")
+            for k, ids in enumerate(encoder(path).encode_all(x.as_py() for x in b.column(1))):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4", copy=False)
                 for p, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     row.append(k)
