@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from peptora.llm.common import materialise, table
 from peptora.llm.packing import pack_documents
 from peptora.llm.quality import score_documents as score_quality
-from peptora.llm.simhash import near_duplicates
+from peptora.llm.resemblance import one_of_each
 from peptora.llm.substring import remove_repeats
 from peptora.llm.toxicity import score_documents as score_toxicity
 
@@ -29,10 +29,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group its smallest doc_id stays, once. Rows without a doc_id stay as they are."""
-    named = docs.where("doc_id is not null")
-    first = near_duplicates(named).where("doc_id = component_id").select("doc_id").distinct()
-    return named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of texts linked by a Jaccard index of 0.8 or more of their five-word shingles one row stays, that of the smallest doc_id."""
+    return one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
