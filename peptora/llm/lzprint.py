@@ -63,12 +63,12 @@ def hashed(phrases: Iterable[str]) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """16 bits of each minimum; no phrase: all ones."""
+    """The low 16 bits of each minimum (of many phrases the top ones are all zero); no phrase: all ones."""
     out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     a, b = multipliers()
     for at in range(0, len(hashes), 2048):
         out = np.minimum(out, (hashes[None, at : at + 2048] * a + b).min(axis=1))
-    return (out >> np.uint64(48)).astype(">u2")
+    return (out & np.uint64(0xFFFF)).astype(">u2")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
