@@ -1,170 +1,127 @@
 """Cross-entropy difference: how much better a target model reads a document than a background model.
 
-Both models are bigram models over one vocabulary, counted in one pass: the background over
+Both models are bigram models over all words of the corpus, counted in one pass: the background over
 every document, the target over the documents marked as such. They are matched in all but
-their counts: the same words, slots and smoothing. The vocabulary is bounded (words too rare
-for it are one unknown word) and so are the slots that pairs are hashed to, so a model's
-size doesn't grow with the corpus, only what is counted into it does.
+their counts: the same words, pairs and smoothing. Words are known by a 64-bit hash. Counts of
+pairs, and each pair's loss by either model, are Spark tables that grow with the corpus; every
+document's distinct pairs are joined to them and summed. Only the losses of the HOT most
+frequent pairs are broadcast, so that what nearly every document holds isn't shuffled.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peptora.llm.common import materialise, table
 
-WORDS, SLOT_BITS, BLOCK_BITS = 20_000, 21, 12
 #: Weights of the pair, the word, and any word of the vocabulary.
 PAIR, WORD = 0.6, 0.39
-FLUSH = 500_000
+HOT = 1 << 18
+#: Tokens whose counts a task holds, and rows of a batch.
+FLUSH, BATCH = 2_000_000, 100_000
 
 
 def tokens(body: bytes) -> list[bytes]:
     return body.lower().split()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (bytes), n over all documents. Partial counts leave a task whenever they grow long."""
+def numbered(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word before each word (0 at the start) and of the word."""
+    words = tokens(body)
+    ids = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return np.concatenate([np.zeros(min(1, len(ids)), np.uint64), ids[:-1]]), ids
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.binary()), pa.array(count.values(), pa.int64())], ["word", "n"])
 
-        count: Counter = Counter()
-        for b in batches:
-            for x in b.column(0):
-                count.update(tokens(x.as_py()))
-                if len(count) > FLUSH:
-                    yield out()
-                    count.clear()
-        yield out()
-
-    return docs.select("body").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(docs: DataFrame, most: int = WORDS) -> list[bytes]:
-    """The frequent words, ``most`` at most: all those above the least level of counts that leaves no more."""
-    counted = materialise(word_counts(docs), "words")
-    level = F.floor(F.log("n") * 64).cast("int")
-    levels = sorted(((r["level"], r["count"]) for r in counted.groupBy(level.alias("level")).count().collect()), reverse=True)
-    least, total = math.inf, 0
-    for at, n in levels:
-        total += n
-        if total > most:
-            break
-        least = at
-    if least == math.inf:
-        return []
-    return sorted(bytes(r["word"]) for r in counted.where(level >= int(least)).select("word").collect())
-
-
-class Pairs:
-    """Word numbers (0: unknown) and the slots of neighbouring pairs; -1 where either word is unknown, or at the start."""
-
-    def __init__(self, words: list[bytes]):
-        self.number = {w: k for k, w in enumerate(words, 1)}
-        self.size = len(words) + 1
-
-    def of(self, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        words = tokens(body)
-        ids = np.fromiter(map(self.number.get, words, repeat(0)), np.int64, len(words))
-        before = np.concatenate([[0], ids[:-1]]) if len(ids) else ids
-        known = (before > 0) & (ids > 0)
-        key = (before * self.size + ids).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return ids, before, np.where(known, (key >> np.uint64(64 - SLOT_BITS)).astype(np.int64), -1)
-
-
-def slot_counts(docs: DataFrame, pairs: Pairs) -> DataFrame:
-    """slot, background, target. Slots from 2^SLOT_BITS on count single words."""
-    shared = docs.sparkSession.sparkContext.broadcast(pairs)
-    slots = 1 << SLOT_BITS
+def paired(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return before ^ (word << np.uint64(21) | word >> np.uint64(43))
+
+
+def paired_column() -> Column:
+    """As paired."""
+    return F.col("before").bitwiseXOR(F.shiftleft("word", 21).bitwiseOR(F.shiftrightunsigned("word", 43)))
+
+
+def signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """before, word, background, target. Partial counts leave a task whenever they grow long."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = shared.value
-        sums = np.zeros((2, slots + pairs.size), np.uint32)
-        waiting: tuple[list, list] = ([], [])
-        held = 0
-
-        def add() -> None:
-            for c in (0, 1):
-                if waiting[c]:
-                    at, n = np.unique(np.concatenate(waiting[c]), return_counts=True)
-                    sums[c][at] += n.astype(np.uint32)
-                    waiting[c].clear()
+        held, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            before, word, target = (np.concatenate(x) for x in zip(*held))
+            _, at, where = np.unique(paired(before, word), return_index=True, return_inverse=True)
+            every, marked = np.bincount(where, minlength=len(at)), np.bincount(where[target], minlength=len(at))
+            for k in range(0, len(at), BATCH):
+                part, now = at[k : k + BATCH], slice(k, k + BATCH)
+                yield pa.RecordBatch.from_arrays([signed(before[part]), signed(word[part]), pa.array(every[now]), pa.array(marked[now])], ["before", "word", "background", "target"])
 
         for b in batches:
             for x, target in zip(b.column(0), b.column(1).to_pylist()):
-                ids, _, slot = pairs.of(x.as_py())
-                for c in (0, 1) if target else (0,):
-                    waiting[c].extend((slot[slot >= 0], ids + slots))
-                held += len(ids)
-                if held > 1_000_000:
-                    add()
-                    held = 0
-        add()
-        at = np.flatnonzero(sums[0])
-        for k in range(0, len(at), 100_000):
-            part = at[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(sums[0][part].astype(np.int64)), pa.array(sums[1][part].astype(np.int64))], ["slot", "background", "target"])
-
-    partial = docs.select("body", "target").mapInArrow(run, "slot int, background long, target long")
-    return partial.groupBy("slot").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-class Models:
-    """Counts of both models; losses of a document by each."""
-
-    def __init__(self, pairs: Pairs, counts: np.ndarray):
-        self.pairs = pairs
-        slots = 1 << SLOT_BITS
-        self.pair, self.word = counts[:, :slots], counts[:, slots:]
-        self.total = np.maximum(self.word.sum(axis=1, dtype=np.float64), 1)
-
-    def losses(self, body: bytes) -> tuple[int, float, float]:
-        """Tokens, and the mean loss (nats a token) by the target and by the background; no token: 0, 0."""
-        ids, before, slot = self.pairs.of(body)
-        if not len(ids):
-            return 0, 0.0, 0.0
-        out = []
-        for c in (1, 0):
-            seen = np.maximum(self.word[c][before], 1)
-            word = self.word[c][ids] / self.total[c]
-            pair = np.where(slot >= 0, np.minimum(self.pair[c][slot] / seen, 1), word)  # an unknown word says nothing of the next
-            p = PAIR * pair + WORD * word + (1 - PAIR - WORD) / self.pairs.size
-            out.append(float(-np.log(p).mean()))
-        return len(ids), *out
-
-
-def train(bodies: DataFrame, marked: DataFrame, words: int = WORDS) -> Models:
-    """From body, and body with target: models whose size is bounded by ``words`` and the slots."""
-    pairs = Pairs(vocabulary(bodies, words))
-    counted = slot_counts(marked, pairs).withColumn("block", F.shiftright("slot", BLOCK_BITS))
-    width = 1 << BLOCK_BITS
-
-    def pack(block: pd.DataFrame) -> pd.DataFrame:
-        flat = np.zeros((2, width), np.float32)
-        at = block.slot.to_numpy() & (width - 1)
-        flat[0][at], flat[1][at] = block.background, block.target
-        return pd.DataFrame({"block": [block.block.iloc[0]], "counts": [flat.tobytes()]})
-
-    size = (1 << SLOT_BITS) + pairs.size
-    counts = np.zeros((2, -(-size // width) * width), np.float32)
-    # Whatever the corpus, size / width rows of 2 x width numbers: 17 MB with these settings.
-    for r in counted.groupBy("block").applyInPandas(pack, "block int, counts binary").collect():
-        counts[:, r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["counts"], np.float32).reshape(2, width)
-    return Models(pairs, counts[:, :size])
-
-
-def score_documents(docs: DataFrame, target_ids: DataFrame, words: int = WORDS) -> DataFrame:
+                before, word = numbered(x.as_py())
+                held.append((before, word, np.full(len(word), target)))
+                size += len(word)
+                if size > FLUSH:
+                    yield from out()
+                    held, size = [], 0
+        if held:
+            yield from out()
+
+    partial = docs.select("body", "target").mapInArrow(run, "before long, word long, background long, target long")
+    return partial.groupBy("before", "word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+
+
+def losses(docs: DataFrame) -> DataFrame:
+    """From body and target: pair, n, and the losses (nats) of its second word by the models, target and background."""
+    pairs = materialise(pair_counts(docs), "pairs")
+    words = materialise(pairs.groupBy("word").agg(F.sum("background").alias("word_background"), F.sum("target").alias("word_target")), "words")
+    size, *total = words.agg(F.count("*"), F.sum("word_background"), F.sum("word_target")).first()
+    total = dict(zip(("background", "target"), total))
+    first = words.select(F.col("word").alias("before"), F.col("word_background").alias("before_background"), F.col("word_target").alias("before_target"))
+    every = pairs.join(words, "word").join(first, "before", "left")
+
+    def loss(model: str) -> Column:
+        word = F.col(f"word_{model}") / float(max(total[model] or 0, 1))
+        pair = F.when(F.col("before") == 0, word).otherwise(F.least(F.col(model) / F.greatest(F.coalesce(f"before_{model}", F.lit(0)), F.lit(1)), F.lit(1.0)))
+        return -F.log(PAIR * pair + WORD * word + (1 - PAIR - WORD) / (size + 1))
+
+    return materialise(every.select(paired_column().alias("pair"), F.col("background").alias("n"), loss("target").alias("target"), loss("background").alias("background")), "losses")
+
+
+def document_pairs(bodies: DataFrame, shared) -> DataFrame:
+    """text, pair, n of each text's distinct pairs whose losses aren't ``shared``; and a row with n = 0 (its pair
+    is the text's hash, which is no pair's) that holds the number of tokens and the sums over the shared pairs."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, by_target, by_background = shared.value
+        for b in batches:
+            rows = []
+            for text, x in zip(b.column(0).to_numpy(zero_copy_only=False), b.column(1)):
+                pair, n = np.unique(paired(*numbered(x.as_py())), return_counts=True)
+                at = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1) if len(pairs) else np.zeros(len(pair), np.int64)
+                known = pairs[at] == pair if len(pairs) else np.zeros(len(pair), bool)
+                own, at, rare = n[known], at[known], pair[~known].view(np.int64)
+                zeros = np.zeros(len(rare))
+                rows.append((
+                    np.full(len(rare) + 1, text), np.append(rare, text), np.append(n[~known], 0), np.append(zeros.astype(np.int64), n.sum()),
+                    np.append(zeros, by_target[at] @ own), np.append(zeros, by_background[at] @ own),
+                ))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["text", "pair", "n", "tokens", "sum_target", "sum_background"])
+
+    return bodies.mapInArrow(run, "text long, pair long, n long, tokens long, sum_target double, sum_background double")
+
+
+def score_documents(docs: DataFrame, target_ids: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, difference (target minus background; lower: more like the target).
 
     ``target_ids`` holds the doc_ids of the target documents; a null doc_id is never one. Null and empty texts
@@ -175,18 +132,19 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, words: int = WORDS)
     body = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body"))
     # Both sides may be large, so neither is broadcast at any size.
     both = body.join(marks.hint("merge"), "doc_id", "left").select("body", F.coalesce("target", F.lit(False)).alias("target"))
-    shared = docs.sparkSession.sparkContext.broadcast(train(body, both, words))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [shared.value.losses(x.as_py()) for x in b.column(1)]
-            n, t, g = (np.array([r[k] for r in got]) for k in range(3))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n.astype(np.int64)), pa.array(t.astype(float)), pa.array(g.astype(float)), pa.array((t - g).astype(float))],
-                ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"],
-            )
-
-    return body.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
+    loss = losses(both)
+    top = loss.orderBy(F.desc("n"), "pair").limit(hot).select("pair", "target", "background").toArrow()
+    pairs, *by = (c.to_numpy() for c in top.columns)
+    order = np.argsort(pairs.view(np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast((pairs.view(np.uint64)[order], *(x[order] for x in by)))
+    text = F.xxhash64("body").alias("text")
+    joined = document_pairs(body.select(text, "body"), shared).join(loss.drop("n"), "pair", "left")
+    total = lambda model: F.sum(F.col(f"sum_{model}") + F.col("n") * F.coalesce(model, F.lit(0.0))).alias(f"sum_{model}")
+    # Rows of the same text add up alike in its tokens and losses.
+    sums = joined.groupBy("text").agg(F.sum("tokens").alias("tokens"), F.count_if(F.col("n") == 0).alias("rows"), total("target"), total("background"))
+    mean = lambda model: F.when(F.col("tokens") > 0, F.col(f"sum_{model}") / F.col("tokens")).otherwise(0.0)
+    scored = sums.select("text", F.expr("tokens div rows").alias("n_tokens"), mean("target").alias("target_loss"), mean("background").alias("background_loss"))
+    return body.select("doc_id", text).join(scored, "text").select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("difference"))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
