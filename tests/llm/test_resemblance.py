@@ -66,3 +66,12 @@ def test_candidates_at_the_bound():
         both = rng.sample(range(1 << 60), 180)
         a, b = (resemblance.np.array(sorted(x), resemblance.np.uint64) for x in (both[:162], both[:144] + both[162:]))
         assert resemblance.alike(a, b) and (resemblance.bands(a) == resemblance.bands(b)).any()
+
+
+def test_rows_with_null_and_repeated_ids(spark):
+    """A null doc_id takes part; a repeated doc_id with unlinked texts keeps a row of each, equal rows one."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, a), (1, b), (2, b), (None, a), (None, c), (None, c + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).repartition(3)
+    got = [(r["doc_id"], r["text"][0]) for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, "a"), (1, "b"), (None, "c")], key=str)
