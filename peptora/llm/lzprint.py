@@ -1,7 +1,7 @@
 """Lempel-Ziv phrase fingerprints.
 
 A text is parsed into dictionary phrases: each is the longest run that is a phrase already,
-plus one character. The set of phrases is hashed, and its minima under HASHES hash functions
+plus one code point. The set of phrases is hashed, and its minima under HASHES hash functions
 are the fingerprint; two fingerprints agree on about the share of phrases that their texts
 have in common, which is what makes one compress the other.
 """
@@ -14,84 +14,139 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peptora.llm.common import shuffle_width, table
 
 HASHES = 128
+#: Bits of a code point.
+CODE_BITS = 21
 
 
-def parse(text: str, at: int, stop: int, phrases: set[str]) -> int:
-    """Add the phrases of ``text[at:stop]``; returns where the last one starts if it is unfinished.
+class Parse:
+    """LZ78 phrases of a text, fed in parts: a trie walked by one lookup a code point.
 
-    Every prefix of a phrase is a phrase, so the longest match is sought from a guess of its
-    length, up or down.
+    Nodes are numbered in the order of their phrases; a step from a node is the sum of its number
+    (above the bits of a code point) and the code point. The empty phrase is node 0.
     """
-    guess = 1
-    while at < stop:
-        room = stop - at
-        n = min(guess, room)
-        if text[at : at + n] in phrases:
-            n += 1
-            while n <= room and text[at : at + n] in phrases:
-                n += 1
-            if n > room:
-                return at
-        else:
-            while n > 1 and text[at : at + n - 1] not in phrases:
-                n -= 1
-        phrases.add(text[at : at + n])
-        at += n
-        guess = n
-    return at
+
+    def __init__(self) -> None:
+        self.steps: dict[int, int] = {}
+        self.node, self.start, self.at = 0, 0, 0
+
+    def fork(self) -> Parse:
+        out = Parse()
+        out.steps, out.node, out.start, out.at = dict(self.steps), self.node, self.start, self.at
+        return out
+
+    def feed(self, codes: list[int]) -> list[int]:
+        """Ends (in all that was fed so far) of the new phrases; what is left of the last one stays open."""
+        steps, node, ends = self.steps, self.node, []
+        get, put = steps.get, ends.append
+        size = len(steps)
+        for at, code in enumerate(codes, self.at + 1):
+            key = node + code
+            node = get(key)
+            if node is None:
+                size += 1
+                steps[key] = size << CODE_BITS
+                node = 0
+                put(at)
+        self.node = node
+        self.at += len(codes)
+        return ends
 
 
 @functools.cache
 def multipliers() -> tuple[np.ndarray, np.ndarray]:
     """Odd factors and summands, drawn from the golden ratio's multiples by a mixing step."""
-    x = np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = mixed(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return x[:HASHES, None] | np.uint32(1), x[HASHES:, None]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """32 well-mixed bits of each 64-bit number."""
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return x[:HASHES, None] | np.uint64(1), x[HASHES:, None]
+    return (x >> np.uint64(32)).astype(np.uint32)
+
 
+class Spans:
+    """Hashes of spans of a text: a polynomial over its code points, modulo 2^64, then mixed."""
 
-def hashed(phrases: Iterable[str]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(p) for p in phrases], np.uint64)
+    BASE = 0x9E3779B97F4A7C15
+    BACK = pow(BASE, -1, 1 << 64)
 
+    def __init__(self, codes: np.ndarray):
+        n = len(codes)
+        self.back = self._powers(self.BACK, n + 1)
+        # Code points are mixed first, so that the low bits of the sums hang on all of their bits.
+        x = codes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x ^ x >> np.uint64(32)) * self._powers(self.BASE, n), dtype=np.uint64)])
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """The low 16 bits of each minimum (of many phrases the top ones are all zero); no phrase: all ones."""
-    out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        out = np.full(n, base, np.uint64)
+        out[:1] = 1
+        return np.cumprod(out, dtype=np.uint64)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[end] - self.sums[start]) * self.back[start])
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least value of HASHES functions; no phrase: all ones."""
+    out = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
     a, b = multipliers()
-    for at in range(0, len(hashes), 2048):
-        out = np.minimum(out, (hashes[None, at : at + 2048] * a + b).min(axis=1))
-    return (out & np.uint64(0xFFFF)).astype(">u2")
+    for at in range(0, len(hashes), 512):
+        out = np.minimum(out, (hashes[None, at : at + 512] * a + b).min(axis=1))
+    return out
+
+
+def signature(least: np.ndarray) -> np.ndarray:
+    """The low 16 bits of each minimum: of many phrases the top ones are all zero."""
+    return (least & np.uint32(0xFFFF)).astype(">u2")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def _minima_of(spans: Spans, parse: Parse, codes: list[int]) -> np.ndarray:
+    """Minima over the phrases that the given code points end."""
+    ends = np.array(parse.feed(codes), np.int64)
+    if not len(ends):
+        return minima(np.zeros(0, np.uint32))
+    starts = np.concatenate([[parse.start], ends[:-1]])
+    parse.start = int(ends[-1])
+    return minima(spans.of(starts, ends))
+
+
 def fingerprint_pair(text: str, donor: str) -> tuple[np.ndarray, np.ndarray, str]:
-    """Signatures of a text and of its edited text, and the latter; the part before the edit is parsed once."""
+    """Signatures of a text and of its edited text, and the latter.
+
+    The part before the edit is parsed and hashed once: minima of a union are the least of minima.
+    """
     n = len(text)
     keep = n - n // 2
     edited = text[:keep] + donor[: n // 2]
-    phrases: set[str] = set()
-    at = parse(text, 0, keep, phrases)
-    other = set(phrases)
-    parse(text, at, n, phrases)
-    parse(edited, at, len(edited), other)
-    return signature(hashed(phrases)), signature(hashed(other)), edited
+    codes, other = code_points(text), code_points(edited)
+    spans, parse = Spans(codes), Parse()
+    shared = _minima_of(spans, parse, codes[:keep].tolist())
+    fork = parse.fork()
+    own = _minima_of(spans, parse, codes[keep:].tolist())
+    new = _minima_of(Spans(other), fork, other[keep:].tolist())
+    return signature(np.minimum(shared, own)), signature(np.minimum(shared, new)), edited
 
 
 def fingerprint(text: str) -> np.ndarray:
-    phrases: set[str] = set()
-    parse(text, 0, len(text), phrases)
-    return signature(hashed(phrases))
+    codes = code_points(text)
+    return signature(_minima_of(Spans(codes), Parse(), codes.tolist()))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
