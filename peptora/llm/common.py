@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -57,5 +57,19 @@ def bodies(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body"), *more)
 
 
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def as_one(names: list[str]) -> Column:
+    """The named columns as one struct ``rest`` of numbered fields, so that no name meets an operator's own."""
+    return F.struct(F.lit(0).alias("n"), *(quoted(c).alias(f"c{k}") for k, c in enumerate(names))).alias("rest")
+
+
+def apart(names: list[str]) -> list[Column]:
+    """What as_one took, by its own names again."""
+    return [F.col("rest")[f"c{k}"].alias(c) for k, c in enumerate(names)]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from test_lzprint import plain_fingerprint
 
-from peptora.llm import lmscore, lzprint, ogg, packing, pieces, quality, simhash, substring, toxicity, urlrules
+from peptora.llm import lmscore, lzprint, ogg, packing, quality, simhash, substring, toxicity, urlrules
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -339,31 +339,3 @@ def test_cross_entropy_difference(docs, texts, empty, spark):
         assert (got[i]["target_loss"], got[i]["background_loss"]) == (pytest.approx(loss["t"], rel=1e-2), pytest.approx(loss["b"], rel=1e-2))
     assert (got[0]["n_tokens"], got[0]["difference"]) == (0, 0.0) and got[8]["difference"] < 0
     assert lmscore.score_documents(empty, good).count() == 0
-
-
-# SentencePiece
-
-
-def test_pieces_equal_the_library_and_the_scan(spark, docs, texts, empty):
-    import sentencepiece
-    from sentencepiece import sentencepiece_model_pb2
-
-    path = pieces.public_model()
-    m = pieces.model(path)
-    proto = sentencepiece_model_pb2.ModelProto()
-    proto.ParseFromString(open(path, "rb").read())
-    proto.trainer_spec.model_type = proto.trainer_spec.UNIGRAM
-    for p in proto.pieces:
-        if p.piece in m.score:
-            p.score = m.score[p.piece][0]
-    library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-    some = [t for _, t in texts if t and len(t) < 3000]
-    for t in some:
-        assert list(m.encode(t)) == library.encode(t)
-    for chunk in (17, 100):
-        got = {r["key"]: r["ids"] for r in pieces.scan_chunks(spark.createDataFrame([(str(k), t) for k, t in enumerate([*some, "a" * 500, " " * 90])], "key string, text string"), path, chunk, 3).collect()}
-        for k, t in enumerate([*some, "a" * 500, " " * 90]):
-            assert got[str(k)] == list(m.encode(t))
-    rows = pieces.decode(pieces.encode(docs, giant=1000, chunk=64)).collect()
-    assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter((i, (t or "").replace("▁", " ")) for i, t in [*texts, texts[5], (None, "no id")])
-    assert pieces.encode(empty).count() == 0
