@@ -39,18 +39,37 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Spark then drops an execution's shuffle files when it ends, not when the driver's next collection comes.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    This cuts the lineage: a lost executor never repeats what stands before it, and a
-    table read twice is computed once. The tables hold derived, narrow rows, not texts.
+    This cuts the lineage: a lost executor never repeats what stands before it, a table
+    read twice is computed once, and the shuffle files of the write go when it is done.
+    The tables hold derived, narrow rows, not texts.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/peptora-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read again."""
+    for df in tables:
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/peptora-" in f}:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            path = jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def bodies(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and the text's UTF-8 bytes (null text: empty), then the named columns."""
     bound_batches(docs.sparkSession)

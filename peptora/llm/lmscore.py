@@ -2,14 +2,23 @@
 
 Both models are bigram models over all words of the corpus, counted in one pass: the background over
 every document, the target over the documents marked as such. They are matched in all but
-their counts: the same words, pairs and smoothing. Words are known by a 64-bit hash. Counts of
-pairs, and each pair's loss by either model, are Spark tables that grow with the corpus; every
-document's distinct pairs are joined to them and summed. Only the losses of the HOT most
-frequent pairs are broadcast, so that what nearly every document holds isn't shuffled.
+their counts: the same vocabulary, words and pairs, and additive smoothing,
+
+    P(word | before) = (count(before, word) + ADD) / (count(before) + ADD * (words + 1)),
+
+which sums to one over the vocabulary and a word outside of it. A document's loss by a model is
+then a sum of one value for each of its pairs and one for each of its words, so values are
+looked up by key, and no row needs a pair and its words at once. Keys are 64-bit hashes.
+
+Counts grow with the corpus and stay in Spark tables. A key that occurs once needs no row: whoever
+asks for it is its one place and knows its counts. The HOT most frequent words and pairs are
+broadcast, all other keys are joined; none of those is frequent enough to fill a task. Keys are
+counted in PASSES shares, one after the other, which bounds what stands on disk at a time.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,9 +29,10 @@ from pyspark.sql import functions as F
 
 from peptora.llm.common import materialise, table
 
-#: Weights of the pair, the word, and any word of the vocabulary.
-PAIR, WORD = 0.6, 0.39
+ADD = 0.01
+#: Broadcast words, and as many pairs.
 HOT = 1 << 18
+PASSES = 2
 #: Tokens whose counts a task holds, and rows of a batch.
 FLUSH, BATCH = 2_000_000, 100_000
 
@@ -31,120 +41,145 @@ def tokens(body: bytes) -> list[bytes]:
     return body.lower().split()
 
 
-def numbered(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the word before each word (0 at the start) and of the word."""
+def keys_of(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the word before each word (0: the start of the text), of the pair that the two make, and of the last word."""
     words = tokens(body)
     ids = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    return np.concatenate([np.zeros(min(1, len(ids)), np.uint64), ids[:-1]]), ids
-
-
-def paired(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return before ^ (word << np.uint64(21) | word >> np.uint64(43))
-
-
-def paired_column() -> Column:
-    """As paired."""
-    return F.col("before").bitwiseXOR(F.shiftleft("word", 21).bitwiseOR(F.shiftrightunsigned("word", 43)))
+    before = np.concatenate([np.zeros(min(1, len(ids)), np.uint64), ids[:-1]])
+    x = (before ^ (ids << np.uint64(21) | ids >> np.uint64(43))) * np.uint64(0x9E3779B97F4A7C15)
+    return before, x ^ x >> np.uint64(29), ids[-1:]
 
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """before, word, background, target. Partial counts leave a task whenever they grow long."""
+def counts(docs: DataFrame, this: int = 0, of: int = 1) -> DataFrame:
+    """kind (0: a word that stands before another; 1: a pair), key, background, target, of one share of the keys.
+
+    A document's last word stands before none and counts zero, for the vocabulary. Partial counts
+    leave a task whenever they grow long.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        share, shares = np.uint64(this), np.uint64(of)
 
         def out() -> Iterator[pa.RecordBatch]:
-            before, word, target = (np.concatenate(x) for x in zip(*held))
-            _, at, where = np.unique(paired(before, word), return_index=True, return_inverse=True)
-            every, marked = np.bincount(where, minlength=len(at)), np.bincount(where[target], minlength=len(at))
-            for k in range(0, len(at), BATCH):
-                part, now = at[k : k + BATCH], slice(k, k + BATCH)
-                yield pa.RecordBatch.from_arrays([signed(before[part]), signed(word[part]), pa.array(every[now]), pa.array(marked[now])], ["before", "word", "background", "target"])
+            before, pair, last, target = (np.concatenate(x) for x in zip(*held))
+            for kind, keys, zeros in ((0, before, last), (1, pair, last[:0])):
+                own = keys % shares == share
+                zeros, marks = zeros[zeros % shares == share], target[own]
+                key, where = np.unique(np.concatenate([keys[own], zeros]), return_inverse=True)
+                where = where[: len(marks)]
+                every, marked = (np.bincount(w, minlength=len(key)).astype(np.int64) for w in (where, where[marks]))
+                for k in range(0, len(key), BATCH):
+                    now = slice(k, k + BATCH)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[now]), kind, np.int8)), signed(key[now]), pa.array(every[now]), pa.array(marked[now])], ["kind", "key", "background", "target"])
 
         for b in batches:
             for x, target in zip(b.column(0), b.column(1).to_pylist()):
-                before, word = numbered(x.as_py())
-                held.append((before, word, np.full(len(word), target)))
-                size += len(word)
+                before, pair, last = keys_of(x.as_py())
+                held.append((before, pair, last, np.full(len(pair), target)))
+                size += len(pair)
                 if size > FLUSH:
                     yield from out()
                     held, size = [], 0
         if held:
             yield from out()
 
-    partial = docs.select("body", "target").mapInArrow(run, "before long, word long, background long, target long")
-    return partial.groupBy("before", "word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    partial = docs.select("body", "target").mapInArrow(run, "kind byte, key long, background long, target long")
+    return partial.groupBy("kind", "key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+
+
+def values(found: DataFrame, room: float) -> DataFrame:
+    """From counts: kind, key, background, and what a key's loss is above that of a count of one in the background
+    (``more``), and in the target above that of none (``above_none``) and of one (``above_one``)."""
+
+    def loss(count: Column) -> Column:
+        return F.when(F.col("kind") == 0, F.log(count + room)).otherwise(-F.log(count + ADD))
 
+    one, none = loss(F.lit(1.0)), loss(F.lit(0.0))
+    return found.select("kind", "key", "background", (loss(F.col("background")) - one).alias("more"), (loss(F.col("target")) - none).alias("above_none"), (loss(F.col("target")) - one).alias("above_one"))
 
-def losses(docs: DataFrame) -> DataFrame:
-    """From body and target: pair, n, and the losses (nats) of its second word by the models, target and background."""
-    pairs = materialise(pair_counts(docs), "pairs")
-    words = materialise(pairs.groupBy("word").agg(F.sum("background").alias("word_background"), F.sum("target").alias("word_target")), "words")
-    size, *total = words.agg(F.count("*"), F.sum("word_background"), F.sum("word_target")).first()
-    total = dict(zip(("background", "target"), total))
-    first = words.select(F.col("word").alias("before"), F.col("word_background").alias("before_background"), F.col("word_target").alias("before_target"))
-    every = pairs.join(words, "word").join(first, "before", "left")
 
-    def loss(model: str) -> Column:
-        word = F.col(f"word_{model}") / float(max(total[model] or 0, 1))
-        pair = F.when(F.col("before") == 0, word).otherwise(F.least(F.col(model) / F.greatest(F.coalesce(f"before_{model}", F.lit(0)), F.lit(1)), F.lit(1.0)))
-        return -F.log(PAIR * pair + WORD * word + (1 - PAIR - WORD) / (size + 1))
+Hot = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
-    return materialise(every.select(paired_column().alias("pair"), F.col("background").alias("n"), loss("target").alias("target"), loss("background").alias("background")), "losses")
 
+def most_frequent(found: DataFrame, kind: int, hot: int) -> Hot:
+    """Keys in order and their values: at most ``hot`` of them, whatever the corpus."""
+    got = found.where(F.col("kind") == kind).orderBy(F.desc("background"), "key").limit(hot).select("key", "more", "above_none", "above_one").toArrow()
+    key, *rest = (c.to_numpy() for c in got.columns)
+    order = np.argsort(key.view(np.uint64))
+    return key.view(np.uint64)[order], *(x[order] for x in rest)
 
-def document_pairs(bodies: DataFrame, shared) -> DataFrame:
-    """text, pair, n of each text's distinct pairs whose losses aren't ``shared``; and a row with n = 0 (its pair
-    is the text's hash, which is no pair's) that holds the number of tokens and the sums over the shared pairs."""
+
+def asked_keys(docs: DataFrame, shared, room: float) -> DataFrame:
+    """row, key, n of each row's distinct words and pairs that aren't ``shared``; and one with n = 0 (its key is
+    the row's, which no word or pair has) with doc_id, tokens and the sums that need no asking.
+
+    The target's sums are taken both as of a document of the background only (``out``) and of one of the target (``in``).
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, by_target, by_background = shared.value
         for b in batches:
-            rows = []
-            for text, x in zip(b.column(0).to_numpy(zero_copy_only=False), b.column(1)):
-                pair, n = np.unique(paired(*numbered(x.as_py())), return_counts=True)
-                at = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1) if len(pairs) else np.zeros(len(pair), np.int64)
-                known = pairs[at] == pair if len(pairs) else np.zeros(len(pair), bool)
-                own, at, rare = n[known], at[known], pair[~known].view(np.int64)
-                zeros = np.zeros(len(rare))
-                rows.append((
-                    np.full(len(rare) + 1, text), np.append(rare, text), np.append(n[~known], 0), np.append(zeros.astype(np.int64), n.sum()),
-                    np.append(zeros, by_target[at] @ own), np.append(zeros, by_background[at] @ own),
-                ))
+            rows, heads = [], []
+            for row, x in zip(b.column(0).to_numpy(zero_copy_only=False), b.column(2)):
+                before, pair, _ = keys_of(x.as_py())
+                size = len(pair)
+                sums = size * np.array([np.log(c + room) - np.log(c + ADD) for c in (1, 0, 1)])
+                rare = []
+                for keys, (known, *more) in zip((before, pair), shared.value):
+                    key, n = np.unique(keys, return_counts=True)
+                    at = np.searchsorted(known, key)
+                    at[at == len(known)] = 0
+                    hit = known[at] == key if len(known) else np.zeros(len(key), bool)
+                    sums += [n[hit] @ x[at[hit]] for x in more]
+                    rare.append((key[~hit], n[~hit]))
+                key, n = (np.concatenate(c) for c in zip(*rare))
+                rows.append((np.full(len(key) + 1, row), np.append(key.view(np.int64), row), np.append(n, 0)))
+                heads.append((size, *sums))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["text", "pair", "n", "tokens", "sum_target", "sum_background"])
+                row, key, n = (np.concatenate(c) for c in zip(*rows))
+                first = np.zeros(len(n), np.int64)
+                first[n == 0] = np.arange(len(heads))
+                own = pa.array(first, mask=n > 0)
+                kinds = (np.int64, *[np.float64] * 3)
+                cols = [b.column(1).take(own), *(pa.array(np.array(c, k)).take(own) for c, k in zip(zip(*heads), kinds))]
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(key), pa.array(n), *cols], ["row", "key", "n", "doc_id", "tokens", "background", "out", "in"])
 
-    return bodies.mapInArrow(run, "text long, pair long, n long, tokens long, sum_target double, sum_background double")
+    return docs.select("row", "doc_id", "body").mapInArrow(run, "row long, key long, n long, doc_id long, tokens long, background double, out double, `in` double")
 
 
-def score_documents(docs: DataFrame, target_ids: DataFrame, hot: int = HOT) -> DataFrame:
+def score_documents(docs: DataFrame, target_ids: DataFrame, hot: int = HOT, passes: int = PASSES) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, difference (target minus background; lower: more like the target).
 
     ``target_ids`` holds the doc_ids of the target documents; a null doc_id is never one. Null and empty texts
     have no token, and losses and difference 0. Without target documents the target model is the even one.
     Repeated rows are counted and scored each. An empty table gives none.
     """
+    spark = docs.sparkSession
     marks = target_ids.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    body = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+    text = F.coalesce("text", F.lit(""))
+    body = docs.select(F.xxhash64("doc_id", text).alias("row"), "doc_id", text.cast("binary").alias("body"))
     # Both sides may be large, so neither is broadcast at any size.
-    both = body.join(marks.hint("merge"), "doc_id", "left").select("body", F.coalesce("target", F.lit(False)).alias("target"))
-    loss = losses(both)
-    top = loss.orderBy(F.desc("n"), "pair").limit(hot).select("pair", "target", "background").toArrow()
-    pairs, *by = (c.to_numpy() for c in top.columns)
-    order = np.argsort(pairs.view(np.uint64))
-    shared = docs.sparkSession.sparkContext.broadcast((pairs.view(np.uint64)[order], *(x[order] for x in by)))
-    text = F.xxhash64("body").alias("text")
-    joined = document_pairs(body.select(text, "body"), shared).join(loss.drop("n"), "pair", "left")
-    total = lambda model: F.sum(F.col(f"sum_{model}") + F.col("n") * F.coalesce(model, F.lit(0.0))).alias(f"sum_{model}")
-    # Rows of the same text add up alike in its tokens and losses.
-    sums = joined.groupBy("text").agg(F.sum("tokens").alias("tokens"), F.count_if(F.col("n") == 0).alias("rows"), total("target"), total("background"))
-    mean = lambda model: F.when(F.col("tokens") > 0, F.col(f"sum_{model}") / F.col("tokens")).otherwise(0.0)
-    scored = sums.select("text", F.expr("tokens div rows").alias("n_tokens"), mean("target").alias("target_loss"), mean("background").alias("background_loss"))
-    return body.select("doc_id", text).join(scored, "text").select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("difference"))
+    marked = body.join(marks.hint("merge"), "doc_id", "left").select("body", F.coalesce("target", F.lit(False)).alias("target"))
+    found = functools.reduce(DataFrame.union, [materialise(counts(marked, k, passes).where("kind = 0 or background > 1"), "counts") for k in range(passes)])
+    room = ADD * (found.where("kind = 0 and key != 0").count() + 1)
+    value = values(found, room)
+    shared = spark.sparkContext.broadcast([most_frequent(value, kind, hot) for kind in (0, 1)])
+    joined = asked_keys(body, shared, room).join(value.select("key", "more", "above_none", "above_one"), "key", "left")
+    total = lambda base, more: F.sum(F.coalesce(base, F.lit(0.0)) + F.col("n") * F.coalesce(more, F.lit(0.0))).alias(base)
+    sums = joined.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("tokens").alias("tokens"), F.count_if(F.col("n") == 0).alias("rows"), total("background", "more"), total("out", "above_none"), total("in", "above_one")
+    )
+    mean = lambda c: F.when(F.col("tokens") > 0, c / F.col("tokens")).otherwise(0.0)
+    scored = sums.join(marks, "doc_id", "left").select(
+        "doc_id", F.expr("tokens div rows").alias("n_tokens"), mean(F.when(F.col("target"), F.col("in")).otherwise(F.col("out"))).alias("target_loss"),
+        mean(F.col("background")).alias("background_loss"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy"),
+    )
+    return scored.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("difference"))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

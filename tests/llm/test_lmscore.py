@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -7,31 +8,59 @@ import pytest
 from peptora.llm import lmscore
 
 
-@pytest.mark.parametrize("hot", [lmscore.HOT, 100, 0])
-def test_every_word_and_pair_counts(spark, hot):
-    """More kinds of words and pairs than a fixed table once held; repeated texts and a null id among them."""
+def plain(rows, good):
+    """Counts over all rows in dictionaries; the formula word by word."""
+    words = [re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split() for _, t in rows]
+    pair, before = {"b": Counter(), "t": Counter()}, {"b": Counter(), "t": Counter()}
+    for (i, _), ws in zip(rows, words):
+        for c in "bt" if i is not None and i in good else "b":
+            pair[c].update(zip([None, *ws], ws))
+            before[c].update([None, *ws][: len(ws)])
+    size = len({w for ws in words for w in ws}) + 1
+    out = []
+    for (i, _), ws in zip(rows, words):
+        loss = {c: -sum(math.log((pair[c][p] + lmscore.ADD) / (before[c][p[0]] + lmscore.ADD * size)) for p in zip([None, *ws], ws)) / max(len(ws), 1) for c in "bt"}
+        out.append((-1 if i is None else i, len(ws), loss["t"], loss["b"], loss["t"] - loss["b"]))
+    return sorted(out)
+
+
+def scored(spark, rows, good, **more):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lmscore.score_documents(docs, spark.createDataFrame([(i,) for i in good], "doc_id long"), **more).collect()
+    return sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got)
+
+
+def alike(got, want):
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], rel=1e-9, abs=1e-9)
+
+
+@pytest.mark.parametrize("hot, passes", [(lmscore.HOT, 1), (100, 2), (0, 3)])
+def test_every_word_and_pair_counts(spark, hot, passes):
+    """Many kinds of words and pairs; repeated texts, rows and ids, a null id, and empty and null texts among them."""
     rng = random.Random(9)
     texts = [" ".join(f"w{rng.randrange(60_000) if rng.random() < 0.6 else int(rng.paretovariate(0.5)) % 60_000}" for _ in range(900)) for _ in range(120)]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[3]), (3, texts[3]), (500, "")]
-    good = {i for i in range(0, 120, 3)}
-    got = lmscore.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame([(i,) for i in good], "doc_id long"), hot).collect()
-    word, pair = {}, {}
-    for c, part in (("b", [t for _, t in rows]), ("t", [t for i, t in rows if i in good])):
-        word[c] = Counter(w for t in part for w in t.split())
-        pair[c] = Counter(p for t in part for p in zip(t.split(), t.split()[1:]))
-    total_words = {c: word[c].total() for c in "tb"}
-    assert len(word["b"]) > 20_000
-    want = []
-    for i, t in rows:
-        ws, loss = t.split(), []
-        for c in "tb":
-            total = 0.0
-            for k, w in enumerate(ws):
-                one = word[c][w] / total_words[c]
-                p = min(pair[c][ws[k - 1], w] / max(word[c][ws[k - 1]], 1), 1) if k else one
-                total -= math.log(lmscore.PAIR * p + lmscore.WORD * one + (1 - lmscore.PAIR - lmscore.WORD) / (len(word["b"]) + 1))
-            loss.append(total / max(len(ws), 1))
-        want.append((-1 if i is None else i, len(ws), *loss))
-    assert len(got) == len(rows)
-    for g, w in zip(sorted((-1 if r[0] is None else r[0], *r[1:4]) for r in got), sorted(want)):
-        assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], rel=1e-9)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[3]), (3, texts[3]), (3, texts[4]), (500, ""), (501, None), (502, texts[6]), (503, "Ünïcode A a A"), (504, "one")]
+    good = {*range(0, 120, 3), 503, 999}
+    alike(scored(spark, rows, [*good, 0, None], hot=hot, passes=passes), plain(rows, good))
+
+
+def test_equal_words_and_ties(spark):
+    """25,000 words of one frequency: none is left out, and the target is told apart."""
+    words = [f"w{k}" for k in range(25_000)]
+    rows = [(k, " ".join(words[k * 2500 : (k + 1) * 2500])) for k in range(10)]
+    got = scored(spark, rows, [0, 1], hot=50)
+    alike(got, plain(rows, {0, 1}))
+    assert all(abs(r[4]) < 0.01 for r in got[:2]) and all(r[4] > 1 for r in got[2:])
+
+
+def test_no_target_and_no_rows(spark):
+    alike(scored(spark, [(1, "a b a"), (2, "")], []), plain([(1, "a b a"), (2, "")], set()))
+    assert lmscore.score_documents(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1,)], "doc_id long")).count() == 0
+
+
+def test_probabilities_sum_to_one():
+    size, n = 7, Counter({"a": 3, "b": 1})
+    every = [(n[w] + lmscore.ADD) / (n.total() + lmscore.ADD * (size + 1)) for w in ["a", "b", *range(size - 2), "unknown"]]
+    assert sum(every) == pytest.approx(1)
