@@ -12,8 +12,8 @@ looked up by key, and no row needs a pair and its words at once. Keys are 64-bit
 
 Counts grow with the corpus and stay in Spark tables. A key that occurs once needs no row: whoever
 asks for it is its one place and knows its counts. The HOT most frequent words and pairs are
-broadcast, all other keys are joined; none of those is frequent enough to fill a task. Keys are
-counted in PASSES shares, one after the other, which bounds what stands on disk at a time.
+broadcast, all other keys are joined; none of those is frequent enough to fill a task. They are
+asked for in PASSES shares, one after the other, which bounds what stands on disk at a time.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ ADD = 0.01
 #: Broadcast words, and as many pairs.
 HOT = 1 << 18
 PASSES = 2
+#: A key's share is told by the bits above these.
+SHARE = 40
 #: Tokens whose counts a task holds, and rows of a batch.
 FLUSH, BATCH = 2_000_000, 100_000
 
@@ -54,8 +56,8 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def counts(docs: DataFrame, this: int = 0, of: int = 1) -> DataFrame:
-    """kind (0: a word that stands before another; 1: a pair), key, background, target, of one share of the keys.
+def counts(docs: DataFrame) -> DataFrame:
+    """kind (0: a word that stands before another; 1: a pair), key, background, target.
 
     A document's last word stands before none and counts zero, for the vocabulary. Partial counts
     leave a task whenever they grow long.
@@ -64,16 +66,13 @@ def counts(docs: DataFrame, this: int = 0, of: int = 1) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
-        share, shares = np.uint64(this), np.uint64(of)
 
         def out() -> Iterator[pa.RecordBatch]:
             before, pair, last, target = (np.concatenate(x) for x in zip(*held))
             for kind, keys, zeros in ((0, before, last), (1, pair, last[:0])):
-                own = keys % shares == share
-                zeros, marks = zeros[zeros % shares == share], target[own]
-                key, where = np.unique(np.concatenate([keys[own], zeros]), return_inverse=True)
-                where = where[: len(marks)]
-                every, marked = (np.bincount(w, minlength=len(key)).astype(np.int64) for w in (where, where[marks]))
+                key, where = np.unique(np.concatenate([keys, zeros]), return_inverse=True)
+                where = where[: len(keys)]
+                every, marked = (np.bincount(w, minlength=len(key)).astype(np.int64) for w in (where, where[target]))
                 for k in range(0, len(key), BATCH):
                     now = slice(k, k + BATCH)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[now]), kind, np.int8)), signed(key[now]), pa.array(every[now]), pa.array(marked[now])], ["kind", "key", "background", "target"])
@@ -115,23 +114,25 @@ def most_frequent(found: DataFrame, kind: int, hot: int) -> Hot:
     return key.view(np.uint64)[order], *(x[order] for x in rest)
 
 
-def asked_keys(docs: DataFrame, shared, room: float) -> DataFrame:
-    """row, key, n of each row's distinct words and pairs that aren't ``shared``; and one with n = 0 (its key is
-    the row's, which no word or pair has) with doc_id, tokens and the sums that need no asking.
+def asked_keys(docs: DataFrame, shared, room: float, this: int, of: int) -> DataFrame:
+    """row, key, n of each row's distinct words and pairs, of one share of the keys, that aren't ``shared``; and a row with
+    n = 0 (its key is the row's, which no word or pair has) with doc_id, tokens and the sums that need no asking.
 
     The target's sums are taken both as of a document of the background only (``out``) and of one of the target (``in``).
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share, shares = np.uint64(this), np.uint64(of)
+        once = np.array([np.log(c + room) - np.log(c + ADD) for c in (1, 0, 1)])  # a word and a pair that occur once, or not in the target
         for b in batches:
             rows, heads = [], []
             for row, x in zip(b.column(0).to_numpy(zero_copy_only=False), b.column(2)):
                 before, pair, _ = keys_of(x.as_py())
                 size = len(pair)
-                sums = size * np.array([np.log(c + room) - np.log(c + ADD) for c in (1, 0, 1)])
+                sums = 0 ** this * size * once
                 rare = []
                 for keys, (known, *more) in zip((before, pair), shared.value):
-                    key, n = np.unique(keys, return_counts=True)
+                    key, n = np.unique(keys if of == 1 else keys[(keys >> np.uint64(SHARE)) % shares == share], return_counts=True)
                     at = np.searchsorted(known, key)
                     at[at == len(known)] = 0
                     hit = known[at] == key if len(known) else np.zeros(len(key), bool)
@@ -163,17 +164,24 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, hot: int = HOT, pass
     marks = target_ids.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True))
     text = F.coalesce("text", F.lit(""))
     body = docs.select(F.xxhash64("doc_id", text).alias("row"), "doc_id", text.cast("binary").alias("body"))
-    # Both sides may be large, so neither is broadcast at any size.
-    marked = body.join(marks.hint("merge"), "doc_id", "left").select("body", F.coalesce("target", F.lit(False)).alias("target"))
-    found = functools.reduce(DataFrame.union, [materialise(counts(marked, k, passes).where("kind = 0 or background > 1"), "counts") for k in range(passes)])
+    # Marks beyond Spark's own bound for broadcasts meet the texts by a sorted join.
+    marked = body.join(marks, "doc_id", "left").select("body", F.coalesce("target", F.lit(False)).alias("target"))
+    found = materialise(counts(marked).where("kind = 0 or background > 1"), "counts")
     room = ADD * (found.where("kind = 0 and key != 0").count() + 1)
     value = values(found, room)
     shared = spark.sparkContext.broadcast([most_frequent(value, kind, hot) for kind in (0, 1)])
-    joined = asked_keys(body, shared, room).join(value.select("key", "more", "above_none", "above_one"), "key", "left")
+    asked = value.select("key", "more", "above_none", "above_one")
     total = lambda base, more: F.sum(F.coalesce(base, F.lit(0.0)) + F.col("n") * F.coalesce(more, F.lit(0.0))).alias(base)
-    sums = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("tokens").alias("tokens"), F.count_if(F.col("n") == 0).alias("rows"), total("background", "more"), total("out", "above_none"), total("in", "above_one")
-    )
+
+    def sums_of(share: int) -> DataFrame:
+        own = asked.where(F.shiftrightunsigned("key", SHARE) % passes == share)
+        joined = asked_keys(body, shared, room, share, passes).join(own, "key", "left")
+        return joined.groupBy("row").agg(
+            F.max("doc_id").alias("doc_id"), F.sum("tokens").alias("tokens"), F.count_if(F.col("n") == 0).alias("rows"), total("background", "more"), total("out", "above_none"), total("in", "above_one")
+        )
+
+    shares = functools.reduce(DataFrame.union, [materialise(sums_of(k), "sums") for k in range(passes)])
+    sums = shares.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"), F.max("rows").alias("rows"), *(F.sum(c).alias(c) for c in ("background", "out", "in")))
     mean = lambda c: F.when(F.col("tokens") > 0, c / F.col("tokens")).otherwise(0.0)
     scored = sums.join(marks, "doc_id", "left").select(
         "doc_id", F.expr("tokens div rows").alias("n_tokens"), mean(F.when(F.col("target"), F.col("in")).otherwise(F.col("out"))).alias("target_loss"),

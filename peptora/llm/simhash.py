@@ -46,13 +46,17 @@ def simhash64(body: bytes, width: int = 4, seed: int = 42) -> int:
     starts = [0, *ends[:-1]]
     n = max(1, len(words) - width + 1)
     last = ends[min(width, len(words)) - 1 :]
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, SHINGLES_AT_ONCE):
-        part = zip(starts[at : min(n, at + SHINGLES_AT_ONCE)], last[at : at + SHINGLES_AT_ONCE])
-        h = np.array([xxhash.xxh64_intdigest(joined[s : e - 1], seed) for s, e in part], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(ones * 2 > n, bitorder="little")
-    return int(bits.view("<u8")[0])
+    parts = (zip(starts[at : min(n, at + SHINGLES_AT_ONCE)], last[at : at + SHINGLES_AT_ONCE]) for at in range(0, n, SHINGLES_AT_ONCE))
+    return majority(np.array([xxhash.xxh64_intdigest(joined[s : e - 1], seed) for s, e in part], np.uint64) for part in parts)
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of the hashes, which come in parts."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in parts:
+        ones += np.unpackbits(h.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
