@@ -51,10 +51,12 @@ UNKNOWN_FREQUENCY = 0.00001
 HMM_STAY, HMM_ENTER, HMM_LEAVE, HMM_KEEP = 0.999, 0.001, 0.02, 0.98
 HMM_START = (0.9524, 0.0476)
 
-# Prion propensity (Toombs et al., Mol Cell Biol 30:319, 2010): frequencies in
-# prion-forming sequences and in the library they come from, in the order of RESIDUES.
-PAPA_SEEN = (0.042, 0.033, 0.014, 0.009, 0.075, 0.038, 0.059, 0.102, 0.009, 0.059, 0.038, 0.096, 0.038, 0.024, 0.054, 0.125, 0.069, 0.102, 0.024, 0.054)
-PAPA_LIBRARY = (0.072, 0.022, 0.051, 0.017, 0.032, 0.040, 0.078, 0.045, 0.045, 0.061, 0.020, 0.089, 0.127, 0.022, 0.081, 0.109, 0.078, 0.045, 0.012, 0.025)
+# Odds of each residue in prion-forming sequences against their library, as
+# published (Toombs et al., Mol Cell Biol 30:319, 2010), in the order of RESIDUES.
+PAPA_ODDS = (
+    0.67267686, 1.5146198, 0.27887323, 0.5460614, 2.313433, 0.96153843, 0.75686276, 2.2562358, 0.20664589, 0.9607843,
+    1.9615384, 1.0836071, 0.30196398, 1.0716166, 0.6664044, 1.1432927, 0.8917492, 2.2562358, 1.9478673, 2.1785367,
+)
 
 # FoldIndex (Prilusky et al., Bioinformatics 21:3435, 2005).
 FOLD_H, FOLD_R, FOLD_C = 2.785, -1.0, -1.151
@@ -82,7 +84,7 @@ def prion_ratio() -> dict[str, float]:
 
 
 def prion_propensity() -> dict[str, float]:
-    """ln of the odds ratio of each residue between prion-forming sequences and their library."""
+    """ln of the published odds of each residue."""
     import math
 
-    return {a: math.log((x / (1 - x)) / (y / (1 - y))) for a, x, y in zip(RESIDUES, PAPA_SEEN, PAPA_LIBRARY)}
+    return {a: math.log(x) for a, x in zip(RESIDUES, PAPA_ODDS)}

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peptora.operators.kernels import bound_batches
+
 
 def charge_decoration(sequences: DataFrame) -> DataFrame:
     """acc, scd. Null and empty sequences: null."""
@@ -33,4 +35,5 @@ def charge_decoration(sequences: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scd(s.as_py()) for s in b.column(1)], pa.float64())], ["acc", "scd"])
 
+    bound_batches(sequences)
     return sequences.select(F.col("acc").cast("string"), "seq").mapInArrow(run, "acc string, scd double")

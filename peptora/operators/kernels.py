@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from peptora.functions.tables import HMM_ENTER, HMM_KEEP, HMM_LEAVE, HMM_START, HMM_STAY, PRION, RESIDUES, SCALES100, SEG_HIGH, SEG_LOW, SEG_TRIM, SEG_WINDOW, UNKNOWN_FREQUENCY, YEAST, granule10000
 
@@ -24,8 +25,19 @@ def codes(seq: str) -> np.ndarray:
     return CODE[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
 
 
+#: Sequences of an Arrow batch: they may be long, and a batch stands in memory on both sides.
+BATCH = 500
+
+
+def bound_batches(df: DataFrame) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH:
+        df.sparkSession.conf.set(key, str(BATCH))
+
+
 def over_sequences(sequences: DataFrame, schema: str, row: Callable[[str], tuple]) -> DataFrame:
     """acc and what ``row`` makes of each sequence. A null or empty one gives nulls."""
+    bound_batches(sequences)
     fields = [f.strip().split(" ") for f in schema.split(", ")]
     kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<array<int>>": pa.list_(pa.list_(pa.int32()))}
 
@@ -40,16 +52,60 @@ def over_sequences(sequences: DataFrame, schema: str, row: Callable[[str], tuple
 # Low-complexity segments with trimming
 
 
+#: Windows whose letters are counted at a time.
+STRETCH = 1 << 20
+
+
 def entropies(x: np.ndarray, length: int = SEG_WINDOW) -> np.ndarray:
-    """Bits of the residues in each window; other letters don't count, and a window of them has none."""
-    n = len(x) - length + 1
-    sums = np.zeros((21, len(x) + 1), np.int64)
-    sums[x, np.arange(1, len(x) + 1)] = 1
-    sums = np.cumsum(sums, axis=1)
-    counts = (sums[:20, length:] - sums[:20, :n]).astype(float)
-    total = counts.sum(axis=0)
-    p = np.divide(counts, total, out=np.zeros_like(counts), where=total > 0)
-    return -(p * np.log2(p, out=np.zeros_like(p), where=p > 0)).sum(axis=0)
+    """Bits of the residues in each window; other letters don't count, and a window of them has none.
+
+    Of T residues counted c each the entropy is log2 T - sum of c log2 c / T. Counts are differences
+    of prefix counts, letter by letter, and the products come from a table.
+    """
+    if len(x) > STRETCH + length:
+        return np.concatenate([entropies(x[k : k + STRETCH + length - 1], length) for k in range(0, len(x) - length + 1, STRETCH)])
+    n = max(0, len(x) - length + 1)
+    products = np.arange(length + 1) * np.log2(np.maximum(np.arange(length + 1), 1))
+    total, summed = np.zeros(n, np.int64), np.zeros(n)
+    for k in range(20 if n else 0):
+        upto = np.concatenate([[0], np.cumsum(x == k, dtype=np.int64)])
+        count = upto[length:] - upto[:n]
+        total += count
+        summed += products[count]
+    some = np.maximum(total, 1)
+    return np.log2(some) - summed / some
+
+
+def entropy_summary(sequences: DataFrame, length: int = SEG_WINDOW) -> DataFrame:
+    """acc, size (windows), and the least and the mean entropy of them; a sequence under ``length`` has none."""
+
+    def row(seq: str) -> tuple:
+        h = entropies(codes(seq), length)
+        return (len(h), float(h.min()), float(h.mean())) if len(h) else (0, None, None)
+
+    return over_sequences(sequences, "size long, low double, mean double", row)
+
+
+def low_complexity(sequences: DataFrame, length: int = SEG_WINDOW, low: float = SEG_LOW, high: float = SEG_HIGH) -> DataFrame:
+    """acc, n, first, last: runs of windows up to ``high`` bits that hold one up to ``low``, with their residues, overlaps merged."""
+
+    def row(seq: str) -> tuple:
+        h = entropies(codes(seq), length)
+        # An entropy is a sum of shares; a margin under any gap between its values keeps the comparison free of rounding.
+        edge = np.diff(np.concatenate([[0], (h <= high + 1e-9).astype(np.int8), [0]]))
+        out: list[list[int]] = []
+        for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+            if h[s:e].min() > low + 1e-9:
+                continue
+            # The windows s to e - 1 cover the residues up to e + length - 2.
+            if out and s <= out[-1][1]:
+                out[-1][1] = e + length - 1
+            else:
+                out.append([s, e + length - 1])
+        return len(seq), out
+
+    got = over_sequences(sequences, "n long, spans array<array<int>>", row).select("acc", "n", F.explode("spans").alias("span"))
+    return got.select("acc", "n", F.col("span")[0].cast("long").alias("first"), F.col("span")[1].cast("long").alias("last"))
 
 
 LOG = np.log(np.maximum(np.arange(21), 1))
@@ -192,38 +248,66 @@ def decode_states(seq: str) -> tuple:
 
 
 def hidden_states(sequences: DataFrame) -> DataFrame:
+    """acc, path, score, viterbi_score, posterior, prion_residues, high_posterior."""
     return over_sequences(sequences, "path array<int>, score double, viterbi_score double, posterior array<double>, prion_residues long, high_posterior double", decode_states)
 
 
+def hidden_state_summary(sequences: DataFrame) -> DataFrame:
+    """As hidden_states without the arrays, which then never leave the worker."""
+
+    def row(seq: str) -> tuple:
+        _, score, viterbi, _, prion, high = decode_states(seq)
+        return score, viterbi, prion, high
+
+    return over_sequences(sequences, "score double, viterbi_score double, prion_residues long, high_posterior double", row)
+
+
 # The 181 columns of the surrogate
 
 
-def _window_means(values: np.ndarray, radius: int) -> np.ndarray:
-    n = len(values)
-    sums = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0)])
+QUARTILES, POINTS = (0.25, 0.5, 0.75), (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
+
+
+def _window_means(sums: np.ndarray, radius: int) -> np.ndarray:
+    """Means of the windows around each place, from the prefix sums of rows of values."""
+    n = sums.shape[1] - 1
     at = np.arange(n)
     low, high = np.maximum(0, at - radius), np.minimum(n, at + radius + 1)
-    return (sums[high] - sums[low]) / (high - low)[:, None]
+    return (sums[:, high] - sums[:, low]) / (high - low)
+
+
+def _quantiles(ordered: np.ndarray, points: tuple[float, ...]) -> np.ndarray:
+    """Linear quantiles of sorted rows, one row a point."""
+    at = np.array(points) * (ordered.shape[1] - 1)
+    low = np.floor(at).astype(int)
+    high = np.minimum(low + 1, ordered.shape[1] - 1)
+    return (ordered[:, low] + (ordered[:, high] - ordered[:, low]) * (at - low)).T
 
 
 def features_of(seq: str) -> np.ndarray:
-    """Window summaries at four radii, profile statistics at three, composition, length and its logarithm."""
+    """Window summaries at four radii, profile statistics at three, composition, length and its logarithm.
+
+    One prefix sum over the scales serves all radii, and each row of means is sorted once.
+    """
     x = codes(seq)
-    scales = np.array([SCALES100[a] for a in RESIDUES] + [(0,) * 6], float) / 100
-    fused = np.array([granule10000()[a] for a in RESIDUES] + [0], float)[:, None] / 10000
-    parts = []
-    for radius in (3, 7, 13, 25):
-        m = _window_means(scales[x], radius)
-        parts += [m.mean(axis=0), *np.quantile(m, [0.25, 0.5, 0.75], axis=0), m.std(axis=0)]
-    g = _window_means(fused[x], 3)
     n = len(x)
+    scales = np.array([SCALES100[a] for a in RESIDUES] + [(0,) * 6], float).T / 100
+    fused = np.array([granule10000()[a] for a in RESIDUES] + [0], float) / 10000
+    upto = lambda v: np.concatenate([np.zeros((len(v), 1)), np.cumsum(v, axis=1)], axis=1)
+    sums, parts = upto(scales[:, x]), []
+    for radius in (3, 7, 13, 25):
+        m = _window_means(sums, radius)
+        mean, sd = m.mean(axis=1), m.std(axis=1)
+        m.sort(axis=1)
+        parts += [mean, *_quantiles(m, QUARTILES), sd]
+    g = upto(_window_means(upto(fused[x][None, :]), 3))
     for radius in (3, 12, 25):
         if n <= 2 * radius:
             parts.append(np.zeros(13))
             continue
-        p = _window_means(g, radius)[radius - 1 : n - radius - 1, 0]
+        p = np.sort(_window_means(g, radius)[:, radius - 1 : n - radius - 1], axis=1)
         up = p[p > 0]
-        parts.append(np.array([p.mean(), p.std(), *np.quantile(p, [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]), p.min(), p.max(), (p > 0).mean(), up.mean() if len(up) else 0.0]))
+        parts.append(np.array([p.mean(), p.std(), *_quantiles(p, POINTS)[:, 0], p[0, 0], p[0, -1], (p > 0).mean(), up.mean() if len(up) else 0.0]))
     parts.append(np.bincount(x, minlength=21)[:20] / n)
     parts.append(np.array([n, math.log(n)]))
     return np.concatenate(parts)

@@ -8,13 +8,12 @@ exact in any order.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peptora.functions.tables import COEFFICIENTS100, CORE, FOLD_C, FOLD_H, FOLD_R, FOLD_WINDOW, HYDROPATHY10, LENGTH_COEFFICIENT, NORMALISATION, PROFILE_RADIUS, SCALE_NAMES, SCALES100, SEG_HIGH, SEG_LOW, SEG_WINDOW, RESIDUES, granule10000
+from peptora.functions.tables import COEFFICIENTS100, CORE, FOLD_C, FOLD_H, FOLD_R, FOLD_WINDOW, HYDROPATHY10, LENGTH_COEFFICIENT, NORMALISATION, PROFILE_RADIUS, RESIDUES, SCALE_NAMES, SCALES100, granule10000
 
 
 def by_position() -> Window:
@@ -22,8 +21,16 @@ def by_position() -> Window:
 
 
 def residues(sequences: DataFrame) -> DataFrame:
-    """(acc, seq) to (acc, n, pos, aa), pos from 0. Null or empty sequences have no residues."""
+    """(acc, seq) to (acc, n, pos, aa), pos from 0. Null or empty sequences have no residues.
+
+    An accession names one sequence: its residues stand at their positions, so a second row of it
+    would stand between them. Repeated and null accessions therefore fail; see ``first_occurrences``.
+    """
     dealt = sequences.where(F.length("seq") > 0).select("acc", "seq").repartition("acc")
+    wrong = F.when(F.col("acc").isNull(), F.raise_error(F.lit("a sequence has no accession"))).when(
+        F.count("*").over(Window.partitionBy("acc")) > 1, F.raise_error(F.concat(F.lit("several sequences of accession "), F.col("acc").cast("string")))
+    )
+    dealt = dealt.withColumn("_wrong", wrong).where("_wrong is null")
     return dealt.select("acc", F.length("seq").cast("long").alias("n"), F.posexplode(F.split("seq", "")).alias("pos", "aa")).where("aa != ''")
 
 
@@ -173,47 +180,6 @@ def disordered_runs(table: DataFrame, least: int = 5) -> DataFrame:
     return got.select("acc", "n", first.alias("first"), last.alias("last")).where(F.col("last") - F.col("first") >= least)
 
 
-def window_entropy(table: DataFrame, length: int = SEG_WINDOW) -> DataFrame:
-    """Adds entropy (bits) of the residues in the window that starts here; null where it doesn't fit.
-
-    Only the 20 residues count; a window without any has entropy 0. Letters are counted
-    in the window's own short string, which one frame gathers.
-    """
-    window = F.array_join(F.collect_list("aa").over(by_position().rowsBetween(0, length - 1)), "")
-    # With T residues counted c each: log2 T - sum of c log2 c / T, the products from a table.
-    products = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(length + 1)])
-    total = F.length(F.regexp_replace("_w", f"[^{RESIDUES}]", ""))
-    # A fold over the letters, not 20 terms: long expressions make methods that the JVM leaves uncompiled.
-    count = lambda a: F.length("_w") - F.length(F.replace(F.col("_w"), a, F.lit("")))
-    summed = F.aggregate(F.array(*map(F.lit, RESIDUES)), F.lit(0.0), lambda x, a: x + F.get(products, count(a)))
-    got = table.withColumn("_w", window).select("*", summed.alias("_sum"), total.alias("_total"))
-    bits = F.when(F.col("_total") > 0, F.log2(F.col("_total")) - F.col("_sum") / F.col("_total")).otherwise(0.0)
-    return got.withColumn("entropy", F.when(F.col("pos") + length <= F.col("n"), bits)).drop("_w", "_sum", "_total")
-
-
-def low_complexity(table: DataFrame, length: int = SEG_WINDOW, low: float = SEG_LOW, high: float = SEG_HIGH) -> DataFrame:
-    """acc, n, first, last: runs of windows up to ``high`` bits that hold one up to ``low``, with their residues, overlaps merged."""
-    down, up = (length + 1) // 2 - 1, length - ((length + 1) // 2 - 1)
-    # An entropy is a sum of shares; a margin under any gap between its values keeps the comparison free of rounding.
-    got = window_entropy(table, length).withColumn("_in", F.col("entropy") <= high + 1e-9)
-    got = got.withColumn("_in", F.coalesce("_in", F.lit(False)))
-    start = F.col("_in") & ~F.coalesce(F.lag("_in").over(by_position()), F.lit(False))
-    got = got.withColumn("_run", F.sum(start.cast("long")).over(by_position().rowsBetween(Window.unboundedPreceding, 0))).where("_in")
-    found = got.groupBy("acc", "n", "_run").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.min("entropy").alias("least")).where(F.col("least") <= low + 1e-9)
-    # A window stands at its middle: it covers down residues before and up - 1 behind.
-    spans = found.select("acc", "n", F.col("lo").cast("long").alias("first"), (F.col("hi") + down + up).cast("long").alias("last"))
-    return merge_spans(spans)
-
-
-def merge_spans(spans: DataFrame) -> DataFrame:
-    """Of (acc, n, first, last): overlapping or touching spans as one, by the greatest end so far."""
-    by_first = Window.partitionBy("acc").orderBy("first", "last")
-    before = F.max("last").over(by_first.rowsBetween(Window.unboundedPreceding, -1))
-    got = spans.withColumn("_new", F.coalesce(F.col("first") > before, F.lit(True)).cast("long"))
-    got = got.withColumn("_group", F.sum("_new").over(by_first.rowsBetween(Window.unboundedPreceding, 0)))
-    return got.groupBy("acc", "n", "_group").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_group")
-
-
 def core_domains(table: DataFrame, state: Column, value: Column, length: int = CORE) -> DataFrame:
     """acc, core, core_first, domain, domain_first, domain_last: the best window inside stretches of ``state``, and its stretch's sum."""
     ahead = by_position().rowsBetween(0, length - 1)
@@ -277,13 +243,18 @@ def aligned_profile(profile_: DataFrame, single: DataFrame) -> DataFrame:
 
 
 def batch_scores(sequences: DataFrame, route: str = "paper") -> DataFrame:
-    """Every row with its score, or with what is wrong with its sequence (null, empty, unsupported)."""
+    """Every row with its own score, or with what is wrong with its sequence (null, empty, unsupported).
+
+    Equal sequences are scored once, under their digest; accessions may repeat or be null.
+    """
     from peptora.functions.sequence import is_standard
 
     fine = F.coalesce(is_standard(F.col("seq")), F.lit(False))
     error = F.when(F.coalesce(F.length("seq"), F.lit(0)) == 0, "empty sequence").when(~fine, "unsupported residues")
-    scored = protein_scores(sequences.where(fine).dropDuplicates(["acc"]), route).select("acc", "score")
-    return sequences.withColumn("error", error).join(scored, "acc", "left").withColumn("score", F.when(F.col("error").isNull(), F.col("score")))
+    rows = sequences.withColumn("error", error).withColumn("_key", F.when(fine, F.sha2("seq", 256)))
+    distinct = rows.where("_key is not null").groupBy("_key").agg(F.first("seq").alias("seq"))
+    scored = protein_scores(distinct.withColumnRenamed("_key", "acc"), route).select(F.col("acc").alias("_key"), "score")
+    return rows.join(scored, "_key", "left").drop("_key")
 
 
 def prion_propensity_peak(table: DataFrame, window: int = 41) -> DataFrame:

@@ -238,7 +238,7 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
     return metrics.coverage(got, "organism", "value").withColumn("share", r6("share"))
 
 
-@query("d20_set_digest")
+@query("d20_set_digest", f"WITH {SEQ} SELECT count(*) AS n, sum(('0x' || substr(sha256(acc || chr(9) || seq), 1, 15))::HUGEINT)::VARCHAR AS digest FROM v_seq")
 def set_digest(spark: SparkSession, d: str) -> DataFrame:
     return checks.set_digest(sequences(spark, d), ["acc", "seq"])
 
@@ -344,7 +344,7 @@ def final_ensemble(spark: SparkSession, d: str) -> DataFrame:
 @query("j06_tuned_search")
 def tuned_search(spark: SparkSession, d: str) -> DataFrame:
     rows = _labelled(spark, d).where("task = 'SaPS'")
-    return learn.tuned_search(rows, PLAIN, [1.0, 4.0], [0.01, 0.1], n_folds=3)[1].withColumn("auc", F.round("auc", 4))
+    return learn.tuned_search(rows, PLAIN, [1.0, 4.0], [0.001, 0.01, 0.1])[1].withColumn("auc", F.round("auc", 4))
 
 
 def _surrogate_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -357,7 +357,7 @@ def _surrogate_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]
 @query("j08_surrogate")
 def surrogate(spark: SparkSession, d: str) -> DataFrame:
     train, test = _surrogate_parts(spark, d)
-    return learn.surrogate(train, test, trees=5).select("acc", "score", r6("prediction").alias("prediction"))
+    return learn.surrogate(train, test).select("acc", "score", r6("prediction").alias("prediction"))
 
 
 @query("j09_linear_control")
@@ -391,11 +391,12 @@ def summary(spark: SparkSession, d: str) -> DataFrame:
     return audit.summary(audit.metric_layer(measured, targets, 0.2))
 
 
-@query("j17_recomputed_metrics", f"WITH {SCORED}, a AS ({AUC.format(by='task', rows='v_scored')}) SELECT task AS name, 'pass' AS verdict FROM a")
+@query("j17_recomputed_metrics", f"WITH {SCORED}, a AS ({AUC.format(by='task', rows='v_scored')}) SELECT task AS name, auc AS measured, auc AS recorded, 'pass' AS verdict FROM a")
 def recomputed_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """AUC by rank sums against AUC by distinct thresholds, to 1e-9."""
+    """AUC by rank sums against AUC by distinct thresholds, to 1e-9, with both values."""
     scored = _scored(spark, d)
     ranked = scored.withColumn("r", metrics.mean_rank(["task"], "score")).groupBy("task").agg(F.sum(F.when(F.col("label") == 1, F.col("r"))).alias("s"), F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
     recorded = ranked.select(F.col("task").alias("name"), ((F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("n"))).alias("target"))
     measured = metrics.auc(scored, ["task"]).select(F.col("task").alias("name"), F.col("auc").alias("value"))
-    return audit.metric_layer(measured, recorded, 1e-9, "recomputed").select("name", "verdict")
+    rows = audit.metric_layer(measured, recorded, 1e-9, "recomputed")
+    return rows.select("name", r6(F.col("measured").cast("double")).alias("measured"), r6(F.col("threshold").cast("double")).alias("recorded"), "verdict")

@@ -162,9 +162,17 @@ def disordered_runs(spark: SparkSession, d: str) -> DataFrame:
     return R.disordered_runs(residue_table(spark, d)).groupBy("acc").agg(F.count("*").alias("stretches"), F.sum(size).alias("residues"), F.max(size).alias("longest"), F.min("first").alias("first"))
 
 
-@query("e14_papa")
+W41K = "(1 + least(pos, least(20, n - 1)) + least(n - 1 - pos, least(20, n - 1)))"
+
+
+@query("e14_papa", f"""
+WITH {FOLD}, {_values("t_papa", prion_propensity())},
+o AS (SELECT f.*, CASE WHEN aa = 'P' AND (lag(aa, 1) {SORT} IS NOT DISTINCT FROM 'P' OR lag(aa, 2) {SORT} IS NOT DISTINCT FROM 'P') THEN 0 ELSE t.v END AS once FROM v_fi f JOIN t_papa t USING (aa)),
+m AS (SELECT acc, n, pos, fi, {over(20, "sum(once)")} / {W41} AS x FROM o),
+t AS (SELECT acc, n, pos, {over(20, f"sum({W41K} * x)")} / {over(20, f"sum({W41K})")} AS x2, {over(20, f"sum({W41K} * fi)")} / {over(20, f"sum({W41K})")} AS fi2 FROM m)
+SELECT acc, round(max(x2) FILTER (WHERE fi2 < 0 AND pos >= 20 AND pos < n - 20), 6) AS papa FROM t GROUP BY acc""")
 def papa(spark: SparkSession, d: str) -> DataFrame:
-    return R.prion_propensity_peak(residue_table(spark, d))
+    return R.prion_propensity_peak(residue_table(spark, d)).select("acc", r6("papa").alias("papa"))
 
 
 @query("e15_longest_run", f"WITH {RES}, marked AS (SELECT acc, n, pos FROM v_res WHERE charge <> 0), {RUNS} SELECT acc, max(last - first) AS longest, count(*) AS stretches FROM runs GROUP BY acc")
@@ -191,8 +199,8 @@ v_h AS (SELECT acc, n, pos, -({" + ".join(f"CASE WHEN c_{a} > 0 THEN c_{a}{D} /
 
 @query("e17_entropy", f"WITH {ENTROPY} SELECT acc, count(*) AS size, round(min(h), 6) + 0.0 AS low, round(avg(h), 6) AS mean FROM v_h GROUP BY acc")
 def entropy(spark: SparkSession, d: str) -> DataFrame:
-    got = R.window_entropy(residue_table(spark, d)).where("entropy is not null")
-    return got.groupBy("acc").agg(F.count("*").alias("size"), (r6(F.min("entropy")) + 0.0).alias("low"), r6(F.avg("entropy")).alias("mean"))
+    got = kernels.entropy_summary(sequences(spark, d)).where("size > 0")
+    return got.select("acc", "size", (r6("low") + 0.0).alias("low"), r6("mean").alias("mean"))
 
 
 LOW = f"""{ENTROPY}, isl AS (
@@ -205,12 +213,12 @@ low AS (SELECT acc, n, min(first) AS first, max(last) AS last FROM (
 
 @query("e18_low_complexity", f"WITH {LOW} SELECT acc, first, last FROM low")
 def low_complexity(spark: SparkSession, d: str) -> DataFrame:
-    return R.low_complexity(residue_table(spark, d)).select("acc", "first", "last")
+    return kernels.low_complexity(sequences(spark, d)).select("acc", "first", "last")
 
 
 @query("d09_low_complexity_share", f"WITH {LOW} SELECT acc, round(sum(last - first){D} / n, 6) AS share FROM low GROUP BY acc, n")
 def low_complexity_share(spark: SparkSession, d: str) -> DataFrame:
-    return R.low_complexity(residue_table(spark, d)).groupBy("acc", "n").agg(F.sum(F.col("last") - F.col("first")).alias("s")).select("acc", r6(F.col("s").cast("double") / F.col("n")).alias("share"))
+    return kernels.low_complexity(sequences(spark, d)).groupBy("acc", "n").agg(F.sum(F.col("last") - F.col("first")).alias("s")).select("acc", r6(F.col("s").cast("double") / F.col("n")).alias("share"))
 
 
 @query("e19_exact_segments")
@@ -226,20 +234,29 @@ def top_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
     return R.top_neighbourhood(R.residue_scores(residue_table(spark, d)), "score").withColumn("top_mean", r6("top_mean"))
 
 
-@query("e21_spread_average")
+def _spread_sql(w: int) -> str:
+    mean = f"CASE WHEN pos >= {w // 2} AND pos + {w - w // 2} <= n THEN avg(score) OVER (PARTITION BY acc ORDER BY pos ROWS BETWEEN {w // 2} PRECEDING AND {w - w // 2 - 1} FOLLOWING) END"
+    return f"a{w} AS (SELECT acc, round(max(m), 4) AS high_{w} FROM (SELECT acc, {mean} AS m FROM v_w) GROUP BY acc)"
+
+
+# What fills the ends is one of the means, so the greatest is that of the means which fit.
+@query("e21_spread_average", f"WITH {RES}, {', '.join(_spread_sql(w) for w in (20, 40, 60))} SELECT acc, high_20, high_40, high_60 FROM a20 JOIN a40 USING (acc) JOIN a60 USING (acc)")
 def spread_average(spark: SparkSession, d: str) -> DataFrame:
     got = R.spread_average(R.residue_scores(residue_table(spark, d)), "score")
-    return got.groupBy("acc").agg(*[r6(F.max(f"avg_{w}")).alias(f"high_{w}") for w in (20, 40, 60)])
+    return got.groupBy("acc").agg(*[F.round(F.max(f"avg_{w}"), 4).alias(f"high_{w}") for w in (20, 40, 60)])
 
 
 @query("e22_hidden_states")
 def hidden_states(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.hidden_states(sequences(spark, d)).drop("path", "posterior")
+    return kernels.hidden_state_summary(sequences(spark, d))
 
 
-@query("c15_charge_decoration")
+@query("c15_charge_decoration", f"""
+WITH {RES}, q AS (SELECT acc, n, pos, charge FROM v_res WHERE charge <> 0),
+p AS (SELECT a.acc, a.n, sum(a.charge * b.charge * sqrt((b.pos - a.pos){D})) AS s FROM q a JOIN q b ON a.acc = b.acc AND a.pos < b.pos GROUP BY a.acc, a.n)
+SELECT acc, round(coalesce(s, 0){D} / length(seq), 6) AS scd FROM v_seq LEFT JOIN p USING (acc)""")
 def charge_decoration(spark: SparkSession, d: str) -> DataFrame:
-    return charge.charge_decoration(sequences(spark, d))
+    return charge.charge_decoration(sequences(spark, d)).withColumn("scd", r6("scd"))
 
 
 @query("d02_background", f"""
@@ -276,9 +293,9 @@ def _summary_sql(radii: tuple[int, ...]) -> str:
     return f"WITH {SEQ}, {scales}, v_res0 AS (SELECT acc, length(seq) AS n, unnest(range(length(seq))) AS pos, unnest(string_split(seq, '')) AS aa FROM v_seq), s AS (SELECT acc, n, pos, {', '.join(f't_{n}.v AS {n}' for n in SCALE_NAMES)} FROM v_res0 " + " ".join(f"JOIN t_{n} USING (aa)" for n in SCALE_NAMES) + f"), m AS (SELECT acc, {means} FROM s) SELECT acc, {aggs} FROM m GROUP BY acc"
 
 
-@query("d05_window_summaries", _summary_sql((7,)))
+@query("d05_window_summaries", _summary_sql((3, 7, 13, 25)))
 def window_summaries(spark: SparkSession, d: str) -> DataFrame:
-    got = R.window_summaries(residue_table(spark, d), (7,))
+    got = R.window_summaries(residue_table(spark, d))
     return got.select("acc", *[F.round(c, 6 if c.endswith("_sd") else 9).alias(c) for c in got.columns if c != "acc"])
 
 
@@ -323,6 +340,8 @@ def feature_map(spark: SparkSession, d: str) -> DataFrame:
     return got.select("acc", F.size("features").cast("long").alias("size"), r6(F.aggregate("features", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
-@query("j18_size_batches")
+@query("j18_size_batches", f"""
+WITH {SEQ} SELECT acc, round((length(regexp_replace(seq, '[^KR]', '', 'g')) - length(regexp_replace(seq, '[^DE]', '', 'g'))){D} / length(seq), 6) AS value, NULL::VARCHAR AS error FROM v_seq""")
 def size_batches(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.in_size_batches(sequences(spark, d), kernels.mean_charge, "acc string, value double")
+    """What a kernel over bounded batches gives doesn't hang on the batches: held against the column expression's SQL."""
+    return kernels.in_size_batches(sequences(spark, d), kernels.mean_charge, "acc string, value double").withColumn("value", r6("value"))

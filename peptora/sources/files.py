@@ -87,17 +87,29 @@ def write_typed(df: DataFrame, path: str, key: str) -> None:
 
 
 def read_below_banner(spark: SparkSession, path: str, required: Sequence[str], sep: str = "\t") -> DataFrame:
-    """A table whose header stands below a banner: the first line that holds all required columns."""
+    """Tables whose header stands below a banner: in each file the first line that holds all required columns.
+
+    Files may order and name their other columns differently; a column that a file lacks is null in
+    its rows. A file without such a line is an error. Lines are kept in order within a file by where
+    they stand in it, so no file is gathered.
+    """
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.col("value"), F.col("_metadata.file_path").alias("file"))
     cells = F.split("value", sep)
     is_head = F.size(F.array_except(F.array(*map(F.lit, required)), F.transform(cells, F.trim))) == 0
-    head = lines.where(is_head).orderBy("ord").first()
-    if head is None:
+    # One row a file: the headers are as few as the files.
+    heads = lines.where(F.trim("value") != "").groupBy("file").agg(F.min(F.when(is_head, F.struct("ord", "value"))).alias("head"))
+    heads = heads.select("file", F.col("head.ord").alias("head"), F.transform(F.split("head.value", sep), F.trim).alias("names"))
+    seen = heads.agg(F.count("*").alias("files"), F.count("head").alias("found"), F.array_distinct(F.flatten(F.collect_set("names"))).alias("names")).first()
+    if seen["found"] < seen["files"] or not seen["files"]:
         raise ValueError(f"no header with {', '.join(required)}")
-    names = [c.strip() for c in head["value"].split(sep)]
-    at = {n: k for k, n in enumerate(names) if n}
-    rows = lines.where((F.col("file") != head["file"]) | (F.col("ord") > head["ord"])).where((F.trim("value") != "") & ~is_head)
-    return rows.select(*[F.nullif(F.trim(F.get(cells, k)), F.lit("")).alias(n) for n, k in at.items()])
+    names = [*required, *sorted({n for n in seen["names"] if n} - set(required))]
+    rows = lines.join(heads, "file").where((F.col("ord") > F.col("head")) & (F.trim("value") != "") & ~is_head)
+
+    def cell(name: str) -> Column:
+        at = F.array_position("names", name)
+        return F.when(at > 0, F.nullif(F.trim(F.get(cells, at.cast("int") - 1)), F.lit("")))
+
+    return rows.select(*[cell(n).alias(n) for n in names])
 
 
 def read_sites(spark: SparkSession, path: str) -> DataFrame:

@@ -46,9 +46,52 @@ def test_window_path_and_kernel_agree(spark):
     for acc, _ in PROTEINS:
         assert len(features[acc]) == 181
         assert features[acc][30:36] == pytest.approx([wide[acc][f"{n}7_mean"] for n in ("rc", "rn", "dc", "dn", "pfg", "prg")])
-    entropy = R.window_entropy(R.residues(df)).where("entropy is not null").groupBy("acc").agg(F.min("entropy").alias("low")).collect()
-    for r in entropy:
-        assert r["low"] == pytest.approx(kernels.entropies(kernels.codes(dict(PROTEINS)[r["acc"]])).min(), abs=1e-9)
+
+
+def plain_entropy(w):
+    w = [c for c in w if c in "ACDEFGHIKLMNPQRSTVWY"]
+    return -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w)) if w else 0.0
+
+
+def test_entropies_and_low_complexity_by_definition(spark, monkeypatch):
+    """Window by window, over block borders, with letters that don't count and a text under the window."""
+    rng = np.random.default_rng(4)
+    every = [*PROTEINS, ("X", "XXXXXXXXXXXXXXXXAXX"), ("S", "ACD"), ("E", ""), ("N", None), ("R", "".join(rng.choice(list("ACDXY"), 300))), ("L", "A" * 20 + "ACDEFGHIKLMNPQRSTVWY" * 3 + "QQNQQQNQQQQNQ" + "ACDEFGHIKLMNPQRSTVWY")]
+    monkeypatch.setattr(kernels, "STRETCH", 50)
+    summary = {r["acc"]: r for r in kernels.entropy_summary(table(spark, every)).collect()}
+    spans = {}
+    for r in kernels.low_complexity(table(spark, every)).collect():
+        spans.setdefault(r["acc"], set()).add((r["first"], r["last"]))
+    for acc, seq in every:
+        want = [plain_entropy(seq[k : k + 12]) for k in range(len(seq or "") - 11)]
+        if seq:
+            assert kernels.entropies(kernels.codes(seq)) == pytest.approx(want, abs=1e-9)
+            assert summary[acc]["size"] == len(want) and (not want or summary[acc]["low"] == pytest.approx(min(want), abs=1e-9))
+        covered, k = set(), 0
+        while k < len(want):
+            e = k
+            while e < len(want) and want[e] <= 2.5 + 1e-9:
+                e += 1
+            if e > k and min(want[k:e]) <= 2.2 + 1e-9:
+                covered |= set(range(k, e + 11))
+            k = max(e, k + 1)
+        assert {x for s, e in spans.get(acc, ()) for x in range(s, e)} == covered
+
+
+def test_feature_quantiles_are_linear():
+    seq = dict(PROTEINS)["A"] * 3
+    x = kernels.codes(seq)
+    scale = np.array([kernels.SCALES100[a][0] for a in kernels.RESIDUES]) / 100
+    m = np.array([scale[x[max(0, k - 7) : k + 8]].mean() for k in range(len(x))])
+    got = kernels.features_of(seq)[30:60].reshape(5, 6)[:, 0]
+    assert got == pytest.approx([m.mean(), *np.quantile(m, [0.25, 0.5, 0.75]), m.std()])
+
+
+def test_one_sequence_an_accession(spark):
+    with pytest.raises(Exception, match="several sequences of accession A"):
+        R.protein_scores(table(spark, [("A", "ACDE" * 9), ("A", "ACDE" * 9)])).collect()
+    with pytest.raises(Exception, match="no accession"):
+        R.protein_scores(table(spark, [(None, "ACDE")])).collect()
 
 
 def test_best_windows(spark):
@@ -97,6 +140,16 @@ def test_peak_needs_a_disordered_stretch(spark):
     assert got["C"]["papa"] is None and got["D"]["papa"] is not None
 
 
+def test_peak_by_hand(spark):
+    """All prolines but the first of each three are out; a run of one residue has its own propensity, here D's and S's."""
+    odds = {"D": 0.27887323, "S": 1.1432927}
+    got = {r["acc"]: r for r in R.prion_propensity_peak(R.residues(table(spark, [("D", "D" * 90), ("DS", "DS" * 45)]))).collect()}
+    assert got["D"]["papa"] == pytest.approx(math.log(odds["D"])) and got["D"]["at"] == 20
+    # 41 residues hold 21 of one kind and 20 of the other; smoothed again they swap in turn.
+    one, two = ((k * math.log(odds["D"]) + (41 - k) * math.log(odds["S"])) / 41 for k in (20, 21))
+    assert min(one, two) < got["DS"]["papa"] < max(one, two)
+
+
 def test_batches_of_bounded_size():
     assert [len(b) for b in kernels.size_batches([100] * 9)] == [4, 4, 1]
     assert [len(b) for b in kernels.size_batches([2500] * 3)] == [1, 1, 1]
@@ -113,6 +166,8 @@ def test_failed_batch_gives_nulls(spark):
 def test_errors_stand_beside_scores(spark):
     got = {r["acc"]: r for r in R.batch_scores(table(spark, [("A", "ACDEFG" * 5), ("B", ""), ("C", "AXA"), ("D", None)])).collect()}
     assert got["A"]["score"] is not None and got["A"]["error"] is None
+    twice = R.batch_scores(table(spark, [("A", "ACDEFG" * 5), ("A", "KKKEEE" * 5), ("A", "ACDEFG" * 5), (None, "ACDEFG" * 5)])).collect()
+    assert [r["score"] == pytest.approx(got["A"]["score"]) for r in sorted(twice, key=lambda r: r["seq"])] == [True, True, True, False]
     assert [got[k]["error"] for k in "BCD"] == ["empty sequence", "unsupported residues", "empty sequence"] and got["C"]["score"] is None
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peptora.operators import assemble as A
-from peptora.operators import audit, learn, metrics, sampling
+from peptora.operators import audit, checks, learn, metrics, sampling
 from peptora.sources import files
 from peptora.streaming import arrivals
 
@@ -62,6 +62,38 @@ def test_site_table(spark, tmp_path):
         files.read_below_banner(spark, str(tmp_path / "sites.gz"), ["NOTHING"])
 
 
+def test_banners_of_several_files(spark, tmp_path):
+    """Each file has its own banner, its own order of columns and columns of its own."""
+    (tmp_path / "many").mkdir()
+    write(tmp_path / "many" / "a.txt", "banner a\nsecond line\nGENE\tACC\tX\nA\tP1\t1\n\nB\tP2\t\n")
+    write(tmp_path / "many" / "b.txt", "ACC\tGENE\tY\nP3\tC\ty\n")
+    got = files.read_below_banner(spark, str(tmp_path / "many"), ["GENE", "ACC"])
+    assert got.columns == ["GENE", "ACC", "X", "Y"]
+    assert sorted(map(tuple, got.collect())) == [("A", "P1", "1", None), ("B", "P2", None, None), ("C", "P3", None, "y")]
+    write(tmp_path / "many" / "c.txt", "banner only\n")
+    with pytest.raises(ValueError):
+        files.read_below_banner(spark, str(tmp_path / "many"), ["GENE", "ACC"])
+
+
+def test_digest_counts_equal_rows(spark):
+    digest = lambda rows: checks.set_digest(spark.createDataFrame(rows, "acc string, seq string"), ["acc", "seq"]).first()["digest"]
+    assert digest([("a", "x"), ("b", "y")]) == digest([("b", "y"), ("a", "x")])
+    assert len({digest([("a", "x")]), digest([("a", "x")] * 2), digest([("a", "x")] * 3), digest([("b", "x")])}) == 4
+
+
+def test_search_returns_the_best_model(spark):
+    """Rows with a missing feature count, and the model is that of the best point, fitted on all rows."""
+    rows = [(float(k % 7), None if k % 5 == 0 else float(k % 3), int(k % 7 > 3)) for k in range(140)]
+    df = spark.createDataFrame(rows, "a double, b double, label int")
+    model, points = learn.tuned_search(df, ["a", "b"], [1.0, 3.0], [0.01, 100.0], n_folds=2)
+    got = points.collect()
+    assert [(r["weight"], r["penalty"]) for r in got] == [(1.0, 0.01), (1.0, 100.0), (3.0, 0.01), (3.0, 100.0)]
+    best = max(got, key=lambda r: r["auc"])
+    assert model.stages[-1].getOrDefault("regParam") == best["penalty"] and best["auc"] > 0.99
+    scored = model.transform(df.withColumn("weight", F.lit(1.0)))
+    assert scored.count() == 140 and scored.where("prediction = label").count() > 130
+
+
 def test_tool_outputs(spark, tmp_path):
     states = files.read_states(spark, write(tmp_path / "P1.espritz", "banner\nO\t0.27\nD\t0.81\nO 0.1\nO\t0.2\nword word word\n"))
     assert [(r["pos"], r["state"]) for r in states.orderBy("pos").collect()] == [(0, "O"), (1, "D"), (2, "O"), (3, "O")]
