@@ -24,4 +24,4 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: i
     chosen = least(known.where("label = 0")).union(least(known.where("label = 1"))) if by_class else least(known)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # At most 2 x most rows of two numbers are broadcast.
-    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))

@@ -4,8 +4,8 @@ Pieces of a document are counted by length. Best-fit decreasing runs over these
 most ``capacity`` of them, whatever the corpus), not over documents: a step puts many equal
 pieces into many equal sequences. Its rows say which ranks of a length go to which sequences
 and where. Pieces then take their slots by a join on length and rank; the rank comes from
-row numbers within salted parts of a length plus the parts' counts, so that a length with
-very many pieces is spread over tasks.
+row numbers within salted parts of a length plus the parts' counts. A length has as many parts
+as its pieces fill, so that even the full pieces of a huge corpus are spread over tasks.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from peptora.llm.common import bodies, materialise, table
 
 CAPACITY = 2048
-SALTS = 64
+#: Pieces of a length that one task ranks.
+SHARE = 1_000_000
 BLOCK = 1 << 19
 #: Stands between words that are encoded together; alone it has one id.
 MARK = "\0"
@@ -44,10 +45,12 @@ WORDS = re.compile(rb"[a-z]+(?=[.,!?;:%$&#*()\s]|\Z)|[.,!?;:%$&#*()]+(?=[a-z\s]|
 
 
 class WordEncoder:
-    """Token ids by a lower-casing tokenizer that never joins across ASCII white space and drops it.
+    """Token ids of whole texts.
 
-    Each distinct word is encoded once while it stays in the memo, which is emptied when it
-    holds ``most`` words. Texts go through in blocks that end at white space.
+    A tokenizer that lower-cases, never joins across ASCII white space, drops it, and parts letters from
+    marks is asked word by word: each distinct word is encoded once while it stays in the memo, which is
+    emptied when it holds ``most`` words. Texts go through in blocks that end at white space. Any other
+    tokenizer, which probes tell, gets the texts whole.
     """
 
     def __init__(self, path: str, most: int = 900_000):
@@ -58,8 +61,19 @@ class WordEncoder:
         self.most = most
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        self.by_word = self._parts_words()
         self._empty()
 
+    def _parts_words(self) -> bool:
+        ids = lambda *texts: [k for t in texts for k in self.tokenizer.encode(t, add_special_tokens=False).ids]
+        return (
+            ids("The CAT sat ÉTÉ") == ids("the cat sat ÉTÉ") and ids("the cat 12") == ids("the", "cat", "12") and ids(" the\t\n cat\r\n") == ids("the", "cat")
+            and ids("cat,") == ids("cat", ",") and ids("cat.the") == ids("cat", ".", "the") and ids("the!!") == ids("the", "!!")
+        )
+
+    def whole(self, body: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(body.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+
     def _empty(self) -> None:
         self.number: dict[bytes, int] = {}
         self.ends = np.zeros(1024, np.int64)
@@ -119,6 +133,8 @@ class WordEncoder:
         return body if b"<|" in body else body.lower()
 
     def encode(self, body: bytes) -> np.ndarray:
+        if not self.by_word:
+            return self.whole(body)
         body = self.lowered(body)
         if len(body) <= BLOCK:
             return self._words(WORDS.findall(body))[0]
@@ -133,6 +149,9 @@ class WordEncoder:
 
     def encode_all(self, bodies: Iterable[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text; short texts go through together, up to BLOCK bytes of them."""
+        if not self.by_word:
+            yield from map(self.whole, bodies)
+            return
         words: list[bytes] = []
         bounds, size = [0], 0
 
@@ -231,27 +250,28 @@ def plan_slots(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[i
     return plan
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack(found: DataFrame, capacity: int = CAPACITY, share: int = SHARE) -> DataFrame:
     """The given pieces and sequence_id, offset. ``found`` is read several times: pass a written table.
 
     Every piece gets a slot, repeated rows each their own; no sequence holds over ``capacity``
     and none has gaps. An empty table gives none.
     """
     spark = found.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)).cast("int")
-    dealt = found.withColumn("_salt", salt)
-    # At most capacity x salts rows and capacity counts, whatever the corpus.
+    counts = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}
+    # At most capacity rows, whatever the corpus.
+    lengths = spark.createDataFrame([(k, -(-n // share)) for k, n in sorted(counts.items())], "length int, _parts long")
+    dealt = found.join(F.broadcast(lengths), "length").withColumn("_salt", F.expr("pmod(xxhash64(doc_id, piece, start), _parts)"))
     parts = dealt.groupBy("length", "_salt").count().withColumn(
         "_before", F.sum("count").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     )
-    counts = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}
     plan = spark.createDataFrame(plan_slots(counts, capacity), PLAN)
     within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
     ranked = dealt.withColumn("_rank", F.row_number().over(within) - 1)
-    ranked = ranked.join(F.broadcast(parts.drop("count")), ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.coalesce("_before", F.lit(0)))
+    ranked = ranked.join(parts.drop("count"), ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.coalesce("_before", F.lit(0)))
     plan = plan.withColumnRenamed("length", "_length")
     slot = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("first_rank")) & (F.col("_rank") < F.col("last_rank"))
     at = F.col("_rank") - F.col("first_rank")
+    # The plan has a few rows a length.
     return ranked.join(F.broadcast(plan), slot).select(
         *found.columns, (F.col("first_sequence") + F.floor(at / F.col("each"))).cast("long").alias("sequence_id"), (F.col("place") + at % F.col("each") * F.col("length")).cast("long").alias("offset")
     )

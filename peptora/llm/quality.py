@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peptora.llm.common import table
+from peptora.llm.common import apart, as_one, table
 from peptora.llm.labelled import fold, sample
 
 BITS = 18
@@ -112,16 +112,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = w.value
         for b in batches:
-            body = b.column(b.num_columns - 1)
             z = np.empty(b.num_rows)
-            for k, x in enumerate(body):
+            for k, x in enumerate(b.column(1)):
                 slots, values = features(x.as_py())
                 z[k] = weights[slots] @ values + weights[-1]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(1 / (1 + np.exp(-z)))], [*b.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-z)))], ["rest", "score"])
 
-    docs = docs.drop("held_out", "score", "predicted")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double"])
-    scored = docs.withColumn("_body", F.coalesce("text", F.lit("")).cast("binary")).mapInArrow(run, schema)
+    names = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    packed = docs.select(as_one(names), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+    scored = packed.mapInArrow(run, f"rest {packed.schema['rest'].dataType.simpleString()}, score double").select(*apart(names), "score")
     held = F.coalesce(fold(MODULUS) == HELD, F.lit(False))
     return scored.withColumn("held_out", held).withColumn("predicted", (F.col("score") >= accept).cast("int"))
 

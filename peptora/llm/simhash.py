@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peptora.llm.common import bodies, materialise, shuffle_width, table
+from peptora.llm.common import bodies, discard, materialise, shuffle_width, table
 
 #: Distinct fingerprints from which the longer anchors of ``thirds`` pay.
 MANY = 1 << 25
@@ -292,11 +292,14 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("x"))
-        edges = materialise(small.select("x.a", F.col("x.m").alias("b")).where("a != b").distinct(), "links")
+        # Least neighbours are written before they are joined back: a join of plain tables is split at a centre with very many neighbours.
+        first = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
+        large = both.join(first, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = materialise(large, "links")
+        second = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = large.join(second, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("x"))
+        before, edges = edges, materialise(small.select("x.a", F.col("x.m").alias("b")).where("a != b").distinct(), "links")
+        discard(before, first, large, second)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -316,7 +319,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, width: int = 4, seed: i
     member = reach.unionByName(reach.select(F.col("root").alias("node"), "root").distinct())
     named = member.join(distinct, member.node == distinct.fp).select("fp", "root", "own")
     named = named.join(named.groupBy("root").agg(F.min("own").alias("least")), "root").select("fp", "least")
-    every = distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "own").alias("component_id"))
+    every = materialise(distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "own").alias("component_id")), "components")
     return fps.join(every, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

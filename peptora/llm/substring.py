@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peptora.llm.common import bodies, materialise, table
+from peptora.llm.common import apart, as_one, bodies, discard, materialise, table
 
 GRAM = 8
 #: Odd multipliers of the two polynomial hashes, and their inverses modulo 2^64.
@@ -147,17 +147,23 @@ def _single_windows(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
-    """doc_id, content, first, last: word spans covered by windows that a smaller doc_id has too."""
+    """doc_id, content, first, last: word spans covered by windows that a smaller doc_id has too.
+
+    A window may occur in a large part of all documents. What is aggregated by it is written before
+    it is joined back: a join of plain tables is split where a key is too large, one behind an aggregate isn't.
+    """
     runs = materialise(window_runs(docs, window), "runs")
-    common = runs.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name")
+    common = materialise(runs.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name"), "common")
     shared = materialise(runs.join(common, "name"), "shared")
-    spans = shared.groupBy("name", "h1", "h2").agg(F.min("doc_id").alias("least"))
-    names = spans.groupBy("name").agg(F.count("*").alias("forms"))
+    discard(runs, common)
+    spans = materialise(shared.groupBy("name", "h1", "h2").agg(F.min("doc_id").alias("least")), "spans")
+    names = materialise(spans.groupBy("name").agg(F.count("*").alias("forms")), "names")
     judged = materialise(shared.join(spans, ["name", "h1", "h2"]).join(names, "name"), "judged")
+    discard(shared, spans, names)
     whole = judged.where("doc_id > least").select("doc_id", "content", "first", (F.col("last") + window - 1).alias("last"))
     open_ = judged.where("doc_id = least and forms > 1")
     single = materialise(_single_windows(docs, open_, window), "windows")
-    least = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    least = materialise(single.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "least")
     part = single.join(least, ["h1", "h2"]).where("doc_id > least").select("doc_id", "content", "first", (F.col("first") + window).alias("last"))
     return whole.union(part)
 
@@ -180,17 +186,16 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     null doc_id. Rows that repeat a doc_id are judged each by its own words, and never against
     one another. An empty table gives none. Columns of those three names are replaced.
     """
-    gone = repeated_spans(docs, window).groupBy("doc_id").agg(F.collect_list(F.struct("content", "first", "last")).alias("_spans"))
-    docs = docs.drop("n_words", "removed", "kept")
-    joined = docs.withColumn("_body", F.coalesce("text", F.lit("")).cast("binary")).join(gone, "doc_id", "left")
-    names = docs.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_words long, removed array<struct<first:int,last:int>>, kept string"])
+    gone = repeated_spans(docs, window).groupBy("doc_id").agg(F.collect_list(F.struct("content", "first", "last")).alias("spans"))
+    names = [c for c in docs.columns if c not in ("n_words", "removed", "kept")]
+    rest = as_one(names)
+    body = docs.select(rest, "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+    kind = body.schema["rest"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = {name: b.column(k) for k, name in enumerate(b.schema.names)}
             n, removed, kept = [], [], []
-            for body, spans in zip(cols["_body"], cols["_spans"]):
+            for body, spans in zip(b.column(1), b.column(2)):
                 body = body.as_py()
                 words = body.split()
                 n.append(len(words))
@@ -204,12 +209,12 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                     at = e
                 kept.append(b" ".join(left + words[at:] if cut else words))
                 removed.append([{"first": s, "last": e} for s, e in cut])
-            kept = pa.array(kept, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [*(cols[x] for x in names), pa.array(n, pa.int64()), pa.array(removed, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), kept], [*names, "n_words", "removed", "kept"]
-            )
+            removed = pa.array(removed, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), removed, pa.array(kept, pa.binary()).cast(pa.string())], ["rest", "n_words", "removed", "kept"])
 
-    return joined.mapInArrow(run, schema)
+    joined = body.join(gone, "doc_id", "left").select("rest", "body", "spans")
+    got = joined.mapInArrow(run, f"rest {kind}, n_words long, removed array<struct<first:int,last:int>>, kept string")
+    return got.select(*apart(names), "n_words", "removed", "kept")
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

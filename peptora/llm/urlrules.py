@@ -7,8 +7,8 @@ last rule's stack (the rule and all that hold it), and a host pops from it what
 every rule of the stack that is no prefix of its key. The stack then goes to the URLs of the
 host, where the path decides and the longest rule wins.
 
-Rules are copied to each of ``salts`` parts of a top-level label, among which its hosts are
-dealt, so that no label is swept by one task.
+Hosts of a top-level label with many of them are dealt to parts, each of which gets that label's
+rules, so that no label is swept by one task.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from peptora.llm.common import shuffle_width, table
+from peptora.llm.common import apart, as_one, table
 
+#: Hosts of a label that one task sweeps.
+SHARE = 1_000_000
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules that op8 applies.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -62,32 +64,39 @@ def rule_stacks(rules: DataFrame) -> DataFrame:
     return chain.join(items, "above").groupBy("host").agg(F.collect_list("item").alias("stack")).select(key_of(F.col("host")).alias("key"), "stack")
 
 
-def active_rules(hosts: DataFrame, rules: DataFrame, salts: int) -> DataFrame:
-    """(host, stack) of each distinct host that lies in a rule's interval: the sweep."""
+def active_rules(hosts: DataFrame, rules: DataFrame, share: int) -> DataFrame:
+    """(host, stack) of each distinct host that lies in a rule's interval: the sweep.
+
+    A top-level label with more than ``share`` hosts is dealt to as many parts as that takes, and only its
+    rules are copied to each of them.
+    """
     label = F.substring_index("key", ".", 1)
-    starts = rule_stacks(rules).select(label.alias("label"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("host"), "stack")
-    points = hosts.select("host", key_of(F.col("host")).alias("key")).select(label.alias("label"), F.pmod(F.xxhash64("host"), F.lit(salts)).cast("int").alias("salt"), "key", F.lit(1).alias("kind"), "host")
-    sweep = Window.partitionBy("label", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    keyed = hosts.select("host", key_of(F.col("host")).alias("key")).withColumn("label", label)
+    parts = keyed.groupBy("label").agg(F.ceil(F.count("*") / share).cast("int").alias("parts"))
+    starts = rule_stacks(rules).withColumn("label", label).join(parts, "label")
+    starts = starts.select("label", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("host"), "stack")
+    points = keyed.join(parts, "label").select("label", F.expr("pmod(xxhash64(host), parts)").cast("int").alias("part"), "key", F.lit(1).alias("kind"), "host")
+    sweep = Window.partitionBy("label", "part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
     swept = starts.unionByName(points, allowMissingColumns=True).withColumn("stack", F.last("stack", ignorenulls=True).over(sweep))
     swept = swept.where("kind = 1 and stack is not null").withColumn("stack", F.filter("stack", lambda r: F.startswith(F.col("key"), r["key"])))
     return swept.where(F.size("stack") > 0).select("host", "stack")
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", salts: int | None = None) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", share: int = SHARE) -> DataFrame:
     """``pages`` (with a ``url``) and host, path, rule, verdict; columns of those names are replaced.
 
     The longest rule (host and path together; then the longer host, then the later name and
     verdict) wins. No rule, a null url or one without ``://``: rule null, verdict ``default``.
     Repeated rows stay; an empty table gives none; without rules every url gets the default.
     """
-    urls = pages.drop("host", "path", "rule", "verdict")
-    urls = urls.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    urls = pages.select(as_one(names), "url").select("rest", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     hosts = urls.select("host").where("host != ''").distinct()
-    found = active_rules(hosts, rules, salts or shuffle_width(pages.sparkSession))
+    found = active_rules(hosts, rules, share)
     best = F.array_max(F.filter("stack", lambda r: F.startswith(F.col("path"), r["path"])))
     return (
-        urls.join(found, "host", "left").withColumn("_best", best)
-        .select(*urls.columns, F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+        urls.join(found, "host", "left").withColumn("best", best)
+        .select(*apart(names), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
     )
 
 

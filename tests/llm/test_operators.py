@@ -230,9 +230,37 @@ def test_packing_ids_and_slots(docs, texts, empty):
     for s in spots.values():
         assert [o for o, _ in sorted(s)] == [sum(n for _, n in sorted(s)[:k]) for k in range(len(s))] and sum(n for _, n in s) <= 2048
     assert packing.pack_documents(empty).count() == 0
+    # Parts of two pieces give each piece a place of its own too, in as many sequences.
+    found = docs.sparkSession.createDataFrame([(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows], "doc_id long, piece int, start long, length int, ids_crc32 long").cache()
+    again = packing.pack(found, share=2).collect()
+    assert len({r["sequence_id"] for r in again}) == len(spots) and len({(r["sequence_id"], r["offset"]) for r in again}) == len(rows)
     assert packing.pieces(docs.where("doc_id = 3"), with_ids=True).first()["ids"][-1] == 0
 
 
+def test_other_tokenizers_get_whole_texts():
+    """A byte-level vocabulary keeps case and white space: nothing of the word by word way holds for it."""
+    import public_tokenizers
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = packing.WordEncoder(path)
+    assert not encoder.by_word and packing.WordEncoder(packing.public_vocabulary()).by_word
+    for t in ("The CAT  sat,\n\non it's mat", "", "x" * 300):
+        want = encoder.tokenizer.encode(t, add_special_tokens=False).ids
+        assert encoder.encode(t.encode()).tolist() == want and next(encoder.encode_all([t.encode()])).tolist() == want
+
+
+@pytest.mark.parametrize("name", ["rest", "body", "_body", "spans", "_spans", "stack", "best", "_best", "c0", "n", "removed_", "label", "key"])
+def test_columns_of_any_name_stay(spark, name):
+    docs = spark.createDataFrame([(k, prose(k, 30), f"v{k}") for k in range(20)], f"doc_id long, text string, `{name}` string")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(20)], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([(f"http://a.net/{k}", f"v{k}") for k in range(3)], f"url string, `{name}` string")
+    want = sorted(f"v{k}" for k in range(20))
+    for got in (quality.score_documents(docs, labels), toxicity.score_documents(docs, labels), substring.remove_repeats(docs)):
+        assert sorted(r[name] for r in got.collect()) == want
+    got = urlrules.judge_urls(pages, urlrules.rule_table(spark))
+    assert got.columns == ["url", name, "host", "path", "rule", "verdict"] and sorted(r[name] for r in got.collect()) == ["v0", "v1", "v2"]
+
+
 # Fingerprints
 
 
@@ -299,7 +327,7 @@ def test_url_rules(spark):
         fits = [(len(h + p), len(h), h + p) for h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         return (host, path, max(fits)[2] if fits else None, "block" if fits else "allow")
 
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlrules.judge_urls(pages, table, salts=3).collect()}
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlrules.judge_urls(pages, table, share=3).collect()}
     assert got == {k: naive(u) for k, u in enumerate(urls)}
     assert urlrules.judge_urls(pages.limit(0), table).count() == 0
     assert urlrules.judge_urls(pages, table.limit(0)).where("verdict != 'allow'").count() == 0
