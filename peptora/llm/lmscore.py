@@ -11,9 +11,9 @@ then a sum of one value for each of its pairs and one for each of its words, so
 looked up by key, and no row needs a pair and its words at once. Keys are 64-bit hashes.
 
 Counts grow with the corpus and stay in Spark tables. A key that occurs once needs no row: whoever
-asks for it is its one place and knows its counts. The HOT most frequent words and pairs are
-broadcast, all other keys are joined; none of those is frequent enough to fill a task. They are
-asked for in PASSES shares, one after the other, which bounds what stands on disk at a time.
+asks for it is its one place and knows its counts. The HOT_WORDS and HOT most frequent words and pairs are
+broadcast, all other keys are joined; none of those is frequent enough to fill a task. Keys are
+counted and asked for in PASSES shares, one after the other, which bounds what stands on disk at a time.
 """
 
 from __future__ import annotations
@@ -30,34 +30,48 @@ from pyspark.sql import functions as F
 from peptora.llm.common import materialise, table
 
 ADD = 0.01
-#: Broadcast words, and as many pairs.
-HOT = 1 << 18
+#: Broadcast words and pairs.
+HOT_WORDS, HOT = 1 << 18, 1 << 20
 PASSES = 2
 #: A key's share is told by the bits above these.
 SHARE = 40
-#: Tokens whose counts a task holds, and rows of a batch.
-FLUSH, BATCH = 2_000_000, 100_000
-
-
-def tokens(body: bytes) -> list[bytes]:
-    return body.lower().split()
-
-
-def keys_of(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the word before each word (0: the start of the text), of the pair that the two make, and of the last word."""
-    words = tokens(body)
-    ids = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    before = np.concatenate([np.zeros(min(1, len(ids)), np.uint64), ids[:-1]])
+#: Tokens that are worked on at a time, those whose counts a task holds, and rows of a batch.
+AT_ONCE, FLUSH, BATCH = 500_000, 4_000_000, 100_000
+#: Keys are even: the lowest bit tells marked occurrences while they are counted.
+EVEN = np.uint64((1 << 64) - 2)
+
+
+def slices(batches: Iterable[pa.RecordBatch], body: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows with the hashes of all their words on end, and how many words each row has."""
+    for b in batches:
+        words: list[bytes] = []
+        sizes: list[int] = []
+        for k, x in enumerate(b.column(body)):
+            own = x.as_py().lower().split()
+            words += own
+            sizes.append(len(own))
+            if len(words) >= AT_ONCE or k == b.num_rows - 1:
+                ids = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+                yield b.slice(k + 1 - len(sizes), len(sizes)), ids & EVEN, np.array(sizes)
+                words, sizes = [], []
+
+
+def keys_of(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the word before each word (0: the start of the text), of the pair that the two make, and of the texts' last words."""
+    ends = np.cumsum(sizes)[sizes > 0]
+    before = np.zeros_like(ids)
+    before[1:] = ids[:-1]
+    before[ends - sizes[sizes > 0]] = 0
     x = (before ^ (ids << np.uint64(21) | ids >> np.uint64(43))) * np.uint64(0x9E3779B97F4A7C15)
-    return before, x ^ x >> np.uint64(29), ids[-1:]
+    return before, (x ^ x >> np.uint64(29)) & EVEN, ids[ends - 1]
 
 
-def signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def of_share(keys: np.ndarray, this: int, of: int) -> np.ndarray:
+    return (keys >> np.uint64(SHARE)) % np.uint64(of) == np.uint64(this)
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """kind (0: a word that stands before another; 1: a pair), key, background, target.
+def counts(docs: DataFrame, this: int = 0, of: int = 1) -> DataFrame:
+    """kind (0: a word that stands before another; 1: a pair), key, background, target, of one share of the keys.
 
     A document's last word stands before none and counts zero, for the vocabulary. Partial counts
     leave a task whenever they grow long.
@@ -68,28 +82,35 @@ def counts(docs: DataFrame) -> DataFrame:
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            before, pair, last, target = (np.concatenate(x) for x in zip(*held))
-            for kind, keys, zeros in ((0, before, last), (1, pair, last[:0])):
-                key, where = np.unique(np.concatenate([keys, zeros]), return_inverse=True)
-                where = where[: len(keys)]
-                every, marked = (np.bincount(w, minlength=len(key)).astype(np.int64) for w in (where, where[target]))
-                for k in range(0, len(key), BATCH):
-                    now = slice(k, k + BATCH)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[now]), kind, np.int8)), signed(key[now]), pa.array(every[now]), pa.array(marked[now])], ["kind", "key", "background", "target"])
-
-        for b in batches:
-            for x, target in zip(b.column(0), b.column(1).to_pylist()):
-                before, pair, last = keys_of(x.as_py())
-                held.append((before, pair, last, np.full(len(pair), target)))
-                size += len(pair)
-                if size > FLUSH:
-                    yield from out()
-                    held, size = [], 0
+            before, pair, last = (np.concatenate(x) for x in zip(*held))
+            for kind, keys, zeros in ((0, before, np.unique(last)), (1, pair, last[:0])):
+                keys.sort()
+                key = keys & EVEN
+                start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+                every = np.diff(np.append(start, len(key)))
+                marked = np.add.reduceat((keys & np.uint64(1)).astype(np.int64), start) if len(key) else every
+                key = key[start]
+                zeros = zeros[~np.isin(zeros, key)]
+                none = np.zeros(len(zeros), np.int64)
+                cols = [pa.array(c.view(np.int64)) for c in (np.append(key, zeros), np.append(every, none), np.append(marked, none))]
+                kinds = pa.array(np.full(len(cols[0]), kind, np.int8))
+                for k in range(0, len(kinds), BATCH):
+                    yield pa.RecordBatch.from_arrays([c.slice(k, BATCH) for c in (kinds, *cols)], ["kind", "key", "background", "target"])
+
+        for b, ids, sizes in slices(batches, 0):
+            before, pair, last = keys_of(ids, sizes)
+            mark = np.repeat(b.column(1).to_numpy(zero_copy_only=False), sizes).astype(np.uint64)
+            held.append(tuple((k | m)[of_share(k, this, of)] for k, m in ((before, mark), (pair, mark), (last, np.uint64(0)))))
+            size += len(ids)
+            if size > FLUSH:
+                yield from out()
+                held, size = [], 0
         if held:
             yield from out()
 
     partial = docs.select("body", "target").mapInArrow(run, "kind byte, key long, background long, target long")
-    return partial.groupBy("kind", "key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    # Tasks have added up already, so rows are dealt out as they are.
+    return partial.repartition("key").groupBy("kind", "key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
 def values(found: DataFrame, room: float) -> DataFrame:
@@ -103,54 +124,65 @@ def values(found: DataFrame, room: float) -> DataFrame:
     return found.select("kind", "key", "background", (loss(F.col("background")) - one).alias("more"), (loss(F.col("target")) - none).alias("above_none"), (loss(F.col("target")) - one).alias("above_one"))
 
 
-Hot = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+class Hot:
+    """The most frequent keys of a kind and their values, found by one look at the place that a key's first bits name.
+
+    Where several keys have one place the most frequent stands there, and the others are joined like any other key.
+    """
+
+    def __init__(self, found: DataFrame, kind: int, hot: int):
+        # At most ``hot`` rows, whatever the corpus.
+        got = found.where(F.col("kind") == kind).orderBy(F.desc("background"), "key").limit(hot).select("key", "more", "above_none", "above_one").toArrow()
+        key, *values_ = (c.to_numpy()[::-1] for c in got.columns)
+        self.key = np.append(key, 1).view(np.uint64)  # no key is odd
+        self.values = [np.append(x, 0.0) for x in values_]
+        bits = max(2, len(self.key).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.at = np.full(1 << bits, len(key), np.int32)
+        self.at[(self.key[:-1] >> self.shift).astype(np.int64)] = np.arange(len(key))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the values, and whether the key is there."""
+        at = self.at[(keys >> self.shift).astype(np.int64)]
+        return at, self.key[at] == keys
 
 
-def most_frequent(found: DataFrame, kind: int, hot: int) -> Hot:
-    """Keys in order and their values: at most ``hot`` of them, whatever the corpus."""
-    got = found.where(F.col("kind") == kind).orderBy(F.desc("background"), "key").limit(hot).select("key", "more", "above_none", "above_one").toArrow()
-    key, *rest = (c.to_numpy() for c in got.columns)
-    order = np.argsort(key.view(np.uint64))
-    return key.view(np.uint64)[order], *(x[order] for x in rest)
+HEAD = "struct<doc_id:long,tokens:long,background:double,outside:double,inside:double>"
 
 
-def asked_keys(docs: DataFrame, shared, room: float, this: int, of: int) -> DataFrame:
-    """row, key, n of each row's distinct words and pairs, of one share of the keys, that aren't ``shared``; and a row with
-    n = 0 (its key is the row's, which no word or pair has) with doc_id, tokens and the sums that need no asking.
+def asked_keys(docs: DataFrame, shared, room: float, this: int = 0, of: int = 1) -> DataFrame:
+    """row, key of each occurrence of a word before another and of a pair, of one share of the keys, that isn't ``shared``;
+    and a row with a head (its key is odd, so no word's or pair's) of doc_id, tokens and the sums that need no asking.
 
-    The target's sums are taken both as of a document of the background only (``out``) and of one of the target (``in``).
+    The target's sums are taken both as of a document of the background only (``outside``) and as of one of the target (``inside``).
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        share, shares = np.uint64(this), np.uint64(of)
         once = np.array([np.log(c + room) - np.log(c + ADD) for c in (1, 0, 1)])  # a word and a pair that occur once, or not in the target
-        for b in batches:
-            rows, heads = [], []
-            for row, x in zip(b.column(0).to_numpy(zero_copy_only=False), b.column(2)):
-                before, pair, _ = keys_of(x.as_py())
-                size = len(pair)
-                sums = 0 ** this * size * once
-                rare = []
-                for keys, (known, *more) in zip((before, pair), shared.value):
-                    key, n = np.unique(keys if of == 1 else keys[(keys >> np.uint64(SHARE)) % shares == share], return_counts=True)
-                    at = np.searchsorted(known, key)
-                    at[at == len(known)] = 0
-                    hit = known[at] == key if len(known) else np.zeros(len(key), bool)
-                    sums += [n[hit] @ x[at[hit]] for x in more]
-                    rare.append((key[~hit], n[~hit]))
-                key, n = (np.concatenate(c) for c in zip(*rare))
-                rows.append((np.full(len(key) + 1, row), np.append(key.view(np.int64), row), np.append(n, 0)))
-                heads.append((size, *sums))
-            if rows:
-                row, key, n = (np.concatenate(c) for c in zip(*rows))
-                first = np.zeros(len(n), np.int64)
-                first[n == 0] = np.arange(len(heads))
-                own = pa.array(first, mask=n > 0)
-                kinds = (np.int64, *[np.float64] * 3)
-                cols = [b.column(1).take(own), *(pa.array(np.array(c, k)).take(own) for c, k in zip(zip(*heads), kinds))]
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(key), pa.array(n), *cols], ["row", "key", "n", "doc_id", "tokens", "background", "out", "in"])
-
-    return docs.select("row", "doc_id", "body").mapInArrow(run, "row long, key long, n long, doc_id long, tokens long, background double, out double, `in` double")
+        for b, ids, sizes in slices(batches, 2):
+            before, pair, _ = keys_of(ids, sizes)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            sums = np.outer(once, sizes) if not this else np.zeros((3, len(sizes)))
+            keys, docs_ = [], []
+            for key, hot in zip((before, pair), shared.value):
+                own = of_share(key, this, of)
+                key, at_doc = key[own], doc[own]
+                at, hit = hot.find(key)
+                for k, x in enumerate(hot.values):
+                    sums[k] += np.bincount(at_doc[hit], weights=x[at[hit]], minlength=len(sizes))
+                keys.append(key[~hit])
+                docs_.append(at_doc[~hit])
+            row = b.column(0).to_numpy(zero_copy_only=False)
+            at_doc = np.concatenate([np.arange(len(sizes)), *docs_])
+            key = np.concatenate([row.view(np.uint64) | np.uint64(1), *keys])
+            heads = pa.StructArray.from_arrays([b.column(1), pa.array(sizes, pa.int64()), *map(pa.array, sums)], ["doc_id", "tokens", "background", "outside", "inside"])
+            rare = len(key) - len(sizes)
+            head = heads.take(pa.array(np.append(np.arange(len(sizes)), np.zeros(rare, np.int64)), mask=np.arange(len(key)) >= len(sizes)))
+            for k in range(0, len(key), BATCH):
+                now = slice(k, k + BATCH)
+                yield pa.RecordBatch.from_arrays([pa.array(row[at_doc[now]]), pa.array(key[now].view(np.int64)), head.slice(k, BATCH)], ["row", "key", "head"])
+
+    return docs.select("row", "doc_id", "body").mapInArrow(run, f"row long, key long, head {HEAD}")
 
 
 def score_documents(docs: DataFrame, target_ids: DataFrame, hot: int = HOT, passes: int = PASSES) -> DataFrame:
@@ -164,27 +196,28 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, hot: int = HOT, pass
     marks = target_ids.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True))
     text = F.coalesce("text", F.lit(""))
     body = docs.select(F.xxhash64("doc_id", text).alias("row"), "doc_id", text.cast("binary").alias("body"))
-    # Marks beyond Spark's own bound for broadcasts meet the texts by a sorted join.
-    marked = body.join(marks, "doc_id", "left").select("body", F.coalesce("target", F.lit(False)).alias("target"))
-    found = materialise(counts(marked).where("kind = 0 or background > 1"), "counts")
+    # Both sides may be large, so neither is broadcast at any size.
+    marked = body.join(marks.hint("merge"), "doc_id", "left").select("body", F.coalesce("target", F.lit(False)).alias("target"))
+    found = functools.reduce(DataFrame.union, [materialise(counts(marked, k, passes).where("kind = 0 or background > 1"), "counts") for k in range(passes)])
     room = ADD * (found.where("kind = 0 and key != 0").count() + 1)
     value = values(found, room)
-    shared = spark.sparkContext.broadcast([most_frequent(value, kind, hot) for kind in (0, 1)])
-    asked = value.select("key", "more", "above_none", "above_one")
-    total = lambda base, more: F.sum(F.coalesce(base, F.lit(0.0)) + F.col("n") * F.coalesce(more, F.lit(0.0))).alias(base)
+    shared = spark.sparkContext.broadcast([Hot(value, 0, min(hot, HOT_WORDS)), Hot(value, 1, hot)])
+    joined_to = value.select("key", "more", "above_none", "above_one")
+    total = lambda base, more: F.sum(F.coalesce(f"head.{base}", F.lit(0.0)) + F.coalesce(more, F.lit(0.0))).alias(base)
 
     def sums_of(share: int) -> DataFrame:
-        own = asked.where(F.shiftrightunsigned("key", SHARE) % passes == share)
+        own = joined_to.where(F.shiftrightunsigned("key", SHARE) % passes == share)
         joined = asked_keys(body, shared, room, share, passes).join(own, "key", "left")
         return joined.groupBy("row").agg(
-            F.max("doc_id").alias("doc_id"), F.sum("tokens").alias("tokens"), F.count_if(F.col("n") == 0).alias("rows"), total("background", "more"), total("out", "above_none"), total("in", "above_one")
+            F.max("head.doc_id").alias("doc_id"), F.max("head.tokens").alias("tokens"), F.count("head").alias("rows"), total("background", "more"), total("outside", "above_none"), total("inside", "above_one")
         )
 
     shares = functools.reduce(DataFrame.union, [materialise(sums_of(k), "sums") for k in range(passes)])
-    sums = shares.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"), F.max("rows").alias("rows"), *(F.sum(c).alias(c) for c in ("background", "out", "in")))
-    mean = lambda c: F.when(F.col("tokens") > 0, c / F.col("tokens")).otherwise(0.0)
+    sums = shares.groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "tokens", "rows")), *(F.sum(c).alias(c) for c in ("background", "outside", "inside")))
+    # Rows of one doc_id and text add up, and each has its share.
+    mean = lambda c: F.when(F.col("tokens") > 0, c / (F.col("tokens") * F.col("rows"))).otherwise(0.0)
     scored = sums.join(marks, "doc_id", "left").select(
-        "doc_id", F.expr("tokens div rows").alias("n_tokens"), mean(F.when(F.col("target"), F.col("in")).otherwise(F.col("out"))).alias("target_loss"),
+        "doc_id", F.col("tokens").alias("n_tokens"), mean(F.when(F.col("target"), F.col("inside")).otherwise(F.col("outside"))).alias("target_loss"),
         mean(F.col("background")).alias("background_loss"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy"),
     )
     return scored.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("difference"))
