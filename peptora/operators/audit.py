@@ -54,12 +54,37 @@ def exit_code(checks: DataFrame, strict_layers: tuple[str, ...] = ()) -> DataFra
     return checks.agg(F.coalesce(F.max(bad.cast("int")), F.lit(0)).alias("code"))
 
 
-def report(checks: DataFrame, path: str) -> None:
-    """One JSON file: checks in order, without clock values, so that equal results give equal bytes."""
-    checks.orderBy("layer", "name").coalesce(1).write.mode("overwrite").json(path)
+REPORT = f"checks array<struct<{CHECK.replace(' ', ':').replace(',:', ',')}>>, summary struct<passed:long,failed:long,skipped:long,hard_failed:long>, thresholds map<string,string>, inputs map<string,string>"
 
 
-def manifest_rows(spark: SparkSession, path: str, rows: int, columns: int) -> DataFrame:
-    """file, bytes, digest and the table's size."""
-    got = spark.read.format("binaryFile").load(path)
-    return got.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.lit(rows).alias("row_count"), F.lit(columns).alias("columns"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest"))
+def report(checks: DataFrame, path: str, thresholds: Mapping[str, str] | None = None, inputs: DataFrame | None = None) -> None:
+    """One JSON document of the schema REPORT: checks in order, their summary, thresholds, and inputs (one row, columns as text).
+
+    There are as many checks as layers have names, whatever the tables' size, and no clock values, so that
+    equal results give equal bytes.
+    """
+    rows = checks.agg(F.array_sort(F.collect_list(F.struct("layer", "name", "verdict", "hard", "measured", "threshold"))).alias("checks"))
+    given = F.create_map(*[F.lit(str(x)) for kv in sorted((thresholds or {}).items()) for x in kv]) if thresholds else F.create_map().cast("map<string,string>")
+    out = rows.crossJoin(summary(checks).select(F.struct("passed", "failed", "skipped", "hard_failed").alias("summary"))).withColumn("thresholds", given)
+    if inputs is None:
+        out = out.withColumn("inputs", F.create_map().cast("map<string,string>"))
+    else:
+        out = out.crossJoin(inputs.limit(1).select(F.create_map(*[x for c in inputs.columns for x in (F.lit(c), F.col(c).cast("string"))]).alias("inputs")))
+    out.coalesce(1).write.mode("overwrite").json(path)
+
+
+def manifest_row(spark: SparkSession, name: str, path: str, table: DataFrame) -> DataFrame:
+    """name, row_count, columns, bytes, digest of a written table: rows are counted in ``table``, read from ``path``.
+
+    The digest is that of the files' own digests in order, so it tells any change of a byte.
+    """
+    got = spark.read.format("binaryFile").load(path).select(F.col("length"), F.sha2("content", 256).alias("digest"))
+    sizes = got.agg(F.sum("length").alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ","), 256).alias("digest"))
+    return table.agg(F.lit(name).alias("name"), F.count("*").alias("row_count"), F.lit(len(table.columns)).alias("columns")).crossJoin(sizes)
+
+
+def expected_sizes(manifest: DataFrame, expected: DataFrame) -> DataFrame:
+    """The manifest's rows with a verdict against expected (name, row_count, columns); a table that isn't expected is a skip."""
+    want = expected.select("name", F.col("row_count").alias("_rows"), F.col("columns").alias("_columns"))
+    same = (F.col("row_count") == F.col("_rows")) & (F.col("columns") == F.col("_columns"))
+    return manifest.join(want, "name", "left").withColumn("verdict", F.when(F.col("_rows").isNull(), "skip").when(same, "pass").otherwise("fail")).drop("_rows", "_columns")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from peptora.plans import scalar, tables, windows
+from peptora.plans import filed, scalar, tables, windows
 
-QUERIES = scalar.QUERIES | windows.QUERIES | tables.QUERIES
-ORACLE_SQL = scalar.SQL | windows.SQL | tables.SQL
+QUERIES = scalar.QUERIES | windows.QUERIES | tables.QUERIES | filed.QUERIES
+ORACLE_SQL = scalar.SQL | windows.SQL | tables.SQL | filed.SQL

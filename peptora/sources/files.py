@@ -11,17 +11,23 @@ from pyspark.sql.types import StructType
 from peptora.functions.sequence import accession, normalised
 
 
-def read_fasta(spark: SparkSession, path: str, strict_id: bool = True) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str, strict_id: bool = True, strict: bool = False) -> DataFrame:
     """acc, seq, header, length, sequence_hash, file of every record under ``path``.
 
     A record begins at a line that starts with ``>``; files are split between tasks there.
     Records without residues stay, with an empty sequence, for ``empty_records`` to name.
+    ``strict``: an input without any record is an error, and so is, once its row is read, an empty sequence.
     """
     raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_name").alias("file"))
     text = F.regexp_replace("value", "^>", "")
     head = F.trim(F.regexp_replace(F.regexp_extract(text, r"^([^\n]*)", 1), "\r$", ""))
     seq = normalised(F.regexp_replace(text, r"^[^\n]*", ""))
-    got = raw.where(F.trim("value") != "").select(head.alias("header"), seq.alias("seq"), "file")
+    got = raw.where(F.trim("value") != "")
+    if strict:
+        if not spark.read.text(path).where(F.startswith("value", F.lit(">"))).limit(1).count():
+            raise ValueError(f"no record in {path}")
+        seq = F.when(seq == "", F.raise_error(F.concat(F.lit("empty sequence of "), head))).otherwise(seq)
+    got = got.select(head.alias("header"), seq.alias("seq"), "file")
     return got.select(accession(F.col("header"), strict_id).alias("acc"), "seq", "header", F.length("seq").alias("length"), F.sha2("seq", 256).alias("sequence_hash"), "file")
 
 

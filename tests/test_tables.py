@@ -1,10 +1,12 @@
 import gzip
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from peptora.operators import assemble as A
 from peptora.operators import audit, checks, learn, metrics, sampling
+from peptora.operators.predict import predict
 from peptora.sources import files
 from peptora.streaming import arrivals
 
@@ -127,8 +129,50 @@ def test_sinks(spark, tmp_path):
     assert (tmp_path / "residues" / "name=P_1").is_dir()
     files.write_lists(spark.createDataFrame([("a", "P2"), ("a", "P1"), ("a", "P2")], "task string, acc string"), str(tmp_path / "lists"), ["task"])
     assert [r["value"] for r in spark.read.text(str(tmp_path / "lists")).collect()] == ["P1", "P2"]
-    row = audit.manifest_rows(spark, write(tmp_path / "f.tsv", "a\n"), 0, 1).first()
-    assert row["bytes"] == 2 and row["file"] == "f.tsv"
+    path = write(tmp_path / "f.tsv", "a\tb\n1\t2\n3\t4\n")
+    row = audit.manifest_row(spark, "f", path, files.read_table(spark, path))
+    expected = spark.createDataFrame([("f", 2, 2), ("g", 1, 1)], "name string, row_count long, columns int")
+    got = audit.expected_sizes(row, expected).first()
+    assert (got["row_count"], got["columns"], got["bytes"], got["verdict"]) == (2, 2, 12, "pass")
+    assert audit.expected_sizes(row, expected.where("name = 'g'")).first()["verdict"] == "skip"
+    assert audit.expected_sizes(row, expected.selectExpr("name", "row_count + 1 as row_count", "columns")).first()["verdict"] == "fail"
+    files.write_csv(spark.createDataFrame([("P1", 0.5), ("P2", None)], "acc string, score double"), str(tmp_path / "csv"))
+    assert sorted(map(tuple, spark.read.csv(str(tmp_path / "csv"), header=True).collect())) == [("P1", "0.5"), ("P2", None)]
+
+
+def test_report_is_one_document_with_equal_bytes(spark, tmp_path):
+    checks_ = spark.createDataFrame([("b", "y", "fail", True, "1", "0"), ("a", "x", "pass", False, None, "0"), ("a", "w", "skip", False, None, None)], audit.CHECK)
+    text = []
+    for k in range(2):
+        audit.report(checks_.repartition(k + 1), str(tmp_path / f"r{k}"), {"t": "0.1", "s": "2"}, spark.createDataFrame([(7,)], "n int"))
+        (part,) = (tmp_path / f"r{k}").glob("part-*")
+        text.append(part.read_bytes())
+    assert text[0] == text[1]
+    got = spark.read.schema(audit.REPORT).json(str(tmp_path / "r0")).first()
+    assert [(c["layer"], c["name"]) for c in got["checks"]] == [("a", "w"), ("a", "x"), ("b", "y")]
+    assert tuple(got["summary"]) == (1, 1, 1, 1) and got["thresholds"] == {"s": "2", "t": "0.1"} and got["inputs"] == {"n": "7"}
+
+
+def test_fasta_errors(spark, tmp_path):
+    with pytest.raises(ValueError, match="no record"):
+        files.read_fasta(spark, write(tmp_path / "none.fasta", "just text\nmore\n"), strict=True)
+    with pytest.raises(Exception, match="empty sequence of tr|P2"):
+        files.read_fasta(spark, write(tmp_path / "empty.fasta", "\n>sp|P1|A\nACD\n>tr|P2|B\n\n"), strict=True).collect()
+    assert files.read_fasta(spark, write(tmp_path / "fine.fasta", "\n>sp|P1|A\nACD\n"), strict=True).first()["seq"] == "ACD"
+
+
+def test_predict_in_one_plan(spark, tmp_path):
+    """A repeated accession, an empty record, letters that are no residue, an imported feature that some lack, and a column that none has."""
+    path = write(tmp_path / "p.fasta", ">sp|P2|B x\nKKDDEEGG\n>sp|P1|A\nACDE\nFG\n>P3\n\n>sp|P2|B again\nAAAA\n>P4\nKUDER\n")
+    members = spark.createDataFrame([("t", m, f, w, c, s) for m in (0, 1) for f, w, c, s in (("", 0.5 * m, 0.0, 1.0), ("fcr", 1.0, 0.5, 0.5), ("IDR", 2.0, 0.1, 0.1), ("gone", 9.0, 0.0, 1.0))], learn.MEMBERS)
+    manifests = spark.createDataFrame([("t", "1"), ("u", "2")], "task string, feature_definitions_version string")
+    imported = spark.createDataFrame([("P1", 0.2, 0.9), ("P9", 0.1, 0.1)], "acc string, IDR double, fcr double")
+    got = predict(files.read_fasta(spark, path), members, manifests, "t", ["fcr", "IDR", "gone"], imported, "2").orderBy("ord").collect()
+    assert [r["acc"] for r in got] == ["P2", "P1", "P4"] and [r["n"] for r in got] == [8, 6, 5] and all(r["stale"] for r in got)
+    assert [r["missing"] for r in got] == [["IDR", "gone"], ["gone"], ["IDR", "gone"]]
+    assert got[2]["hydropathy"] is None and got[2]["granule"] is None and got[2]["fcr"] == 0.8 and got[0]["granule"] is not None
+    chance = lambda fcr, idr: sum(1 / (1 + math.exp(-(0.5 * m + (fcr - 0.5) / 0.5 + (2 * (idr - 0.1) / 0.1 if idr else 0)))) for m in (0, 1)) / 2
+    assert [r["score"] for r in got] == pytest.approx([chance(0.75, None), chance(1 / 3, 0.2), chance(0.8, None)])
 
 
 def test_auc(spark):
