@@ -6,6 +6,7 @@ Spark deals out proteins; each function below handles one protein and holds noth
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -340,16 +341,27 @@ def mean_charge(sequences: list[str]) -> list[float]:
 
 
 def in_size_batches(sequences: DataFrame, kernel: Callable[[list[str]], list], schema: str, most: int = 4, residues: int = 4000) -> DataFrame:
-    """acc, value, error: ``kernel`` over bounded batches. A batch that fails gives nulls and what was raised."""
+    """acc, value, error: ``kernel`` over bounded batches. A batch that fails gives nulls and what was raised.
+
+    Batches run on over the edges of what Arrow hands over; only a task's last one may be short.
+    """
+    bound_batches(sequences)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            accs, seqs = b.column(0).to_pylist(), [s or "" for s in b.column(1).to_pylist()]
-            for part in size_batches(map(len, seqs), most, residues):
-                try:
-                    values, error = kernel([seqs[k] for k in part]), None
-                except Exception as e:
-                    values, error = [None] * len(part), f"{type(e).__name__}: {e}"
-                yield pa.RecordBatch.from_arrays([pa.array([accs[k] for k in part], pa.string()), pa.array(values, pa.float64()), pa.array([error] * len(part), pa.string())], ["acc", "value", "error"])
+        rows: deque[tuple] = deque()
+
+        def lengths() -> Iterator[int]:
+            for b in batches:
+                for acc, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    rows.append((acc, seq or ""))
+                    yield len(seq or "")
+
+        for part in size_batches(lengths(), most, residues):
+            held = [rows.popleft() for _ in part]
+            try:
+                values, error = kernel([seq for _, seq in held]), None
+            except Exception as e:
+                values, error = [None] * len(part), f"{type(e).__name__}: {e}"
+            yield pa.RecordBatch.from_arrays([pa.array([acc for acc, _ in held], pa.string()), pa.array(values, pa.float64()), pa.array([error] * len(part), pa.string())], ["acc", "value", "error"])
 
     return sequences.select("acc", "seq").mapInArrow(run, schema + ", error string")

@@ -265,9 +265,7 @@ def holdout(spark: SparkSession, d: str) -> DataFrame:
 
 @query("e26_organism_rank", f"WITH {FEAT} SELECT acc, organism, round(percent_rank() OVER (PARTITION BY organism ORDER BY fcr), 6) AS rnk FROM v_feat")
 def organism_rank(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    return features(spark, d).select("acc", "organism", r6(F.percent_rank().over(Window.partitionBy("organism").orderBy("fcr"))).alias("rnk"))
+    return metrics.percent_rank(features(spark, d).select("acc", "organism", "fcr"), ["organism"], "fcr", "rnk").select("acc", "organism", r6("rnk").alias("rnk"))
 
 
 @query("e27_first_occurrence", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1")
@@ -395,7 +393,7 @@ def summary(spark: SparkSession, d: str) -> DataFrame:
 def recomputed_metrics(spark: SparkSession, d: str) -> DataFrame:
     """AUC by rank sums against AUC by distinct thresholds, to 1e-9, with both values."""
     scored = _scored(spark, d)
-    ranked = scored.withColumn("r", metrics.mean_rank(["task"], "score")).groupBy("task").agg(F.sum(F.when(F.col("label") == 1, F.col("r"))).alias("s"), F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
+    ranked = metrics.with_ranks(scored, ["task"], "score", "r").groupBy("task").agg(F.sum(F.when(F.col("label") == 1, F.col("r"))).alias("s"), F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
     recorded = ranked.select(F.col("task").alias("name"), ((F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("n"))).alias("target"))
     measured = metrics.auc(scored, ["task"]).select(F.col("task").alias("name"), F.col("auc").alias("value"))
     rows = audit.metric_layer(measured, recorded, 1e-9, "recomputed")

@@ -181,14 +181,14 @@ def longest_run(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("e16_core_domains", f"""
-WITH {RES}, marked AS (SELECT acc, n, pos FROM v_res WHERE hydro < 0), {RUNS},
-c AS (SELECT acc, pos, pos + 5 AS upto, s FROM (SELECT acc, n, pos, {ahead(5, "sum(-hydro)")} AS s, {ahead(5, "max(hydro)")} AS m FROM v_res) WHERE m < 0 AND pos + 5 <= n),
+WITH {FOLD}, marked AS (SELECT acc, n, pos FROM v_fi WHERE fi < 0), {RUNS},
+c AS (SELECT acc, pos, s FROM (SELECT acc, n, pos, {ahead(60, "sum(-hydro)")} AS s, {ahead(60, "max(fi)")} AS m FROM v_fi) WHERE m < 0 AND pos + 60 <= n),
 b AS (SELECT acc, max(s)::BIGINT AS core, arg_max(pos, (s, -pos)) AS core_first FROM c GROUP BY acc)
 SELECT b.acc, core, core_first, sum(-v.hydro)::BIGINT AS domain, first AS domain_first, last AS domain_last
 FROM b JOIN runs r ON r.acc = b.acc AND core_first >= r.first AND core_first < r.last JOIN v_res v ON v.acc = b.acc AND v.pos >= r.first AND v.pos < r.last GROUP BY ALL""")
 def core_domains(spark: SparkSession, d: str) -> DataFrame:
-    got = residue_table(spark, d).withColumn("h", R.valued(HYDROPATHY10))
-    return R.core_domains(got, F.col("h") < 0, -F.col("h"), 5)
+    got = R.fold_index(residue_table(spark, d))
+    return R.core_domains(got, F.col("fi") < 0, -R.valued(HYDROPATHY10))
 
 
 ENTROPY_COUNTS = ", ".join(ahead(12, f"sum(CASE WHEN aa = '{a}' THEN 1 ELSE 0 END)") + f" AS c_{a}" for a in RESIDUES)
@@ -334,10 +334,21 @@ def batch_scores(spark: SparkSession, d: str) -> DataFrame:
     return R.batch_scores(got.select("doc_id", "acc", F.col("raw").alias("seq"))).select("doc_id", "acc", r6("score").alias("score"), "error")
 
 
-@query("j07_feature_map")
+FEATURE_SLICE = {"rc7_mean": 30, "rc7_q25": 36, "rc7_q50": 42, "rc7_q75": 48, "rc7_sd": 54, "profile_mean": 146, "profile_sd": 147, "profile_q50": 151, "profile_low": 155, "profile_high": 156, "share_a": 159, "n": 179, "ln_n": 180}
+
+
+@query("j07_feature_map", f"""
+WITH {PROFILE}, {_values("t_rc", {a: row[0] for a, row in SCALES100.items()})},
+m AS (SELECT acc, {over(7, "sum(t.v)")}{D} / (least(pos, 7) + least(n - 1 - pos, 7) + 1) / 100.0{D} AS m FROM v_res0 JOIN t_rc t USING (aa)),
+a AS (SELECT acc, round(avg(m), 6) AS rc7_mean, round(quantile_cont(m, 0.25), 6) AS rc7_q25, round(quantile_cont(m, 0.5), 6) AS rc7_q50, round(quantile_cont(m, 0.75), 6) AS rc7_q75, round(stddev_pop(m), 6) AS rc7_sd FROM m GROUP BY acc),
+p AS (SELECT acc, round(avg(value), 6) AS profile_mean, round(stddev_pop(value), 6) AS profile_sd, round(quantile_cont(value, 0.5), 6) AS profile_q50, round(min(value), 6) AS profile_low, round(max(value), 6) AS profile_high FROM v_prof GROUP BY acc)
+SELECT acc, 181 AS size, rc7_mean, rc7_q25, rc7_q50, rc7_q75, rc7_sd, coalesce(profile_mean, 0) AS profile_mean, coalesce(profile_sd, 0) AS profile_sd, coalesce(profile_q50, 0) AS profile_q50,
+  coalesce(profile_low, 0) AS profile_low, coalesce(profile_high, 0) AS profile_high, round((length(seq) - length(replace(seq, 'A', ''))){D} / length(seq), 6) AS share_a, length(seq){D} AS n, round(ln(length(seq){D}), 6) AS ln_n
+FROM v_seq JOIN a USING (acc) LEFT JOIN p USING (acc)""")
 def feature_map(spark: SparkSession, d: str) -> DataFrame:
+    """All 181 features of each text; SQL holds a slice of them."""
     got = kernels.feature_map(sequences(spark, d))
-    return got.select("acc", F.size("features").cast("long").alias("size"), r6(F.aggregate("features", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    return got.select("acc", F.size("features").cast("long").alias("size"), *[(r6(F.col("features")[k]) + 0.0).alias(name) for name, k in FEATURE_SLICE.items()])
 
 
 @query("j18_size_batches", f"""

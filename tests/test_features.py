@@ -163,6 +163,19 @@ def test_failed_batch_gives_nulls(spark):
     assert len(got) == 4 and all(r["value"] is None and r["error"] == "ValueError: no" for r in got)
 
 
+def test_batches_run_over_arrow_s_edges(spark):
+    rows = [(f"P{k}", "ACDE" * 25) for k in range(11)]
+    key, sizes = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        got = kernels.in_size_batches(table(spark, rows).coalesce(1), lambda seqs: [float(len(seqs))] * len(seqs), "acc string, value double").collect()
+    finally:
+        spark.conf.set(key, before)
+    sizes = [r["value"] for r in got]
+    assert sizes == [4.0] * 8 + [3.0] * 3 and [r["acc"] for r in got] == [a for a, _ in rows]
+
+
 def test_errors_stand_beside_scores(spark):
     got = {r["acc"]: r for r in R.batch_scores(table(spark, [("A", "ACDEFG" * 5), ("B", ""), ("C", "AXA"), ("D", None)])).collect()}
     assert got["A"]["score"] is not None and got["A"]["error"] is None

@@ -1,6 +1,7 @@
 import gzip
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,6 +228,48 @@ def test_members_learn_and_missing_values_count_as_the_centre(spark):
     assert members.count() == 3
 
 
+def newton(x, y, penalty=1.0):
+    """The same optimum for one group in memory."""
+    w, x = np.zeros(x.shape[1] + 1), np.column_stack([x, np.ones(len(x))])
+    ridge = np.diag([penalty] * (x.shape[1] - 1) + [1e-9])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+    return w
+
+
+def test_groups_are_fitted_as_if_alone(spark):
+    """Two keys of a group, missing values, a constant column and one that is missing throughout."""
+    rng = np.random.default_rng(5)
+    rows = [(t, m, int(rng.random() < 0.4), None if rng.random() < 0.2 else float(rng.normal(m)), 2.0, None) for t in "ab" for m in (0, 1) for _ in range(50)]
+    df = spark.createDataFrame(rows, "task string, model int, label int, x double, y double, z double").repartition(5)
+    got = {(r["task"], r["model"], r["feature"]): r for r in learn.fit_members(df, ["x", "y", "z"]).collect()}
+    assert len(got) == 16
+    for t in "ab":
+        for m in (0, 1):
+            own = [r for r in rows if r[:2] == (t, m)]
+            x = np.array([np.nan if r[3] is None else r[3] for r in own])
+            x = np.where(np.isnan(x), np.nanmedian(x), x)
+            want = newton(np.column_stack([(x - x.mean()) / x.std(), np.zeros((50, 2))]), np.array([r[2] for r in own]))
+            assert [got[t, m, f]["weight"] for f in ("x", "y", "z", "")] == pytest.approx(want.tolist(), abs=1e-7)
+            assert (got[t, m, "x"]["centre"], got[t, m, "x"]["scale"]) == (pytest.approx(x.mean()), pytest.approx(x.std()))
+
+
+def test_ranks_by_definition(spark):
+    """Values of all signs and sizes, ties, nulls, and a null group."""
+    rng = np.random.default_rng(6)
+    rows = [(g, None if rng.random() < 0.1 else float(rng.choice([0.0, 1e-300, -1e-300, 1e300, *rng.normal(size=4), *(10.0 ** rng.integers(-5, 5, 4))])), int(rng.random() < 0.5)) for g in ("a", "b", None) for _ in range(60)]
+    df = spark.createDataFrame(rows, "g string, x double, label int").repartition(4)
+    for r in metrics.with_ranks(df, ["g"], "x", "rank").collect():
+        own = [x for g, x, _ in rows if g == r["g"] and x is not None]
+        below, same = sum(x < r["x"] for x in own) if r["x"] is not None else None, own.count(r["x"])
+        assert (r["rank_before"], r["rank"]) == ((below, below + (same + 1) / 2) if r["x"] is not None else (None, None))
+    for r in metrics.auc(df, ["g"], score="x").collect():
+        own = [(x, y) for g, x, y in rows if g == r["g"] and x is not None]
+        pos, neg = [x for x, y in own if y], [x for x, y in own if not y]
+        assert r["auc"] == pytest.approx(sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)))
+
+
 def test_arrivals_once(spark, tmp_path):
     source, store = tmp_path / "in", str(tmp_path / "store")
     source.mkdir()
