@@ -38,14 +38,21 @@ def bound_batches(df: DataFrame) -> None:
 
 def over_sequences(sequences: DataFrame, schema: str, row: Callable[[str], tuple]) -> DataFrame:
     """acc and what ``row`` makes of each sequence. A null or empty one gives nulls."""
+    return over_batches(sequences, schema, lambda seqs: list(map(row, seqs)))
+
+
+def over_batches(sequences: DataFrame, schema: str, rows: Callable[[list[str]], list[tuple]]) -> DataFrame:
+    """As over_sequences for what ``rows`` makes of several sequences at once, one row each."""
     bound_batches(sequences)
     fields = [f.strip().split(" ") for f in schema.split(", ")]
     kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<array<int>>": pa.list_(pa.list_(pa.int32()))}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [row(s.as_py()) if s.is_valid and len(s.as_py()) else (None,) * len(fields) for s in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(fields))], ["acc", *(n for n, _ in fields)])
+            seqs = b.column(1).to_pylist()
+            made = iter(rows([s for s in seqs if s]))
+            got = [next(made) if s else (None,) * len(fields) for s in seqs]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in got], kinds[t]) for k, (_, t) in enumerate(fields))], ["acc", *(n for n, _ in fields)])
 
     return sequences.select("acc", "seq").mapInArrow(run, f"acc string, {schema}")
 
@@ -248,19 +255,76 @@ def decode_states(seq: str) -> tuple:
     return path.tolist(), total - none, max(v0, v1) - none, posterior.tolist(), int(path.sum()), float(posterior.max())
 
 
+#: Sequences of like length that step together: so many at least, and so many places with their padding at most.
+TOGETHER, PLACES = 16, 1 << 21
+
+
+def decode_together(seqs: list[str]) -> list[tuple]:
+    """decode_states of sequences sorted by length, all of them a place further with each step."""
+    n = np.array(list(map(len, seqs)))
+    size, width = int(n[-1]), len(seqs)
+    x = np.full((size, width), 20)
+    for k, s in enumerate(seqs):
+        x[: n[k], k] = codes(s)
+    e0, e1 = emissions()[:, x]
+    first = np.searchsorted(n, np.arange(size), "right")  # those from here on have this place
+    (m00, m01), (m10, m11) = np.log(np.array([[HMM_STAY, HMM_ENTER], [HMM_LEAVE, HMM_KEEP]])).tolist()
+    v0, v1 = (math.log(p) + e[0] for p, e in zip(HMM_START, (e0, e1)))
+    f0, f1 = v0.copy(), v1.copy()
+    back = np.zeros((2, size, width), bool)
+    forward0, forward1 = np.empty((2, size, width))
+    forward0[0], forward1[0] = f0, f1
+    for k in range(1, size):
+        now = slice(first[k], None)
+        a, b, c, d = v0[now] + m00, v1[now] + m10, v0[now] + m01, v1[now] + m11
+        back[0, k, now], back[1, k, now] = b > a, d > c
+        v0[now], v1[now] = np.maximum(a, b) + e0[k, now], np.maximum(c, d) + e1[k, now]
+        g0 = np.logaddexp(f0[now] + m00, f1[now] + m10) + e0[k, now]
+        f1[now] = np.logaddexp(f0[now] + m01, f1[now] + m11) + e1[k, now]
+        f0[now] = g0
+        forward0[k, now], forward1[k, now] = f0[now], f1[now]
+    total = np.logaddexp(f0, f1)
+    none = np.where(np.arange(size)[:, None] < n, e0, 0.0).sum(axis=0)
+    state, path, posterior = (v1 > v0).astype(np.int64), np.zeros((size, width), np.int32), np.zeros((size, width))
+    b0, b1, at = np.zeros(width), np.zeros(width), np.arange(width)
+    for k in range(size - 1, -1, -1):
+        now = slice(first[k], None)
+        path[k, now] = state[now]
+        state[now] = back[state[now], k, at[now]]
+        posterior[k, now] = np.exp(forward1[k, now] + b1[now] - total[now])
+        c, d = e0[k, now] + b0[now], e1[k, now] + b1[now]
+        b0[now], b1[now] = np.logaddexp(m00 + c, m01 + d), np.logaddexp(m10 + c, m11 + d)
+    best = np.maximum(v0, v1)
+    return [
+        (path[: n[k], k].tolist(), float(total[k] - none[k]), float(best[k] - none[k]), posterior[: n[k], k].tolist(), int(path[: n[k], k].sum()), float(posterior[: n[k], k].max()))
+        for k in range(width)
+    ]
+
+
+def decode_all(seqs: list[str]) -> list[tuple]:
+    """decode_states of each sequence; those of like length step together."""
+    order = sorted(range(len(seqs)), key=lambda k: len(seqs[k]))
+    out: list[tuple] = [()] * len(seqs)
+    held: list[int] = []
+    for k in [*order, None]:
+        if held and (k is None or (len(held) + 1) * len(seqs[k]) > PLACES):
+            part = [seqs[j] for j in held]
+            for j, row in zip(held, decode_together(part) if len(held) >= TOGETHER else map(decode_states, part)):
+                out[j] = row
+            held = []
+        if k is not None:
+            held.append(k)
+    return out
+
+
 def hidden_states(sequences: DataFrame) -> DataFrame:
     """acc, path, score, viterbi_score, posterior, prion_residues, high_posterior."""
-    return over_sequences(sequences, "path array<int>, score double, viterbi_score double, posterior array<double>, prion_residues long, high_posterior double", decode_states)
+    return over_batches(sequences, "path array<int>, score double, viterbi_score double, posterior array<double>, prion_residues long, high_posterior double", decode_all)
 
 
 def hidden_state_summary(sequences: DataFrame) -> DataFrame:
     """As hidden_states without the arrays, which then never leave the worker."""
-
-    def row(seq: str) -> tuple:
-        _, score, viterbi, _, prion, high = decode_states(seq)
-        return score, viterbi, prion, high
-
-    return over_sequences(sequences, "score double, viterbi_score double, prion_residues long, high_posterior double", row)
+    return over_batches(sequences, "score double, viterbi_score double, prion_residues long, high_posterior double", lambda seqs: [(s, v, n, h) for _, s, v, _, n, h in decode_all(seqs)])
 
 
 # The 181 columns of the surrogate

@@ -129,6 +129,19 @@ def test_hidden_states_by_enumeration(spark):
     assert posterior == pytest.approx(inside / total)
 
 
+@pytest.mark.parametrize("places", [1, 300, 1 << 21])
+def test_hidden_states_in_step_are_those_alone(monkeypatch, places):
+    rng = np.random.default_rng(7)
+    seqs = ["".join(rng.choice(list("QNSGYAVLKX"), n)) + "QNQNQN" * (n % 5) for n in rng.integers(1, 60, 70)]
+    monkeypatch.setattr(kernels, "PLACES", places)
+    monkeypatch.setattr(kernels, "TOGETHER", 2)
+    for seq, got in zip(seqs, kernels.decode_all(seqs), strict=True):
+        want = kernels.decode_states(seq)
+        assert got[0] == want[0] and got[4] == want[4]
+        for k in (1, 2, 3, 5):
+            assert got[k] == pytest.approx(want[k], abs=1e-9)
+
+
 def test_spread_average_fills_from_the_nearest(spark):
     df = R.residues(table(spark, [("A", "AILV" * 6)])).withColumn("v", R.valued(HYDROPATHY10).cast("double"))
     rows = R.spread_average(df, "v", (20,)).orderBy("pos").collect()
