@@ -29,7 +29,7 @@ from peptora.llm.common import bodies, discard, materialise, shuffle_width, tabl
 #: Distinct fingerprints from which the longer anchors of ``thirds`` pay.
 MANY = 1 << 25
 #: No anchor group larger than this is held by one task: larger ones are dealt out by pairs of parts.
-GROUP = 1 << 21
+GROUP = 1 << 18
 SHINGLES_AT_ONCE = 1 << 16
 
 
@@ -189,12 +189,15 @@ def _walk(fps: np.ndarray, threshold: int) -> list[tuple[np.ndarray, np.ndarray]
 
 
 def _group(fps: np.ndarray, threshold: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """As _walk; in a large group members meet where one of threshold + 1 sections is equal, which every link has."""
+    """As _walk; in a large group members meet where one of threshold + 1 sections is equal, which every link has.
+
+    A group's members are alike in their anchor's bits, so each section takes every so-manieth bit of all.
+    """
     if len(fps) <= 4096:
         return _walk(fps, threshold)
-    links, edges = [], np.linspace(0, 64, threshold + 2).astype(int)
-    for low, high in zip(edges[:-1], edges[1:]):
-        part = fps >> np.uint64(low) & np.uint64((1 << int(high - low)) - 1)
+    links = []
+    for k in range(threshold + 1):
+        part = fps & np.uint64(sum(1 << i for i in range(k, 64, threshold + 1)))
         order = np.argsort(part, kind="stable")
         for run in np.split(fps[order], np.flatnonzero(np.diff(part[order])) + 1):
             if len(run) > 1:

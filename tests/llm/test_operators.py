@@ -91,6 +91,41 @@ def test_simhash_links_are_complete(spark, scheme, group):
     assert groups(lambda x: root.get(x, x)) == groups(want.get)
 
 
+def plain_simhash(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    h = [xxhash.xxh64_intdigest(" ".join(words[k : k + 4]), 42) for k in range(max(1, len(words) - 3))] if words else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_component_ids_end_to_end(spark, texts):
+    """Whole sf0.001 and the odd texts, with null and repeated ids: fingerprints, links and smallest ids by their definitions."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(100_000 + i, t) for i, t in texts] + [(None, rows[3][1]), (7, rows[90][1]), (5, rows[5][1])]
+    rng = random.Random(4)
+    for k in range(30):  # chains of light edits
+        words = rows[k + 40][1].split()
+        for j in range(3):
+            words[rng.randrange(len(words))] = "edited"
+            rows.append((200_000 + 10 * k + j, " ".join(words)))
+    fps = [plain_simhash(t) for _, t in rows]
+    distinct = sorted(set(fps))
+    root = {f: f for f in distinct}
+    find = lambda f: f if root[f] == f else find(root[f])
+    for k, a in enumerate(distinct):
+        for b in distinct[k + 1 :]:
+            if (a ^ b).bit_count() <= 4:
+                root[find(b)] = find(a)
+    least = {}
+    for (i, _), f in zip(rows, fps):
+        if i is not None:
+            least[find(f)] = min(least.get(find(f), i), i)
+    want = Counter((i, f"{f:016x}", least.get(find(f))) for (i, _), f in zip(rows, fps))
+    for scheme in ("halves", "thirds"):
+        got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), scheme=scheme).collect()
+        assert Counter(map(tuple, got)) == want
+    assert len(set(least.values())) < len(distinct)
+
+
 def test_large_anchor_group():
     rng = np.random.default_rng(1)
     fps = rng.integers(0, 1 << 62, 5000).astype(np.uint64)
