@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peptora.llm.common import materialise, table
+from peptora.llm.common import discard, materialise, table
 
 ADD = 0.01
 #: Broadcast words and pairs.
@@ -198,7 +198,8 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, hot: int = HOT, pass
     body = docs.select(F.xxhash64("doc_id", text).alias("row"), "doc_id", text.cast("binary").alias("body"))
     # Both sides may be large, so neither is broadcast at any size.
     marked = body.join(marks.hint("merge"), "doc_id", "left").select("body", F.coalesce("target", F.lit(False)).alias("target"))
-    found = functools.reduce(DataFrame.union, [materialise(counts(marked, k, passes).where("kind = 0 or background > 1"), "counts") for k in range(passes)])
+    tables = [materialise(counts(marked, k, passes).where("kind = 0 or background > 1"), "counts") for k in range(passes)]
+    found = functools.reduce(DataFrame.union, tables)
     room = ADD * (found.where("kind = 0 and key != 0").count() + 1)
     value = values(found, room)
     shared = spark.sparkContext.broadcast([Hot(value, 0, min(hot, HOT_WORDS)), Hot(value, 1, hot)])
@@ -213,6 +214,7 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, hot: int = HOT, pass
         )
 
     shares = functools.reduce(DataFrame.union, [materialise(sums_of(k), "sums") for k in range(passes)])
+    discard(*tables)
     sums = shares.groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "tokens", "rows")), *(F.sum(c).alias(c) for c in ("background", "outside", "inside")))
     # Rows of one doc_id and text add up, and each has its share.
     mean = lambda c: F.when(F.col("tokens") > 0, c / (F.col("tokens") * F.col("rows"))).otherwise(0.0)

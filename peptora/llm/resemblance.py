@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peptora.llm.common import bound_batches, materialise, quoted, shuffle_width
+from peptora.llm.common import bound_batches, discard, materialise, quoted, shuffle_width
 from peptora.llm.simhash import components, links, majority
 
 WIDTH, LEAST = 5, 0.8
@@ -117,7 +117,9 @@ def candidates(distinct: DataFrame) -> DataFrame:
     first = materialise(distinct.where("size(keys) > 0").groupBy("sim").agg(F.min("fp").alias("least")), "least")
     same = distinct.join(first, "sim").where("fp > least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
     near = links(first.select(F.col("sim").alias("fp")), BITS).join(first.select(F.col("sim").alias("a"), F.col("least").alias("x")), "a").join(first.select(F.col("sim").alias("b"), F.col("least").alias("y")), "b")
-    return materialise(shared.union(same).union(near.select("x", "y")).distinct(), "candidates")
+    got = materialise(shared.union(same).union(near.select("x", "y")).distinct(), "candidates")
+    discard(least, first)
+    return got
 
 
 def checked(texts: DataFrame, group: int = GROUP) -> DataFrame:
@@ -167,7 +169,9 @@ def one_of_each(docs: DataFrame, group: int = GROUP) -> DataFrame:
     body = F.coalesce("text", F.lit("")).cast("binary").alias("body")
     signed = materialise(signatures(docs.select(row.alias("row"), "doc_id", body)), "signatures")
     distinct = materialise(signed.groupBy("fp").agg(F.min("row").alias("row"), F.first("sim").alias("sim"), F.first("keys").alias("keys")), "distinct")
-    clusters = members(candidates(distinct), "cluster")
+    connected = candidates(distinct)
+    clusters = members(connected, "cluster")
+    discard(connected)  # components has written its own table of it
     texts = docs.select(row.alias("row"), body).join(distinct.join(clusters, "fp"), "row").select("cluster", "fp", "sim", "keys", "body")
     root = members(checked(texts, group), "root")
     every = signed.select("fp", "doc_id", "row").join(root, "fp", "left").select(F.coalesce("root", "fp").alias("root"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", "row").alias("x"))
