@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from peptora.llm.common import bodies, materialise, table
 
 CAPACITY = 2048
-#: Pieces of a length that one task ranks.
-SHARE = 1_000_000
+#: Pieces of a length that one task ranks at most, and parts that FEW pieces each are dealt to anyway.
+SHARE, FEW, PARTS = 1_000_000, 512, 1024
 BLOCK = 1 << 19
 #: Stands between words that are encoded together; alone it has one id.
 MARK = "\0"
@@ -259,7 +259,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, share: int = SHARE) -> Data
     spark = found.sparkSession
     counts = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}
     # At most capacity rows, whatever the corpus.
-    lengths = spark.createDataFrame([(k, -(-n // share)) for k, n in sorted(counts.items())], "length int, _parts long")
+    lengths = spark.createDataFrame([(k, max(-(-n // share), min(n // FEW, PARTS))) for k, n in sorted(counts.items())], "length int, _parts long")
     dealt = found.join(F.broadcast(lengths), "length").withColumn("_salt", F.expr("pmod(xxhash64(doc_id, piece, start), _parts)"))
     parts = dealt.groupBy("length", "_salt").count().withColumn(
         "_before", F.sum("count").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
