@@ -254,9 +254,9 @@ def hidden_states(spark: SparkSession, d: str) -> DataFrame:
 @query("c15_charge_decoration", f"""
 WITH {RES}, q AS (SELECT acc, n, pos, charge FROM v_res WHERE charge <> 0),
 p AS (SELECT a.acc, a.n, sum(a.charge * b.charge * sqrt((b.pos - a.pos){D})) AS s FROM q a JOIN q b ON a.acc = b.acc AND a.pos < b.pos GROUP BY a.acc, a.n)
-SELECT acc, round(coalesce(s, 0){D} / length(seq), 6) AS scd FROM v_seq LEFT JOIN p USING (acc)""")
+SELECT acc, round(coalesce(s, 0){D} / length(seq), 3) AS scd FROM v_seq LEFT JOIN p USING (acc)""")
 def charge_decoration(spark: SparkSession, d: str) -> DataFrame:
-    return charge.charge_decoration(sequences(spark, d)).withColumn("scd", r6("scd"))
+    return charge.charge_decoration(sequences(spark, d)).withColumn("scd", F.round("scd", 3))
 
 
 @query("d02_background", f"""
