@@ -13,6 +13,7 @@ from peptora.operators.audit import stale_models
 from peptora.operators.checks import with_model_columns
 from peptora.operators.learn import ensemble_scores
 from peptora.operators.residues import protein_scores
+from peptora.sources.shared import written
 
 
 def computed_features(records: DataFrame, route: str = "paper") -> DataFrame:
@@ -31,7 +32,7 @@ def predict(records: DataFrame, members: DataFrame, manifests: DataFrame, task:
     missing for all. Null where no member of the task's ensemble is given. Rows carry ``ord``, the record's place, to sort by.
     """
     first = records.where("seq != ''").withColumn("ord", F.monotonically_increasing_id()).groupBy("acc").agg(F.min_by(F.struct("seq", "ord"), "ord").alias("r"))
-    once = first.select("acc", "r.seq", "r.ord")
+    once = written(first.select("acc", "r.seq", "r.ord"), "records")
     have = computed_features(once, route)
     if imported is not None:
         have = feature_matrix(have, imported)
