@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from peptora.llm import lmscore, lzprint, ogg, packing, pieces, quality, simhash, substring, toxicity, urlrules
+from peptora.llm import blocknames, lmscore, lzprint, ogg, packing, pieces, quality, simhash, substring, toxicity, urlrules
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_url_rules": urlrules.op8_url_rules,
     "op9_lm_scoring": lmscore.op9_lm_scoring,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op11_block_names": blocknames.op11_block_names,
 }
 
 ORACLE_SQL = {
     "op8_url_rules": urlrules.OP8_SQL,
+    "op11_block_names": blocknames.OP11_SQL,
 }
