@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from peptora.llm import blocknames, lmscore, lzprint, ogg, packing, pieces, quality, simhash, substring, toxicity, urlrules
+from peptora.llm import blocknames, dialogue, lmscore, lzprint, ogg, packing, pieces, quality, simhash, substring, toxicity, urlrules
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_lm_scoring": lmscore.op9_lm_scoring,
     "op10_sentencepiece": pieces.op10_sentencepiece,
     "op11_block_names": blocknames.op11_block_names,
+    "op12_dialogue": dialogue.op12_dialogue,
 }
 
 ORACLE_SQL = {
     "op8_url_rules": urlrules.OP8_SQL,
     "op11_block_names": blocknames.OP11_SQL,
+    "op12_dialogue": dialogue.OP12_SQL,
 }
