@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from peptora.llm import blocknames, dialogue, lmscore, lzprint, ogg, packing, pieces, quality, simhash, substring, toxicity, urlrules
+from peptora.llm import blocknames, dialogue, lmscore, lzprint, ogg, packing, phrases, pieces, quality, simhash, substring, toxicity, urlrules
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_sentencepiece": pieces.op10_sentencepiece,
     "op11_block_names": blocknames.op11_block_names,
     "op12_dialogue": dialogue.op12_dialogue,
+    "op13_phrases": phrases.op13_phrases,
 }
 
 ORACLE_SQL = {
     "op8_url_rules": urlrules.OP8_SQL,
     "op11_block_names": blocknames.OP11_SQL,
     "op12_dialogue": dialogue.OP12_SQL,
+    "op13_phrases": phrases.OP13_SQL,
 }
