@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 #: Rows of an Arrow batch: texts are long, and a task's batches stand in memory on both sides.
@@ -106,5 +110,50 @@ def ranked(df: DataFrame, keys: list[str], name: str, number: str) -> DataFrame:
     return kept.withColumn("_part", part).join(starts, "_part").withColumn(number, F.col("_start") + at).drop("_part", "_start", "_place")
 
 
+def with_rest(df: DataFrame, more: str) -> T.StructType:
+    """The type of ``rest`` in ``df``, whatever its fields are called, and further fields."""
+    return T.StructType([df.schema["rest"], *T.StructType.fromDDL(more).fields])
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns as one, so that operators neither read nor replace them."""
+    return docs.select(as_one([c for c in docs.columns if c not in ("doc_id", "text")]), "doc_id", "text")
+
+
+def unpacked(df: DataFrame, columns: list[str], **instead: Column) -> DataFrame:
+    """What ``packed`` took, in the order of ``columns``; ``instead`` has new values for some."""
+    others = [c for c in columns if c not in ("doc_id", "text")]
+    held = {c: F.col("rest")[f"c{k}"] for k, c in enumerate(others)} | {c: F.col(c) for c in ("doc_id", "text")} | instead
+    return df.select(*(held[c].alias(c) for c in columns))
+
+
+#: Bits of a bitmap, as a power of two: 8 MB whatever the data's size.
+MAP_BITS = 26
+
+
+def slots(key: np.ndarray) -> np.ndarray:
+    """Places of 64-bit keys in a bitmap."""
+    return (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MAP_BITS)
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """One bit a slot for the 64-bit keys of a table's one column: at most 2^MAP_BITS / 64 numbers come to the driver."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = slots(b.column(0).to_numpy().view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], ["at", "bit"])
+
+    rows = keys.mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << MAP_BITS - 6, np.uint64)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def marked(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = slots(key)
+    return bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -23,14 +23,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from peptora.llm.common import bound_batches, discard, materialise, ranked, table
+from peptora.llm.common import bitmap, bound_batches, discard, marked, materialise, ranked, table
 
 #: Bytes of text that a task takes at once; longer texts are cut between two pieces.
 CHUNK = 16 << 20
 #: Candidates of one trie: bounds what is broadcast and what the driver holds.
 SHARD = 1 << 19
-#: Bits of a bitmap, as a power of two: 8 MB whatever the data's size.
-MAP_BITS = 26
 #: A word's number is spelled in digits of so many bits, so that no state has more than 64 children.
 DIGIT = 6
 
@@ -123,36 +121,17 @@ def word_counts(texts: DataFrame, most: int = CHUNK) -> DataFrame:
     return _over(texts, each, "lang string, phrase string, f long", most).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def slots(key: np.ndarray) -> np.ndarray:
-    """Places of 64-bit keys in a bitmap."""
-    return (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MAP_BITS)
-
-
-def bitmap(keys: DataFrame, columns: list[str]) -> np.ndarray:
-    """One bit a slot for the keys, a column of them or the two of pairs: at most 2^MAP_BITS / 64 numbers come to the driver."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key, *more = (c.to_numpy().view(np.uint64) for c in b.columns)
-            at = slots(pair_key(key, more[0] >> np.uint64(32)) if more else key).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], ["at", "bit"])
-
-    rows = keys.select(columns).mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << MAP_BITS - 6, np.uint64)
-    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    return out
-
-
-def marked(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    at = slots(key)
-    return bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1
-
-
 def pair_key(ab: np.ndarray, lang: np.ndarray) -> np.ndarray:
     x = ab ^ lang * np.uint64(0xD6E8FEB86659FD93)
     return (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def pair_hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ab, lc = (c.to_numpy().view(np.uint64) for c in b.columns)
+        yield pa.RecordBatch.from_arrays([pa.array(pair_key(ab, lc >> np.uint64(32)).view(np.int64))], ["key"])
+
+
 def _rows(lang: np.uint64, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray) -> dict[str, pa.Array]:
     signed = lambda x: pa.array(x.astype(np.uint64, copy=False).view(np.int64))
     return {"ab": signed(a << np.uint64(32) | b), "lc": signed(lang << np.uint64(32) | c), "f": pa.array(n.astype(np.int64))}
@@ -360,11 +339,11 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, shard: int
     frequent = materialise(words.where(F.col("f") >= least), "frequent")
     discard(words)
     keyed = materialise(_keyed(frequent), "keyed")
-    good = bitmap(keyed, ["key"])
+    good = bitmap(keyed.select("key"))
     keys = materialise(pair_keys(texts, good, least, most), "pair-keys")
     found = _spelled(keys, keyed, 2)
     if longest == 3:
-        pairs = bitmap(keys, ["ab", "lc"])
+        pairs = bitmap(keys.select("ab", "lc").mapInArrow(pair_hashes, "key long"))
         triples = materialise(triple_keys(texts, good, pairs, least, most), "triple-keys")
         found = found.union(_spelled(triples, keyed, 3))
     candidates = ranked(found, ["lang", "a", "b", "c"], "candidates", "number")

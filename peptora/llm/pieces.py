@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peptora.llm.common import apart, as_one, materialise, table
+from peptora.llm.common import apart, as_one, materialise, table, with_rest
 
 SPACE = "▁"
 NONE = -math.inf
@@ -410,7 +410,6 @@ def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk:
     names = [f.split()[0] for f in made.split(", ")]
     rest = [c for c in docs.columns if c != "text" and c not in names]
     packed = docs.select(as_one(rest), F.coalesce("text", F.lit("")).alias("text"))
-    kind = packed.schema["rest"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -424,7 +423,7 @@ def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk:
                 ids = (x.values.to_numpy(zero_copy_only=False) for x in part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), *id_columns(ids, path, True)], ["key", *names])
 
-    short = packed.where(F.length("text") <= giant).mapInArrow(run, f"rest {kind}, {made}")
+    short = packed.where(F.length("text") <= giant).mapInArrow(run, with_rest(packed, made))
     long = packed.where(F.length("text") > giant).withColumn("key", F.sha2("text", 256))
     found = scan_chunks(long.groupBy("key").agg(F.first("text").alias("text")), path, chunk)
     if summary:
@@ -438,7 +437,6 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_model()
     rest = [c for c in encoded.columns if c not in ("text", "ids")]
     packed = encoded.select(as_one(rest), "ids")
-    kind = packed.schema["rest"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -446,7 +444,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 text = [model(path).decode(x.as_py()) if x.is_valid else None for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text, pa.string())], ["rest", "text"])
 
-    return packed.mapInArrow(run, f"rest {kind}, text string").select(*apart(rest), "text")
+    return packed.mapInArrow(run, with_rest(packed, "text string")).select(*apart(rest), "text")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

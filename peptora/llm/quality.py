@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peptora.llm.common import apart, as_one, table
+from peptora.llm.common import apart, as_one, table, with_rest
 from peptora.llm.labelled import fold, sample
 
 BITS = 18
@@ -120,7 +120,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
 
     names = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
     packed = docs.select(as_one(names), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    scored = packed.mapInArrow(run, f"rest {packed.schema['rest'].dataType.simpleString()}, score double").select(*apart(names), "score")
+    scored = packed.mapInArrow(run, with_rest(packed, "score double")).select(*apart(names), "score")
     held = F.coalesce(fold(MODULUS) == HELD, F.lit(False))
     return scored.withColumn("held_out", held).withColumn("predicted", (F.col("score") >= accept).cast("int"))
 

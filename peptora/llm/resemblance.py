@@ -32,7 +32,7 @@ BITS = 4
 #: Column of the row hash, which no column of a corpus is called.
 ROW = "__peptora_row"
 #: No more texts of a cluster than this are held by one task: larger clusters are dealt out by pairs of parts.
-GROUP = 1 << 12
+GROUP = 1 << 9
 
 
 @functools.cache

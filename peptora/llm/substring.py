@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peptora.llm.common import apart, as_one, bodies, discard, materialise, table
+from peptora.llm.common import apart, as_one, bodies, discard, materialise, table, with_rest
 
 GRAM = 8
 #: Odd multipliers of the two polynomial hashes, and their inverses modulo 2^64.
@@ -190,7 +190,6 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     names = [c for c in docs.columns if c not in ("n_words", "removed", "kept")]
     rest = as_one(names)
     body = docs.select(rest, "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    kind = body.schema["rest"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -213,7 +212,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), removed, pa.array(kept, pa.binary()).cast(pa.string())], ["rest", "n_words", "removed", "kept"])
 
     joined = body.join(gone, "doc_id", "left").select("rest", "body", "spans")
-    got = joined.mapInArrow(run, f"rest {kind}, n_words long, removed array<struct<first:int,last:int>>, kept string")
+    got = joined.mapInArrow(run, with_rest(body, "n_words long, removed array<struct<first:int,last:int>>, kept string"))
     return got.select(*apart(names), "n_words", "removed", "kept")
 
 

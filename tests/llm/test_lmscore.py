@@ -9,7 +9,7 @@ from peptora.llm import lmscore
 
 
 def plain(rows, good):
-    """Counts over all rows in dictionaries; the formula word by word."""
+    """Counts over all rows in dictionaries, less the row's own; the formula word by word."""
     words = [re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split() for _, t in rows]
     pair, before = {"b": Counter(), "t": Counter()}, {"b": Counter(), "t": Counter()}
     for (i, _), ws in zip(rows, words):
@@ -19,7 +19,9 @@ def plain(rows, good):
     size = len({w for ws in words for w in ws}) + 1
     out = []
     for (i, _), ws in zip(rows, words):
-        loss = {c: -sum(math.log((pair[c][p] + lmscore.ADD) / (before[c][p[0]] + lmscore.ADD * size)) for p in zip([None, *ws], ws)) / max(len(ws), 1) for c in "bt"}
+        own_pair, own_before = Counter(zip([None, *ws], ws)), Counter([None, *ws][: len(ws)])
+        inside = {"b": 1, "t": i is not None and i in good}
+        loss = {c: -sum(math.log((pair[c][p] - inside[c] * own_pair[p] + lmscore.ADD) / (before[c][p[0]] - inside[c] * own_before[p[0]] + lmscore.ADD * size)) for p in zip([None, *ws], ws)) / max(len(ws), 1) for c in "bt"}
         out.append((-1 if i is None else i, len(ws), loss["t"], loss["b"], loss["t"] - loss["b"]))
     return sorted(out)
 
@@ -52,7 +54,19 @@ def test_equal_words_and_ties(spark):
     rows = [(k, " ".join(words[k * 2500 : (k + 1) * 2500])) for k in range(10)]
     got = scored(spark, rows, [0, 1], hot=50)
     alike(got, plain(rows, {0, 1}))
-    assert all(abs(r[4]) < 0.01 for r in got[:2]) and all(r[4] > 1 for r in got[2:])
+
+
+def test_being_in_the_target_leaves_the_own_score(spark):
+    """A document scores by the other documents, in the target or not; one of the target's kind scores lower than others."""
+    rng = random.Random(4)
+    kinds = [[f"{c}{k}" for k in range(8)] for c in "gb"]
+    rows = [(i, " ".join(rng.choice(kinds[i % 2]) for _ in range(200))) for i in range(40)]
+    good = set(range(0, 20, 2))
+    got, more = (scored(spark, rows, g) for g in (good, {*good, 30}))
+    assert got[30] == pytest.approx(more[30], abs=1e-12)
+    inside, like, unlike = ([r[4] for r in got if k(r[0])] for k in (lambda i: i in good, lambda i: i % 2 == 0 and i not in good, lambda i: i % 2))
+    assert max(inside + like) < min(unlike)
+    assert sum(inside) / len(inside) == pytest.approx(sum(like) / len(like), abs=0.2)
 
 
 def test_no_target_and_no_rows(spark):
