@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peptora.llm.common import materialise, quoted, table
+from peptora.llm.common import discard, materialise, packed, table, unpacked
 from peptora.llm.packing import pack_documents
 from peptora.llm.quality import score_documents as score_quality
 from peptora.llm.resemblance import one_of_each
@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored whole, by their mean evidence a word. A score at the threshold is toxic. Repeated rows fall or stay together.
     Without labels of both classes nothing goes. An empty table gives none; other columns pass through, whatever their names.
     """
-    return score_toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(list(map(quoted, docs.columns)))
+    return unpacked(score_toxicity(packed(docs), table(spark, sf_dir, "labels")).where("predicted = 0"), docs.columns)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     score at the threshold is accepted. Repeated rows and rows with a null doc_id are judged by their texts. Without labels
     every score is a half, which isn't accepted. An empty table gives none; other columns pass through, whatever their names.
     """
-    return score_quality(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(list(map(quoted, docs.columns)))
+    return unpacked(score_quality(packed(docs), table(spark, sf_dir, "labels")).where("predicted = 1"), docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +57,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     its own words and never against one another. An empty table gives none; other columns pass through, whatever their names.
     """
     cut = F.size("removed") > 0
-    got = remove_repeats(docs)
-    got = got.withColumn("n_chars", F.when(cut, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return got.withColumn("text", F.when(cut, F.col("kept")).otherwise(F.col("text"))).select(list(map(quoted, docs.columns)))
+    before = [c for c in docs.columns if c not in ("doc_id", "text")].index("n_chars")
+    n_chars = F.when(cut, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("rest")[f"c{before}"])
+    return unpacked(remove_repeats(packed(docs)), docs.columns, n_chars=n_chars, text=F.when(cut, F.col("kept")).otherwise(F.col("text")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,6 +79,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        kept = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:
+            discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
