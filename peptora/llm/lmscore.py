@@ -40,7 +40,7 @@ PASSES = 2
 SHARE = 40
 #: Tokens that are worked on at a time, those whose counts a task holds, and rows of a batch.
 AT_ONCE, FLUSH, BATCH = 500_000, 4_000_000, 100_000
-#: Keys are even, so that an odd one is no key.
+#: Keys are even: the lowest bit tells marked occurrences while they are counted.
 EVEN = np.uint64((1 << 64) - 2)
 
 
@@ -73,8 +73,24 @@ def of_share(keys: np.ndarray, this: int, of: int) -> np.ndarray:
     return (keys >> np.uint64(SHARE)) % np.uint64(of) == np.uint64(this)
 
 
-def partial_counts(bodies: DataFrame, this: int, of: int) -> DataFrame:
-    """kind (0: a word that stands before another; 1: a pair), key, n, of one share of the keys, as each task has added them up.
+def marked_texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """body and target, whether doc_id is among ``marks``. A bitmap tells most that aren't; only the others are shuffled to the exact join."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(marks.select(F.xxhash64("doc_id").alias("key"))))
+
+    def kept(maybe: bool):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array((marked(bits.value, b.column(2).to_numpy().view(np.uint64)) & b.column(0).is_valid().to_numpy(zero_copy_only=False)) == maybe))
+
+        return docs.select("doc_id", "body", F.xxhash64("doc_id").alias("key")).mapInArrow(run, "doc_id long, body binary, key long")
+
+    # Both sides may be large, so neither is broadcast at any size.
+    asked = kept(True).drop("key").join(marks.withColumn("target", F.lit(True)).hint("merge"), "doc_id", "left").select("body", F.coalesce("target", F.lit(False)).alias("target"))
+    return asked.union(kept(False).select("body", F.lit(False).alias("target")))
+
+
+def counts(docs: DataFrame, this: int = 0, of: int = 1) -> DataFrame:
+    """kind (0: a word that stands before another; 1: a pair), key, background, target, of one share of the keys.
 
     A document's last word stands before none and counts zero, for the vocabulary. Partial counts
     leave a task whenever they grow long.
@@ -87,15 +103,23 @@ def partial_counts(bodies: DataFrame, this: int, of: int) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             before, pair, last = (np.concatenate(x) for x in zip(*held))
             for kind, keys, zeros in ((0, before, np.unique(last)), (1, pair, last[:0])):
-                key, n = np.unique(keys, return_counts=True)
+                keys.sort()
+                key = keys & EVEN
+                start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+                every = np.diff(np.append(start, len(key)))
+                marked = np.add.reduceat((keys & np.uint64(1)).astype(np.int64), start) if len(key) else every
+                key = key[start]
                 zeros = zeros[~np.isin(zeros, key)]
-                cols = [pa.array(np.append(key, zeros).view(np.int64)), pa.array(np.append(n, np.zeros(len(zeros), np.int64)))]
+                none = np.zeros(len(zeros), np.int64)
+                cols = [pa.array(c.view(np.int64)) for c in (np.append(key, zeros), np.append(every, none), np.append(marked, none))]
                 kinds = pa.array(np.full(len(cols[0]), kind, np.int8))
                 for k in range(0, len(kinds), BATCH):
-                    yield pa.RecordBatch.from_arrays([c.slice(k, BATCH) for c in (kinds, *cols)], ["kind", "key", "n"])
+                    yield pa.RecordBatch.from_arrays([c.slice(k, BATCH) for c in (kinds, *cols)], ["kind", "key", "background", "target"])
 
         for b, ids, sizes in slices(batches, 0):
-            held.append(tuple(k[of_share(k, this, of)] for k in keys_of(ids, sizes)))
+            before, pair, last = keys_of(ids, sizes)
+            mark = np.repeat(b.column(1).to_numpy(zero_copy_only=False), sizes).astype(np.uint64)
+            held.append(tuple((k | m)[of_share(k, this, of)] for k, m in ((before, mark), (pair, mark), (last, np.uint64(0)))))
             size += len(ids)
             if size > FLUSH:
                 yield from out()
@@ -103,29 +127,9 @@ def partial_counts(bodies: DataFrame, this: int, of: int) -> DataFrame:
         if held:
             yield from out()
 
-    return bodies.select("body").mapInArrow(run, "kind byte, key long, n long")
-
-
-def target_texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """body of the target documents. A bitmap of their ids goes first, so that few other texts are shuffled to the exact join."""
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(marks.select(F.xxhash64("doc_id").alias("key"))))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(marked(bits.value, b.column(2).to_numpy().view(np.uint64))))
-
-    maybe = docs.where("doc_id is not null").select("doc_id", "body", F.xxhash64("doc_id").alias("key")).mapInArrow(run, "doc_id long, body binary, key long")
-    # Both sides may be large, so neither is broadcast at any size.
-    return maybe.drop("key").join(marks.hint("merge"), "doc_id", "left_semi")
-
-
-def counts(docs: DataFrame, target: DataFrame, this: int = 0, of: int = 1) -> DataFrame:
-    """kind, key, background, target: how often the keys of one share occur in ``docs``, and of these in ``target``."""
-    none = F.lit(0).cast("long")
-    all_ = partial_counts(docs, this, of).select("kind", "key", F.col("n").alias("background"), none.alias("target"))
-    some = partial_counts(target, this, of).select("kind", "key", none.alias("background"), F.col("n").alias("target"))
+    partial = docs.select("body", "target").mapInArrow(run, "kind byte, key long, background long, target long")
     # Tasks have added up already, so rows are dealt out as they are.
-    return all_.union(some).repartition("key").groupBy("kind", "key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    return partial.repartition("key").groupBy("kind", "key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
 class Hot:
@@ -213,8 +217,8 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, hot: int = HOT, pass
     marks = target_ids.select("doc_id").where("doc_id is not null").distinct()
     text = F.coalesce("text", F.lit(""))
     body = docs.select("doc_id", F.xxhash64(text).alias("row"), text.cast("binary").alias("body"))
-    target = target_texts(body, marks)
-    tables = [materialise(counts(body, target, k, passes).where("kind = 0 or background > 1"), "counts") for k in range(passes)]
+    texts = marked_texts(body, marks)
+    tables = [materialise(counts(texts, k, passes).where("kind = 0 or background > 1"), "counts") for k in range(passes)]
     found = functools.reduce(DataFrame.union, tables)
     room = ADD * (found.where("kind = 0 and key != 0").count() + 1)
     shared = spark.sparkContext.broadcast([Hot(found, 0, min(hot, HOT_WORDS)), Hot(found, 1, hot)])
