@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -21,7 +22,9 @@ def normalised(sequence: Column) -> Column:
 
 def count_of(sequence: Column, aa: str) -> Column:
     """How often any of the letters ``aa`` occurs."""
-    return F.length(F.regexp_replace(sequence, f"[^{aa}]", "")).cast("long")
+    n = F.octet_length(sequence)
+    found = [n - F.octet_length(F.replace(sequence, F.lit(a), F.lit(""))) for a in aa]
+    return sum(found[1:], found[0]).cast("long")
 
 
 def fraction_of(sequence: Column, aa: str) -> Column:
@@ -41,16 +44,42 @@ def is_standard(sequence: Column) -> Column:
 
 def scale_sum(sequence: Column, scale: Mapping[str, int]) -> Column:
     """Sum of whole-numbered residue values by one count for each distinct value."""
-    by_value: dict[int, str] = {}
-    for aa, v in scale.items():
-        by_value[v] = by_value.get(v, "") + aa
     total = F.lit(0).cast("long")
-    for v, aa in sorted(by_value.items()):
+    for aa, v in scale.items():
         if v:
             total = total + count_of(sequence, aa) * v
     return total
 
 
+def _exposures(n: int, radius: int) -> tuple[int, list[int]]:
+    """How much each residue of ``n`` counts in a mean of window means, as whole parts of a unit: the windows that cover it, by their widths."""
+    unit = math.lcm(*range(1, 2 * radius + 2))
+    width = [min(k, radius) + min(n - 1 - k, radius) + 1 for k in range(n)]
+    return unit, [sum(unit // w for w in width[max(0, k - radius) : k + radius + 1]) for k in range(n)]
+
+
+def mean_of_window_means(sequence: Column, scale: Mapping[str, int], radius: int = 3) -> Column:
+    """The mean over all positions of centred window means, cut at the ends; null for an empty sequence.
+
+    A residue counts once, but for 2 * radius at either end, whose windows are cut. So it is a sum of letter counts and of those
+    ends, and for texts under 4 * radius of each letter by its own weight: exact whole numbers, no residue is exploded.
+    """
+    n, end = F.length(sequence), 2 * radius
+    unit, whole = _exposures(4 * end, radius)
+    table = F.array(*[F.lit(scale.get(chr(65 + k), 0)).cast("long") for k in range(26)])
+
+    def at(k: int) -> Column:
+        """The value of the k-th letter, counted from the end if negative."""
+        return F.coalesce(F.get(table, F.ascii(F.substring(sequence, k + 1 if k >= 0 else k, 1)) - 65), F.lit(0).cast("long"))
+
+    ends = sum(((at(k) + at(-k - 1)) * (whole[k] - unit) for k in range(1, end)), (at(0) + at(-1)) * (whole[0] - unit))
+    weights = F.array(*[F.array(*[F.lit(w).cast("long") for w in _exposures(m, radius)[1]] or [F.lit(0).cast("long")]) for m in range(2 * end)])
+    own = F.get(weights, n)
+    short = sum((at(k) * F.coalesce(F.get(own, F.lit(k)), F.lit(0)) for k in range(1, 2 * end)), at(0) * F.get(own, F.lit(0)))
+    total = F.when(n >= 2 * end, scale_sum(sequence, scale) * unit + ends).otherwise(short)
+    return F.when(n > 0, total.cast("double") / (n * unit))
+
+
 def hydropathy(sequence: Column) -> Column:
     """Mean of (Kyte-Doolittle + 4.5) / 9; null unless all residues are of the 20."""
     n = F.length(sequence)

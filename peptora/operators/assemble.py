@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,16 +103,47 @@ def last_of_each(df: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def first_occurrences(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key."""
+    """The first row of each key; a null order comes last."""
     rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_first")).select(key, *[F.col(f"_first.{c}").alias(c) for c in rest])
+    return df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(F.col(order).isNull(), F.col(order))).alias("_first")).select(key, *[F.col(f"_first.{c}").alias(c) for c in rest])
 
 
-def resolve_cached(asked: DataFrame, cache: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``asked`` with the cached columns and cached = whether a row for the same keys exists."""
+def resolve_cached(asked: DataFrame, cache: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """``asked`` with the cached columns and cached = whether a row for the same keys exists. Of repeated keys the last by ``order`` counts, or any."""
+    rest = [c for c in cache.columns if c not in keys]
+    if rest:
+        last = F.max_by(F.struct(*rest), order) if order else F.max(F.struct(*rest))
+        cache = cache.groupBy(*keys).agg(last.alias("_last")).select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
+    else:
+        cache = cache.distinct()
     return asked.join(cache.withColumn("cached", F.lit(True)), list(keys), "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
 
 
+def memoised(asked: DataFrame, store: str, compute: Callable[[DataFrame], DataFrame], parameters: str, version: str) -> DataFrame:
+    """``asked`` (acc, ... and ord, its place) with the columns that ``compute`` gives for acc, and cached; in order of ord.
+
+    The store keeps one row for each (acc, parameters, version): what it has is joined, only accessions that it lacks are
+    computed, each once, and written back as a run of its own. Of accessions that several runs wrote (two at a time may)
+    the last run counts. Only the folder of these parameters and this version is read. A null acc is computed each time.
+    """
+    spark = asked.sparkSession
+    folder = f"{store}/parameters={parameters}/version={version}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    have = spark.read.parquet(folder) if there else None
+    run = (have.agg(F.max("run")).first()[0] or 0) + 1 if there else 1
+    once = asked.dropDuplicates(["acc"])
+    missed = once.join(have.select("acc"), "acc", "left_anti") if there else once
+    if not missed.isEmpty():
+        compute(missed).withColumn("run", F.lit(run).cast("long")).write.mode("append").parquet(folder)
+    have = spark.read.parquet(folder) if there or path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else compute(missed).withColumn("run", F.lit(run).cast("long"))
+    last = F.max_by(F.struct(*[c for c in have.columns if c != "acc"]), "run").alias("_last")
+    have = have.groupBy(F.col("acc").alias("_acc")).agg(last)
+    got = asked.join(have, F.col("acc").eqNullSafe(F.col("_acc")), "left").withColumn("cached", F.coalesce(F.col("_last.run") < run, F.lit(False)))
+    made = [c for c in have.schema["_last"].dataType.names if c != "run" and c not in asked.columns]
+    return got.select(*asked.columns, *[F.col(f"_last.{c}").alias(c) for c in made], "cached").orderBy("ord")
+
+
 def sheets_to_splits(sheets: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(sheet, acc, …) to task, split, label, acc, sheet: one sheet may feed several tasks, so rows multiply."""
     return sheets.where("acc is not null and trim(acc) != ''").join(catalogue, "sheet")

@@ -6,7 +6,6 @@ Spark deals out proteins; each function below handles one protein and holds noth
 from __future__ import annotations
 
 import math
-from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -381,51 +380,3 @@ def features_of(seq: str) -> np.ndarray:
 def feature_map(sequences: DataFrame) -> DataFrame:
     """acc, features (181 doubles)."""
     return over_sequences(sequences, "features array<double>", lambda s: (features_of(s),))
-
-
-# Batches of bounded size for kernels that take several proteins at once
-
-
-def size_batches(lengths: Iterable[int], most: int = 4, residues: int = 4000) -> Iterator[list[int]]:
-    """Indices in batches of up to ``most`` proteins and ``residues`` residues; a longer protein goes alone."""
-    held: list[int] = []
-    total = 0
-    for k, n in enumerate(lengths):
-        if held and (len(held) == most or total + n > residues):
-            yield held
-            held, total = [], 0
-        held.append(k)
-        total += n
-    if held:
-        yield held
-
-
-def mean_charge(sequences: list[str]) -> list[float]:
-    return [(s.count("K") + s.count("R") - s.count("D") - s.count("E")) / len(s) for s in sequences]
-
-
-def in_size_batches(sequences: DataFrame, kernel: Callable[[list[str]], list], schema: str, most: int = 4, residues: int = 4000) -> DataFrame:
-    """acc, value, error: ``kernel`` over bounded batches. A batch that fails gives nulls and what was raised.
-
-    Batches run on over the edges of what Arrow hands over; only a task's last one may be short.
-    """
-    bound_batches(sequences)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: deque[tuple] = deque()
-
-        def lengths() -> Iterator[int]:
-            for b in batches:
-                for acc, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    rows.append((acc, seq or ""))
-                    yield len(seq or "")
-
-        for part in size_batches(lengths(), most, residues):
-            held = [rows.popleft() for _ in part]
-            try:
-                values, error = kernel([seq for _, seq in held]), None
-            except Exception as e:
-                values, error = [None] * len(part), f"{type(e).__name__}: {e}"
-            yield pa.RecordBatch.from_arrays([pa.array([acc for acc, _ in held], pa.string()), pa.array(values, pa.float64()), pa.array([error] * len(part), pa.string())], ["acc", "value", "error"])
-
-    return sequences.select("acc", "seq").mapInArrow(run, schema + ", error string")

@@ -13,6 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from peptora.functions.sequence import mean_of_window_means
 from peptora.functions.tables import COEFFICIENTS100, CORE, FOLD_C, FOLD_H, FOLD_R, FOLD_WINDOW, HYDROPATHY10, LENGTH_COEFFICIENT, NORMALISATION, PROFILE_RADIUS, RESIDUES, SCALE_NAMES, SCALES100, granule10000
 
 
@@ -57,11 +58,14 @@ def residue_scores(table: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def protein_scores(sequences: DataFrame, route: str = "paper") -> DataFrame:
-    """acc, n, raw (mean residue score + 0.25 ln n), score (normalised)."""
+    """acc, n, raw (mean residue score + 0.25 ln n), score (normalised): one expression a row, no shuffle.
+
+    Each row is scored by itself, so accessions may repeat or be null. Null and empty sequences have no row.
+    """
     mean, sd = NORMALISATION[route]
-    got = residue_scores(residues(sequences)).groupBy("acc", "n").agg(F.avg("score").alias("mean"))
-    raw = F.col("mean") + LENGTH_COEFFICIENT * F.log(F.col("n").cast("double"))
-    return got.select("acc", "n", raw.alias("raw")).withColumn("score", (F.col("raw") - mean) / sd)
+    n = F.length("seq").cast("long")
+    raw = mean_of_window_means(F.col("seq"), granule10000()) / 10000.0 + LENGTH_COEFFICIENT * F.log(n.cast("double"))
+    return sequences.where(F.length("seq") > 0).select("acc", n.alias("n"), raw.alias("raw")).withColumn("score", (F.col("raw") - mean) / sd)
 
 
 def profile(table: DataFrame, radius: int = PROFILE_RADIUS) -> DataFrame:

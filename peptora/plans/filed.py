@@ -183,6 +183,19 @@ def stream_of_records(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(store).select("acc", "n", r6("fcr").alias("fcr"), r6("hydropathy").alias("hydropathy"))
 
 
+@query("h02_stream_counts", """
+WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(value) AS scored, count(*) FILTER (WHERE value IS NULL) AS missing_rows FROM events GROUP BY 1)
+SELECT * FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE""")
+def stream_of_events(spark: SparkSession, d: str) -> DataFrame:
+    """The events as files that a stream reads; what comes out are the windows that its watermark has closed."""
+    source, out = new_path(spark, "events"), new_path(spark, "counts")
+    events = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "value")
+    events.write.parquet(source)
+    stream = spark.readStream.schema(events.schema).parquet(source)
+    arrivals.stream_counts(stream, "ts", "value", out, new_path(spark, "progress"), delay="30 minutes")
+    return spark.read.schema("start timestamp, scored long, missing_rows long").parquet(out).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 MODEL = ", ".join(f"({m}, '{f}', {w!r}{D}, {c!r}{D}, {s!r}{D})" for m, f, w, c, s in MEMBERS)
 
 

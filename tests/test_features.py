@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import proteins
@@ -89,9 +90,11 @@ def test_feature_quantiles_are_linear():
 
 def test_one_sequence_an_accession(spark):
     with pytest.raises(Exception, match="several sequences of accession A"):
-        R.protein_scores(table(spark, [("A", "ACDE" * 9), ("A", "ACDE" * 9)])).collect()
+        R.residue_scores(R.residues(table(spark, [("A", "ACDE" * 9), ("A", "ACDE" * 9)]))).collect()
     with pytest.raises(Exception, match="no accession"):
-        R.protein_scores(table(spark, [(None, "ACDE")])).collect()
+        R.residue_scores(R.residues(table(spark, [(None, "ACDE")]))).collect()
+    # A score is a row's own, so nothing is asked of other rows.
+    assert R.protein_scores(table(spark, [("A", "ACDE" * 9), ("A", "ACDE" * 9), (None, "ACDE")])).count() == 3
 
 
 def test_best_windows(spark):
@@ -163,30 +166,22 @@ def test_peak_by_hand(spark):
     assert min(one, two) < got["DS"]["papa"] < max(one, two)
 
 
-def test_batches_of_bounded_size():
-    assert [len(b) for b in kernels.size_batches([100] * 9)] == [4, 4, 1]
-    assert [len(b) for b in kernels.size_batches([2500] * 3)] == [1, 1, 1]
+def test_mean_of_window_means_by_definition(spark):
+    """Every length about the ends' width, unknown letters among them, against the windows themselves."""
+    scale = {a: 3 * k - 20 for k, a in enumerate("ACDEFGHIKLMNPQRSTVWY")}
+    rng = random.Random(8)
+    for radius in (1, 3):
+        rows = [(f"P{n}", "".join(rng.choice("ACDEFGHIKLMNPQRSTVWYXUZ") for _ in range(n))) for n in (*range(1, 32), 500)]
+        got = {r["acc"]: r["m"] for r in table(spark, [*rows, ("none", ""), ("null", None)]).select("acc", S.mean_of_window_means(F.col("seq"), scale, radius).alias("m")).collect()}
+        assert got.pop("none") is None and got.pop("null") is None
+        for acc, seq in rows:
+            windows = [seq[max(0, k - radius) : k + radius + 1] for k in range(len(seq))]
+            assert got[acc] == pytest.approx(sum(sum(scale.get(a, 0) for a in w) / len(w) for w in windows) / len(windows), abs=1e-12)
 
 
-def test_failed_batch_gives_nulls(spark):
-    def broken(seqs):
-        raise ValueError("no")
-
-    got = kernels.in_size_batches(table(spark, PROTEINS), broken, "acc string, value double").collect()
-    assert len(got) == 4 and all(r["value"] is None and r["error"] == "ValueError: no" for r in got)
-
-
-def test_batches_run_over_arrow_s_edges(spark):
-    rows = [(f"P{k}", "ACDE" * 25) for k in range(11)]
-    key, sizes = "spark.sql.execution.arrow.maxRecordsPerBatch", []
-    before = spark.conf.get(key)
-    spark.conf.set(key, "3")
-    try:
-        got = kernels.in_size_batches(table(spark, rows).coalesce(1), lambda seqs: [float(len(seqs))] * len(seqs), "acc string, value double").collect()
-    finally:
-        spark.conf.set(key, before)
-    sizes = [r["value"] for r in got]
-    assert sizes == [4.0] * 8 + [3.0] * 3 and [r["acc"] for r in got] == [a for a, _ in rows]
+def test_score_needs_no_shuffle(spark):
+    plan = R.protein_scores(table(spark, PROTEINS))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
 
 
 def test_errors_stand_beside_scores(spark):

@@ -1,12 +1,13 @@
 import gzip
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from peptora.operators import assemble as A
-from peptora.operators import audit, checks, learn, metrics, sampling
+from peptora.operators import audit, checks, kernels, learn, metrics, sampling
 from peptora.operators.predict import predict
 from peptora.sources import files
 from peptora.streaming import arrivals
@@ -85,16 +86,16 @@ def test_digest_counts_equal_rows(spark):
 
 
 def test_search_returns_the_best_model(spark):
-    """Rows with a missing feature count, and the model is that of the best point, fitted on all rows."""
-    rows = [(float(k % 7), None if k % 5 == 0 else float(k % 3), int(k % 7 > 3)) for k in range(140)]
-    df = spark.createDataFrame(rows, "a double, b double, label int")
-    model, points = learn.tuned_search(df, ["a", "b"], [1.0, 3.0], [0.01, 100.0], n_folds=2)
-    got = points.collect()
-    assert [(r["weight"], r["penalty"]) for r in got] == [(1.0, 0.01), (1.0, 100.0), (3.0, 0.01), (3.0, 100.0)]
-    best = max(got, key=lambda r: r["auc"])
-    assert model.stages[-1].getOrDefault("regParam") == best["penalty"] and best["auc"] > 0.99
-    scored = model.transform(df.withColumn("weight", F.lit(1.0)))
-    assert scored.count() == 140 and scored.where("prediction = label").count() > 130
+    """Rows with a missing feature count, and the models are those of each task's last rung, fitted on all rows."""
+    rows = [("t", f"P{k}", float(k % 7), None if k % 5 == 0 else float(k % 3), int(k % 7 > 3)) for k in range(140)]
+    df = spark.createDataFrame(rows, "task string, acc string, a double, b double, label int")
+    space = {"trees": (3, 5), "depth": (1, 2), "rate": (0.1, 0.3)}
+    found = learn.halving_search(df, ["a", "b"], 2, 2, first=2, space=space)
+    best = [r["trial"] for r in found.where("kept").orderBy("rung").collect()][-1]
+    nodes = learn.tuned_models(df, ["a", "b"], found)
+    assert nodes.agg(F.max("tree")).first()[0] + 1 == learn.trial_settings(2, space=space)[best]["trees"]
+    scored = learn.tree_scores(df, nodes, ["a", "b"], per_model=True)
+    assert scored.count() == 140 and metrics.auc(scored, ["task"]).first()["auc"] == 1.0
 
 
 def test_tool_outputs(spark, tmp_path):
@@ -285,3 +286,111 @@ def test_arrivals_once(spark, tmp_path):
     got = {r["acc"]: r["fcr"] for r in spark.read.parquet(store).collect()}
     batch = {r["acc"]: r["fcr"] for r in arrivals.native_features(spark.read.schema(schema).parquet(str(source)).dropDuplicates(["acc"])).collect()}
     assert got == batch and spark.read.parquet(store).count() == 3
+
+
+def test_arrivals_read_no_store_and_repeat_nothing(spark, tmp_path):
+    """A stream's later batches hold what came against keyed state; another stream's rows in the store count too."""
+    source, store = tmp_path / "in", str(tmp_path / "store")
+    source.mkdir()
+    schema = "acc string, seq string, retrieved_at timestamp"
+
+    def arrive(rows, checkpoint="one"):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        arrivals.score_arrivals(spark.readStream.schema(schema).parquet(str(source)), store, str(tmp_path / checkpoint)).awaitTermination()
+
+    arrive([("P1", "AC", None), ("P2", "DE", None)])
+    arrive([("P1", "AC", None), ("P3", "KK", None)])
+    assert sorted(r["acc"] for r in spark.read.parquet(store).collect()) == ["P1", "P2", "P3"]
+    arrive([("P4", "KR", None)], "two")
+    assert sorted(r["acc"] for r in spark.read.parquet(store).collect()) == ["P1", "P2", "P3", "P4"]
+    assert spark.read.parquet(store).select("stream").distinct().count() == 2
+    assert spark.conf.get(arrivals.STATE, "none") != "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    schema = "ts timestamp, value double"
+
+    def run(rows):
+        rows = spark.createDataFrame(rows, "at string, value double").select(F.to_timestamp("at").alias("ts"), "value")
+        rows.coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        _, late = arrivals.stream_counts(stream, "ts", "value", out, str(tmp_path / "checkpoint"), delay="30 minutes")
+        return late, sorted((str(r["start"])[11:16], r["scored"], r["missing_rows"]) for r in spark.read.parquet(out).collect())
+
+    first = [("2024-01-01 00:10:00", 1.0), ("2024-01-01 00:50:00", None), ("2024-01-01 01:20:00", 2.0), ("2024-01-01 01:40:00", 2.0)]
+    assert run(first) == (0, [("00:00", 1, 1)])
+    # The first comes for a window that is closed, the second for one that is still open.
+    assert run([("2024-01-01 00:59:00", 9.0), ("2024-01-01 01:05:00", 3.0), ("2024-01-01 03:00:00", None)]) == (1, [("00:00", 1, 1), ("01:00", 3, 0)])
+
+
+def test_memo_computes_what_is_new(spark, tmp_path):
+    store, computed = str(tmp_path / "memo"), []
+
+    def compute(rows):
+        computed.append(sorted((r["acc"] for r in rows.collect()), key=str))
+        return rows.select("acc", F.length("seq").alias("n"))
+
+    ask = lambda accs, version="1": [tuple(r) for r in A.memoised(spark.createDataFrame([(a, "A" * len(str(a)), k) for k, a in enumerate(accs)], "acc string, seq string, ord int"), store, compute, "radius 3", version).select("acc", "n", "cached").collect()]
+    assert ask(["bb", "a", "bb"]) == [("bb", 2, False), ("a", 1, False), ("bb", 2, False)]
+    assert ask(["ccc", "a"]) == [("ccc", 3, False), ("a", 1, True)]
+    assert ask(["a", "ccc", "bb"]) == [("a", 1, True), ("ccc", 3, True), ("bb", 2, True)]
+    assert computed == [["a", "bb"], ["ccc"]]
+    assert ask(["a"], "2") == [("a", 1, False)]
+    # Two runs at a time may both write an accession: the last counts, and rows don't multiply.
+    spark.createDataFrame([("a", 77, 9)], "acc string, n int, run long").write.mode("append").parquet(f"{store}/parameters=radius 3/version=1")
+    assert ask(["a"]) == [("a", 77, True)]
+
+
+def test_repeated_cache_keys_and_null_orders(spark):
+    asked = spark.createDataFrame([("a", 1), ("b", 2)], "acc string, x int")
+    cache = spark.createDataFrame([("a", 5, 1), ("a", 6, 2)], "acc string, value int, stamp int")
+    assert sorted((r["acc"], r["value"], r["cached"]) for r in A.resolve_cached(asked, cache, ["acc"], "stamp").collect()) == [("a", 6, True), ("b", None, False)]
+    rows = spark.createDataFrame([("k", "x", None), ("m", "y", None), ("m", "z", 3)], "key string, v string, at int")
+    assert sorted(tuple(r) for r in A.first_occurrences(rows, "key", "at").collect()) == [("k", "x", None), ("m", "z", 3)]
+
+
+def test_quantiles_by_definition(spark):
+    rng = random.Random(5)
+    rows = [(g, rng.choice([None, 0.0, -3.5, 1e300, 1e-300, float(rng.randrange(9)), rng.random()])) for g in ("p", "q", None) for _ in range(200)] + [("one", 4.0), ("none", None)]
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r["g"]: (r["n"], r["q"]) for r in metrics.quantiles(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", shares).collect()}
+    assert set(got) == {"p", "q", None, "one"}
+    for g, (n, q) in got.items():
+        own = sorted(x for h, x in rows if h == g and x is not None)
+        assert n == len(own)
+        for s, x in zip(shares, q):
+            at = s * (n - 1)
+            low, high = own[int(at)], own[-int(-at // 1)]
+            assert x == pytest.approx(low + (high - low) * (at - int(at)), rel=1e-12)
+
+
+def test_search_finds_what_each_trial_has_alone(spark):
+    rng = random.Random(2)
+    rows = [(t, f"{t}{k}", int(rng.random() < 0.4), rng.random(), rng.choice([None, 1.0, 2.0])) for t in ("s", "p") for k in range(80)]
+    rows = [(t, a, y, x + y * 0.4, z) for t, a, y, x, z in rows]
+    df = spark.createDataFrame(rows, "task string, acc string, label int, x double, z double")
+    space = {"trees": (2, 6), "depth": (1, 3), "rate": (0.05, 0.3), "least": (1, 3)}
+    many = {(r["task"], r["rung"], r["trial"]): r["auc"] for r in learn.halving_search(df, ["x", "z"], 3, 3, first=2, space=space).collect()}
+    kept = [r for r in learn.halving_search(df, ["x", "z"], 3, 3, first=2, space=space).collect() if r["kept"]]
+    assert [r["rung"] for r in kept if r["task"] == "s"] == [0, 0, 1]
+    assert learn.trial_settings(5, space=space)[:2] == learn.trial_settings(2, space=space)
+    alone = {(r["task"], r["rung"], r["trial"]): r["auc"] for r in learn.halving_search(df, ["x", "z"], 1, 3, first=2, space=space).collect()}
+    assert alone["s", 0, 0] == pytest.approx(many["s", 0, 0]) and many["s", 0, 0] > 0.6
+
+
+def test_surrogate_stands_in_for_the_score(spark):
+    rng = random.Random(3)
+    seqs = [(f"P{k}", "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY"[: rng.choice([8, 20])]) for _ in range(rng.randrange(60, 300)))) for k in range(240)]
+    df = spark.createDataFrame(seqs, "acc string, seq string")
+    rows = kernels.feature_map(df).join(learn.protein_scores(df).select("acc", "score"), "acc").cache()
+    train, test = rows.where("acc < 'P3'"), rows.where("acc >= 'P3'")
+    model = learn.surrogate(train)
+    got = metrics.agreement(learn.surrogate_scores(model, test).withColumn("g", F.lit(1)).select("g", F.col("prediction").alias("a"), F.col("score").alias("b")), ["g"]).first()
+    assert got["n"] > 70 and got["spearman"] > 0.9
+    routed = {r["acc"]: r["score"] for r in learn.routed_scores(df, "surrogate", model=model).collect()}
+    assert routed == {r["acc"]: pytest.approx(r["prediction"]) for r in learn.surrogate_scores(model, rows).collect()}
+    raw = [learn.routed_scores(df, r, False).orderBy("acc").first()["score"] for r in ("surrogate", "paper")]
+    assert raw[0] == raw[1]
+    with pytest.raises(ValueError):
+        learn.routed_scores(df, "surrogate")
