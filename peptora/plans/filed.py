@@ -13,6 +13,7 @@ from peptora.plans.tables import AUC, MEMBERS, SCORED, _lookup, _scored
 from peptora.plans.views import FEAT, LABEL, RES, SEQ, features, labels, sequences, table
 from peptora.operators.learn import MEMBERS as MEMBER_SCHEMA
 from peptora.sources import files
+from peptora.sources.objects import write_objects
 from peptora.sources.shared import new_path
 from peptora.streaming import arrivals
 
@@ -183,6 +184,26 @@ def stream_of_records(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(store).select("acc", "n", r6("fcr").alias("fcr"), r6("hydropathy").alias("hydropathy"))
 
 
+@query("a14_version", "SELECT 'documents ' || count(*) AS version FROM documents")
+def version(spark: SparkSession, d: str) -> DataFrame:
+    marker = table(spark, d, "documents").select(F.concat(F.lit("documents "), F.count("*").cast("string")).alias("value"))
+    return files.version_marker(spark, write_lines(spark.createDataFrame([("",), (" ",)], "value string").union(marker).coalesce(1), new_path(spark, "version")))
+
+
+@query("a16_dump", f"""
+WITH {SEQ} SELECT acc, 'entry "' || acc || '" {{}}' AS entry_name, organism, length(seq) AS n, CASE WHEN doc_id % 5 <> 0 THEN doc_id / 4.0{D} END AS single,
+  CASE WHEN doc_id % 3 = 0 THEN -1 WHEN doc_id % 7 = 0 THEN 2 ELSE 3 END AS residues, CASE WHEN doc_id % 5 = 0 OR doc_id % 3 <> 0 AND doc_id % 7 = 0 THEN 'unreadable number' END AS error FROM v_seq""")
+def dump(spark: SparkSession, d: str) -> DataFrame:
+    """Bulk dumps of all texts, an object a task, read back by ranges."""
+    id_ = F.col("doc_id")
+    single = F.when(id_ % 5 != 0, (id_ / 4.0).cast("string")).otherwise("none")
+    residue = F.when(id_ % 3 == 0, "").when(id_ % 7 == 0, "0.5,x").otherwise("0.5, 1,2")
+    value = F.struct(F.col("seq").alias("Sequence"), F.concat(F.lit('entry "'), "acc", F.lit('" {}')).alias("Entry name"), F.col("organism").alias("Organism"), F.struct(single.alias("single"), residue.alias("residue")).alias("catGRANULE"))
+    path = new_path(spark, "dump")
+    write_objects(sequences(spark, d).select(F.col("acc").alias("key"), F.to_json(value).alias("value")), path)
+    return files.read_dump(spark, path).select("acc", "entry_name", "organism", F.length("seq").cast("long").alias("n"), "single", F.coalesce(F.size("residue"), F.lit(-1)).alias("residues"), "error")
+
+
 @query("h02_stream_counts", """
 WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(value) AS scored, count(*) FILTER (WHERE value IS NULL) AS missing_rows FROM events GROUP BY 1)
 SELECT * FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE""")

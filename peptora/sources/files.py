@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from peptora.functions.sequence import accession, normalised
+from peptora.sources.objects import object_entries
 
 
 def read_fasta(spark: SparkSession, path: str, strict_id: bool = True, strict: bool = False) -> DataFrame:
@@ -145,8 +146,7 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
     Numbers that can't be read are null, and the row says so.
     """
     inner = "struct<Sequence:string,`Entry name`:string,Organism:string,catGRANULE:struct<single:string,residue:string>>"
-    raw = spark.read.option("wholetext", True).text(path)
-    got = raw.select(F.explode(F.from_json("value", f"map<string,{inner}>")).alias("acc", "r"))
+    got = object_entries(spark, path, inner).select(F.col("key").alias("acc"), F.col("value").alias("r"))
     values = F.transform(F.split("r.catGRANULE.residue", ","), lambda x: F.trim(x).try_cast("double"))
     residue = F.when(F.trim("r.catGRANULE.residue") != "", values)
     bad = F.coalesce(F.exists(residue, lambda x: x.isNull()), F.lit(False)) | (F.col("r.catGRANULE.single").isNotNull() & F.col("r.catGRANULE.single").try_cast("double").isNull())
@@ -166,8 +166,7 @@ def read_label_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_label_map(spark: SparkSession, path: str) -> DataFrame:
     """acc, human of one JSON object keyed by accession."""
-    raw = spark.read.option("wholetext", True).text(path)
-    got = raw.select(F.explode(F.from_json("value", "map<string,struct<organism:string>>")).alias("acc", "r"))
+    got = object_entries(spark, path, "struct<organism:string>").select(F.col("key").alias("acc"), F.col("value").alias("r"))
     return got.select("acc", F.coalesce(F.contains("r.organism", F.lit("Homo sapiens")), F.lit(False)).alias("human"))
 
 

@@ -1,4 +1,5 @@
 import gzip
+import json
 import math
 import random
 
@@ -10,6 +11,7 @@ from peptora.operators import assemble as A
 from peptora.operators import audit, checks, kernels, learn, metrics, sampling
 from peptora.operators.predict import predict
 from peptora.sources import files
+from peptora.sources import objects as objects_
 from peptora.streaming import arrivals
 
 
@@ -125,6 +127,33 @@ def test_label_sources(spark, tmp_path):
     assert [tuple(r) for r in files.read_label_table(spark, write(tmp_path / "t.csv", "Uniprot ID,Species\nP1,Human\n ,Mouse\n")).collect()] == [("P1", True)]
 
 
+def test_objects_are_cut_at_their_keys(spark, tmp_path):
+    """Ranges of a few bytes; strings that hold braces, quotes, escapes and separators; nested values, nulls and no entries."""
+    rng = random.Random(1)
+    odd = ["}", "{", '"', "\\", ",", "]", "[", "\n", "é", '\\"', "}}", "a", '": {']
+
+    def value(depth):
+        kind = rng.randrange(4 if depth else 2)
+        if kind == 0:
+            return "".join(rng.choice(odd) for _ in range(rng.randrange(9)))
+        return rng.choice([None, 1.5, True, []]) if kind == 1 else {f"k{k}": value(depth - 1) for k in range(rng.randrange(4))} if kind == 2 else [value(depth - 1) for _ in range(3)]
+
+    objects = [{f"P{n}{rng.choice(odd)}{k}": {"s": value(0) if rng.random() < 0.8 else "x", "more": value(3)} for k in range(60)} for n in range(3)]
+    objects[1]["null"], objects[2]["last"] = None, None
+    want = sorted(((k, None if v is None else None if v["s"] is None else v["s"] if isinstance(v["s"], str) else json.dumps(v["s"])) for o in objects for k, v in o.items()), key=str)
+    for n, (o, indent) in enumerate(zip([*objects, {}], (None, 2, 1, None))):
+        (tmp_path / f"{n}.json").write_text(json.dumps(o, indent=indent, ensure_ascii=n == 0) + "\n" * n, encoding="utf-8")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        for size in ("200b", "100m"):
+            spark.conf.set(key, size)
+            got = objects_.object_entries(spark, str(tmp_path / "*.json"), "struct<s:string>").select("key", "value.s").collect()
+            assert sorted((tuple(r) for r in got), key=str) == want
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("P/1", {"seg": {"label": [1.0, 0.0]}})], "acc string, tools map<string,map<string,array<double>>>")
     files.write_residue_json(df, str(tmp_path / "residues"))
