@@ -4,6 +4,10 @@ Sequences are dealt out by accession before they are exploded, so what is shuffl
 row for each protein; the windows below all use the same partitioning and order and share
 one sort. Values are whole numbers where the published tables allow, which makes window sums
 exact in any order.
+
+A long sequence is dealt out in chunks, each with a halo of the residues on either side, so that no window
+of up to HALO places is cut and no task holds a sequence. ``_from`` and ``_to`` say which places are a chunk's own: the
+halo's rows are there for windows only, and ``own`` drops them before anything is counted.
 """
 
 from __future__ import annotations
@@ -17,22 +21,40 @@ from peptora.functions.sequence import mean_of_window_means
 from peptora.functions.tables import COEFFICIENTS100, CORE, FOLD_C, FOLD_H, FOLD_R, FOLD_WINDOW, HYDROPATHY10, LENGTH_COEFFICIENT, NORMALISATION, PROFILE_RADIUS, RESIDUES, SCALE_NAMES, SCALES100, granule10000
 
 
+#: Residues of a chunk, and those on either side that its windows reach: more than two smoothings over 41 and a neighbour's neighbour.
+CHUNK, HALO = 1 << 16, 128
+
+
 def by_position() -> Window:
-    return Window.partitionBy("acc").orderBy("pos")
+    return Window.partitionBy("acc", "_from").orderBy("pos")
+
 
+def own(table: DataFrame) -> DataFrame:
+    """Each residue once: without the halos."""
+    return table.where((F.col("pos") >= F.col("_from")) & (F.col("pos") < F.col("_to")))
 
-def residues(sequences: DataFrame) -> DataFrame:
-    """(acc, seq) to (acc, n, pos, aa), pos from 0. Null or empty sequences have no residues.
+
+def residues(sequences: DataFrame, chunk: int | None = CHUNK) -> DataFrame:
+    """(acc, seq) to (acc, n, pos, aa, _from, _to), pos from 0; see ``own``. Null or empty sequences have no residues. No ``chunk``: sequences stay whole.
 
     An accession names one sequence: its residues stand at their positions, so a second row of it
     would stand between them. Repeated and null accessions therefore fail; see ``first_occurrences``.
     """
-    dealt = sequences.where(F.length("seq") > 0).select("acc", "seq").repartition("acc")
+    n = F.length("seq")
+    starts = F.sequence(F.lit(0), n - 1, F.lit(chunk)) if chunk else F.array(F.lit(0))
+    whole = sequences.where(n > 0).select("acc", "seq", n.alias("n"), F.explode(starts).alias("_from"))
+    to = F.least(F.col("_from") + chunk, F.col("n")) if chunk else F.col("n")
+    first = F.greatest(F.col("_from") - HALO, F.lit(0))
+    size = F.least(to + HALO, F.col("n")) - first
+    # Of letters of one byte a part is found at once; characters must be counted from the beginning.
+    part = F.when(F.octet_length("seq") == F.col("n"), F.substring(F.col("seq").cast("binary"), first + 1, size).cast("string")).otherwise(F.substring("seq", first + 1, size))
+    dealt = whole.select("acc", "n", "_from", to.alias("_to"), first.alias("_first"), part.alias("seq")).repartition("acc", "_from")
     wrong = F.when(F.col("acc").isNull(), F.raise_error(F.lit("a sequence has no accession"))).when(
-        F.count("*").over(Window.partitionBy("acc")) > 1, F.raise_error(F.concat(F.lit("several sequences of accession "), F.col("acc").cast("string")))
+        F.count("*").over(Window.partitionBy("acc", "_from")) > 1, F.raise_error(F.concat(F.lit("several sequences of accession "), F.col("acc").cast("string")))
     )
     dealt = dealt.withColumn("_wrong", wrong).where("_wrong is null")
-    return dealt.select("acc", F.length("seq").cast("long").alias("n"), F.posexplode(F.split("seq", "")).alias("pos", "aa")).where("aa != ''")
+    each = dealt.select("acc", F.col("n").cast("long").alias("n"), "_from", "_to", "_first", F.posexplode(F.split("seq", "")).alias("_at", "aa")).where("aa != ''")
+    return each.select("acc", "n", (F.col("_first") + F.col("_at")).alias("pos"), "aa", "_from", "_to")
 
 
 def valued(scale: Mapping[str, float], aa: str = "aa") -> Column:
@@ -71,13 +93,13 @@ def protein_scores(sequences: DataFrame, route: str = "paper") -> DataFrame:
 def profile(table: DataFrame, radius: int = PROFILE_RADIUS) -> DataFrame:
     """acc, pos, n, value: window means over residue scores at positions radius - 1 to n - radius - 2."""
     mean = F.avg("score").over(around(radius))
-    return residue_scores(table).withColumn("value", mean).where((F.col("pos") >= radius - 1) & (F.col("pos") <= F.col("n") - radius - 2)).select("acc", "n", "pos", "value")
+    return own(residue_scores(table).withColumn("value", mean)).where((F.col("pos") >= radius - 1) & (F.col("pos") <= F.col("n") - radius - 2)).select("acc", "n", "pos", "value")
 
 
 def window_summaries(table: DataFrame, radii: tuple[int, ...] = (3, 7, 13, 25)) -> DataFrame:
     """acc and, for each radius and scale, mean, quartiles and deviation of the window means (one sort for all)."""
     means = {f"{n}{r}": (F.sum(valued({a: row[k] for a, row in SCALES100.items()})).over(around(r)).cast("double") / width(r) / 100.0) for r in radii for k, n in enumerate(SCALE_NAMES)}
-    got = table.select("acc", *[c.alias(name) for name, c in means.items()])
+    got = own(table.withColumns(means))
     aggs = []
     for name in means:
         q = F.percentile(name, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
@@ -104,7 +126,7 @@ def strength(value: Column) -> Column:
 def exposure(table: DataFrame, radius: int = 3) -> DataFrame:
     """acc, aa, weight: each residue's share in the windows that cover it, by amino acid."""
     share = F.sum(1.0 / F.col("w")).over(around(radius))
-    return table.withColumn("w", width(radius)).withColumn("share", share).groupBy("acc", "aa").agg(F.sum("share").alias("weight"))
+    return own(table.withColumn("w", width(radius)).withColumn("share", share)).groupBy("acc", "aa").agg(F.sum("share").alias("weight"))
 
 
 def half_width(window: int) -> Column:
@@ -139,7 +161,9 @@ def best_window(table: DataFrame, value: Column, length: int, shorter: bool) ->
     ahead = by_position().rowsBetween(0, length - 1)
     fits = F.col("pos") + length <= F.col("n")
     fits = fits | ((F.col("n") < length) & (F.col("pos") == 0)) if shorter else fits
-    got = table.withColumn("_v", value).withColumn("_sum", F.when(fits, F.sum("_v").over(ahead)))
+    if length > HALO:
+        raise ValueError(f"windows ahead reach {HALO} residues at most")
+    got = own(table.withColumn("_v", value).withColumn("_sum", F.when(fits, F.sum("_v").over(ahead))))
     best = F.max(F.when(F.col("_sum").isNotNull(), F.struct(F.col("_sum"), (-F.col("pos")).alias("back"))))
     got = got.groupBy("acc", "n").agg(best.alias("best"))
     first = -F.col("best.back")
@@ -147,19 +171,42 @@ def best_window(table: DataFrame, value: Column, length: int, shorter: bool) ->
 
 
 def best_subarray(table: DataFrame, value: Column) -> DataFrame:
-    """acc, best: the greatest sum over any stretch: prefix sums less their least so far."""
+    """acc, best: the greatest sum over any stretch: prefix sums less their least so far.
+
+    Of each chunk the total, the best beginning, end and stretch; those of a sequence's chunks are combined in order.
+    """
     running = by_position().rowsBetween(Window.unboundedPreceding, 0)
-    got = table.withColumn("_sum", F.sum(value).over(running))
+    got = own(table).withColumn("_sum", F.sum(value).over(running))
     before = F.least(F.coalesce(F.min("_sum").over(by_position().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.lit(0))
-    return got.withColumn("_best", F.col("_sum") - before).groupBy("acc").agg(F.max("_best").alias("best"))
+    got = got.withColumn("_before", before).groupBy("acc", "_from").agg(F.max_by("_sum", "pos").alias("total"), F.max("_sum").alias("head"), F.min("_before").alias("_low"), F.max(F.col("_sum") - F.col("_before")).alias("best"))
+    parts = F.array_sort(F.collect_list(F.struct("_from", "total", "head", (F.col("total") - F.col("_low")).alias("tail"), "best")))
+
+    def joined(x: Column, y: Column) -> Column:
+        return F.struct(
+            y["_from"].alias("_from"), (x["total"] + y["total"]).alias("total"), F.greatest(x["head"], x["total"] + y["head"]).alias("head"),
+            F.greatest(y["tail"], x["tail"] + y["total"]).alias("tail"), F.greatest(x["best"], y["best"], x["tail"] + y["head"]).alias("best"),
+        )
+
+    got = got.groupBy("acc").agg(parts.alias("parts"))
+    return got.select("acc", F.aggregate(F.slice("parts", F.lit(2), F.size("parts")), F.col("parts")[0], joined)["best"].alias("best"))
 
 
 def runs(table: DataFrame, state: Column) -> DataFrame:
-    """acc, n, first, last (excluded), size: maximal stretches where ``state`` holds."""
-    got = table.withColumn("_in", F.coalesce(state, F.lit(False)))
+    """acc, n, first, last (excluded), size: maximal stretches where ``state`` holds.
+
+    Stretches are found within chunks; those that touch a border between two, two a chunk at most, are joined to their neighbours.
+    """
+    got = own(table.withColumn("_in", F.coalesce(state, F.lit(False))))
     start = F.col("_in") & ~F.coalesce(F.lag("_in").over(by_position()), F.lit(False))
     got = got.withColumn("_run", F.sum(start.cast("long")).over(by_position().rowsBetween(Window.unboundedPreceding, 0))).where("_in")
-    return got.groupBy("acc", "n", "_run").agg(F.min("pos").cast("long").alias("first"), (F.max("pos") + 1).cast("long").alias("last")).drop("_run").withColumn("size", F.col("last") - F.col("first"))
+    got = got.groupBy("acc", "n", "_from", "_to", "_run").agg(F.min("pos").cast("long").alias("first"), (F.max("pos") + 1).cast("long").alias("last"))
+    open_ = ((F.col("first") == F.col("_from")) & (F.col("_from") > 0)) | ((F.col("last") == F.col("_to")) & (F.col("_to") < F.col("n")))
+    got = got.select("acc", "n", "first", "last", open_.alias("_open"))
+    order = Window.partitionBy("acc").orderBy("first")
+    new = F.coalesce(F.lag("last").over(order) != F.col("first"), F.lit(True)).cast("long")
+    met = got.where("_open").withColumn("_new", new).withColumn("_group", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    met = met.groupBy("acc", "n", "_group").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_group")
+    return got.where("not _open").drop("_open").unionByName(met).withColumn("size", F.col("last") - F.col("first"))
 
 
 def fold_index(table: DataFrame) -> DataFrame:
@@ -185,25 +232,30 @@ def disordered_runs(table: DataFrame, least: int = 5) -> DataFrame:
 
 
 def core_domains(table: DataFrame, state: Column, value: Column, length: int = CORE) -> DataFrame:
-    """acc, core, core_first, domain, domain_first, domain_last: the best window inside stretches of ``state``, and its stretch's sum."""
+    """acc, core, core_first, domain, domain_first, domain_last: the best window inside stretches of ``state``, and its stretch's sum.
+
+    The best window is sought in the chunks; then only its own stretch is summed, and no stretch is numbered.
+    """
+    whole = runs(table, state)
     ahead = by_position().rowsBetween(0, length - 1)
     got = table.withColumn("_in", F.coalesce(state, F.lit(False))).withColumn("_v", value)
-    start = F.col("_in") & ~F.coalesce(F.lag("_in").over(by_position()), F.lit(False))
-    got = got.withColumn("_run", F.sum(start.cast("long")).over(by_position().rowsBetween(Window.unboundedPreceding, 0)))
     inside = (F.min(F.col("_in").cast("int")).over(ahead) == 1) & (F.col("pos") + length <= F.col("n"))
-    got = got.withColumn("_core", F.when(inside, F.sum("_v").over(ahead)))
-    best = got.where("_core is not null").groupBy("acc").agg(F.max(F.struct("_core", (-F.col("pos")).alias("back"), "_run")).alias("best"))
-    whole = got.where("_in").groupBy("acc", "_run").agg(F.sum("_v").alias("domain"), F.min("pos").cast("long").alias("domain_first"), (F.max("pos") + 1).cast("long").alias("domain_last"))
-    best = best.select("acc", F.col("best._core").alias("core"), (-F.col("best.back")).cast("long").alias("core_first"), F.col("best._run").alias("_run"))
-    return best.join(whole, ["acc", "_run"]).drop("_run")
+    got = own(got.withColumn("_core", F.when(inside, F.sum("_v").over(ahead))))
+    best = got.where("_core is not null").groupBy("acc").agg(F.max(F.struct("_core", (-F.col("pos")).alias("back"))).alias("best"))
+    best = best.select("acc", F.col("best._core").alias("core"), (-F.col("best.back")).cast("long").alias("core_first"))
+    domain = best.join(whole.select("acc", F.col("first").alias("domain_first"), F.col("last").alias("domain_last")), "acc").where("core_first >= domain_first and core_first < domain_last")
+    sums = got.join(domain.select("acc", "domain_first", "domain_last"), "acc").where("pos >= domain_first and pos < domain_last").groupBy("acc").agg(F.sum("_v").alias("domain"))
+    return domain.join(sums, "acc").select("acc", "core", "core_first", "domain", "domain_first", "domain_last")
 
 
 def top_neighbourhood(table: DataFrame, value: str, top: int = 60, spread: int = 5) -> DataFrame:
     """acc, top_mean: the mean over the ``top`` best residues (and ties with the last) and all within ``spread`` of them."""
-    ranked = table.withColumn("_rank", F.row_number().over(Window.partitionBy("acc").orderBy(F.desc(value), "pos")))
+    # The best of each chunk, then the best of these.
+    best = own(table).withColumn("_rank", F.row_number().over(Window.partitionBy("acc", "_from").orderBy(F.desc(value), "pos"))).where(F.col("_rank") <= top)
+    ranked = best.withColumn("_rank", F.row_number().over(Window.partitionBy("acc").orderBy(F.desc(value), "pos")))
     cut = ranked.where(F.col("_rank") == F.least(F.lit(top), F.col("n"))).select("acc", F.col(value).alias("_cut"))
     got = table.join(cut, "acc").withColumn("_near", F.max((F.col(value) >= F.col("_cut")).cast("int")).over(around(spread)))
-    return got.where("_near = 1").groupBy("acc").agg(F.avg(value).alias("top_mean"), F.count("*").alias("n_near"))
+    return own(got).where("_near = 1").groupBy("acc").agg(F.avg(value).alias("top_mean"), F.count("*").alias("n_near"))
 
 
 def spread_average(table: DataFrame, value: str, widths: tuple[int, ...] = (20, 40, 60)) -> DataFrame:
@@ -213,7 +265,7 @@ def spread_average(table: DataFrame, value: str, widths: tuple[int, ...] = (20,
         fits = (F.col("pos") >= w // 2) & (F.col("pos") + (w - w // 2) <= F.col("n"))
         out = out.withColumn("_m", F.when(fits, F.avg(value).over(by_position().rowsBetween(-(w // 2), w - w // 2 - 1))))
         # Backwards, as a frame up to the end would be summed anew for every row.
-        behind = F.last("_m", ignorenulls=True).over(Window.partitionBy("acc").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0))
+        behind = F.last("_m", ignorenulls=True).over(Window.partitionBy("acc", "_from").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0))
         before = F.last("_m", ignorenulls=True).over(by_position().rowsBetween(Window.unboundedPreceding, 0))
         out = out.withColumn(f"avg_{w}", F.coalesce("_m", before, behind)).drop("_m")
     return out
@@ -222,7 +274,7 @@ def spread_average(table: DataFrame, value: str, widths: tuple[int, ...] = (20,
 def letter_counts(table: DataFrame, k: int = 1) -> DataFrame:
     """gram, count over all proteins for words of ``k`` neighbouring residues."""
     gram = F.concat(F.col("aa"), *[F.lead("aa", j).over(by_position()) for j in range(1, k)])
-    return table.select(gram.alias("gram")).where("gram is not null").groupBy("gram").agg(F.count("*").alias("count"))
+    return own(table.withColumn("gram", gram)).where("gram is not null").groupBy("gram").agg(F.count("*").alias("count"))
 
 
 def background(table: DataFrame, alpha: float) -> DataFrame:
@@ -230,7 +282,7 @@ def background(table: DataFrame, alpha: float) -> DataFrame:
     from peptora.functions.tables import YEAST
 
     reference = F.get(F.array(*[F.lit(f / sum(YEAST)) for f in YEAST]), F.instr(F.lit(RESIDUES), F.col("aa")) - 1)
-    got = table.groupBy("aa").agg(F.count("*").alias("count"))
+    got = own(table).groupBy("aa").agg(F.count("*").alias("count"))
     total = got.agg(F.sum("count").alias("total"))  # one row of twenty
     return got.join(total).select("aa", "count", (alpha * reference + (1 - alpha) * F.col("count").cast("double") / F.col("total")).alias("frequency"))
 
@@ -275,4 +327,4 @@ def prion_propensity_peak(table: DataFrame, window: int = 41) -> DataFrame:
     got = got.withColumn("_papa2", sliding_average(got, "_papa", window, weighted=True)).withColumn("_fi2", sliding_average(got, "fi", FOLD_WINDOW, weighted=True))
     fits = (F.col("pos") >= h) & (F.col("pos") < F.col("n") - h) & (F.col("_fi2") < 0)
     best = F.max(F.when(fits, F.struct("_papa2", (-F.col("pos")).alias("back"))))
-    return got.groupBy("acc").agg(best.alias("b")).select("acc", F.col("b._papa2").alias("papa"), (-F.col("b.back")).cast("long").alias("at"))
+    return own(got).groupBy("acc").agg(best.alias("b")).select("acc", F.col("b._papa2").alias("papa"), (-F.col("b.back")).cast("long").alias("at"))

@@ -45,13 +45,13 @@ D = "::DOUBLE"
 WITH {RES} SELECT acc, round(max(m), 6) AS high, round(min(m), 6) AS low, round(avg(m), 6) AS mean FROM (SELECT acc, {over(3, "sum(hydro)")}{D} / w AS m FROM v_w) GROUP BY acc""")
 def window_mean(spark: SparkSession, d: str) -> DataFrame:
     m = F.sum(R.valued(HYDROPATHY10)).over(R.around(3)).cast("double") / R.width(3)
-    return residue_table(spark, d).select("acc", m.alias("m")).groupBy("acc").agg(r6(F.max("m")).alias("high"), r6(F.min("m")).alias("low"), r6(F.avg("m")).alias("mean"))
+    return R.own(residue_table(spark, d).withColumn("m", m)).groupBy("acc").agg(r6(F.max("m")).alias("high"), r6(F.min("m")).alias("low"), r6(F.avg("m")).alias("mean"))
 
 
 @query("e02_residue_score", f"WITH {RES} SELECT acc, round(max(score), 6) AS high, round(min(score), 6) AS low, arg_max(pos, (score, -pos)) AS high_at FROM v_w GROUP BY acc")
 def residue_score(spark: SparkSession, d: str) -> DataFrame:
     at = F.max_by("pos", F.struct("score", -F.col("pos"))).cast("long")
-    return R.residue_scores(residue_table(spark, d)).groupBy("acc").agg(r6(F.max("score")).alias("high"), r6(F.min("score")).alias("low"), at.alias("high_at"))
+    return R.own(R.residue_scores(residue_table(spark, d))).groupBy("acc").agg(r6(F.max("score")).alias("high"), r6(F.min("score")).alias("low"), at.alias("high_at"))
 
 
 def _score_sql(route: str) -> str:
@@ -82,8 +82,8 @@ def profile(spark: SparkSession, d: str) -> DataFrame:
 
 @query("e05_radii", f"WITH {RES} SELECT acc, " + ", ".join(f"round(avg(m{r}), 6) AS mean{r}, round(max(m{r}), 6) AS high{r}" for r in (3, 7, 13, 25)) + " FROM (SELECT acc, " + ", ".join(f"{over(r, 'sum(granule)')}{D} / (least(pos, {r}) + least(n - 1 - pos, {r}) + 1) AS m{r}" for r in (3, 7, 13, 25)) + " FROM v_res) GROUP BY acc")
 def radii(spark: SparkSession, d: str) -> DataFrame:
-    means = [(F.sum(R.valued(granule10000())).over(R.around(r)).cast("double") / R.width(r)).alias(f"m{r}") for r in (3, 7, 13, 25)]
-    got = residue_table(spark, d).select("acc", *means)
+    means = {f"m{r}": F.sum(R.valued(granule10000())).over(R.around(r)).cast("double") / R.width(r) for r in (3, 7, 13, 25)}
+    got = R.own(residue_table(spark, d).withColumns(means))
     return got.groupBy("acc").agg(*[f for r in (3, 7, 13, 25) for f in (r6(F.avg(f"m{r}")).alias(f"mean{r}"), r6(F.max(f"m{r}")).alias(f"high{r}"))])
 
 
@@ -97,7 +97,7 @@ WITH {RES}, s AS (SELECT acc, n, pos, {over(20, "sum(k * granule)")}{D} / {over(
 SELECT acc, round(avg(m), 4) AS mean, round(max(m), 4) AS high, count(*) FILTER (WHERE pos >= 20 AND pos < n - 20) AS inner_size FROM s GROUP BY acc""")
 def sliding_average(spark: SparkSession, d: str) -> DataFrame:
     got = residue_table(spark, d).withColumn("v", R.valued(granule10000()))
-    got = got.select("acc", R.sliding_average(got, "v", 41, weighted=True).alias("m"), R.sliding_average(got, "v", 41, weighted=True, shrink=False).alias("inner"))
+    got = R.own(got.withColumns({"m": R.sliding_average(got, "v", 41, weighted=True), "inner": R.sliding_average(got, "v", 41, weighted=True, shrink=False)}))
     return got.groupBy("acc").agg(F.round(F.avg("m"), 4).alias("mean"), F.round(F.max("m"), 4).alias("high"), F.count("inner").alias("inner_size"))
 
 
@@ -108,7 +108,7 @@ def prolines(spark: SparkSession, d: str) -> DataFrame:
     got = residue_table(spark, d).withColumn("v", R.valued(granule10000()))
     got = got.withColumn("once", R.proline_once(F.col("v")))
     m = R.sliding_average(got, "v", 41, numerator=F.col("once"))
-    return got.select("acc", m.alias("m")).groupBy("acc").agg(F.round(F.avg("m"), 4).alias("mean"), F.round(F.max("m"), 4).alias("high"))
+    return R.own(got.withColumn("m", m)).groupBy("acc").agg(F.round(F.avg("m"), 4).alias("mean"), F.round(F.max("m"), 4).alias("high"))
 
 
 @query("e09_best_window", f"""
@@ -143,7 +143,7 @@ v_fi AS (SELECT *, 2.785{D} * ({over(20, "sum(hydro)")}{D} / {W41} / 90.0{D} + 0
 WITH {FOLD} SELECT acc, round(min(fi), 6) AS low, round(avg(fi), 6) AS mean, count(*) FILTER (WHERE fi < 0) AS negative,
   round(2.785{D} * (sum(hydro){D} / n / 90.0{D} + 0.5{D}) - abs(sum(charge){D} / n) - 1.151{D}, 6) AS whole FROM v_fi GROUP BY acc, n""")
 def fold_index(spark: SparkSession, d: str) -> DataFrame:
-    got = R.fold_index(residue_table(spark, d)).withColumn("h", R.valued(HYDROPATHY10)).withColumn("q", R.valued({"K": 1, "R": 1, "D": -1, "E": -1}))
+    got = R.own(R.fold_index(residue_table(spark, d))).withColumn("h", R.valued(HYDROPATHY10)).withColumn("q", R.valued({"K": 1, "R": 1, "D": -1, "E": -1}))
     whole = 2.785 * (F.sum("h").cast("double") / F.first("n") / 90.0 + 0.5) - F.abs(F.sum("q").cast("double") / F.first("n")) - 1.151
     return got.groupBy("acc").agg(r6(F.min("fi")).alias("low"), r6(F.avg("fi")).alias("mean"), F.count_if(F.col("fi") < 0).alias("negative"), r6(whole).alias("whole"))
 
@@ -242,7 +242,7 @@ def _spread_sql(w: int) -> str:
 # What fills the ends is one of the means, so the greatest is that of the means which fit.
 @query("e21_spread_average", f"WITH {RES}, {', '.join(_spread_sql(w) for w in (20, 40, 60))} SELECT acc, high_20, high_40, high_60 FROM a20 JOIN a40 USING (acc) JOIN a60 USING (acc)")
 def spread_average(spark: SparkSession, d: str) -> DataFrame:
-    got = R.spread_average(R.residue_scores(residue_table(spark, d)), "score")
+    got = R.own(R.spread_average(R.residue_scores(residue_table(spark, d)), "score"))
     return got.groupBy("acc").agg(*[F.round(F.max(f"avg_{w}"), 9).alias(f"high_{w}") for w in (20, 40, 60)])
 
 
@@ -312,7 +312,7 @@ def strength(spark: SparkSession, d: str) -> DataFrame:
 
 @query("d08_state_share", f"WITH {FOLD} SELECT acc, round(avg((fi < 0)::INT), 6) AS share, round(avg(-fi), 6) AS mean, round(max(-fi), 6) AS high FROM v_fi GROUP BY acc")
 def state_share(spark: SparkSession, d: str) -> DataFrame:
-    got = R.fold_index(residue_table(spark, d)).select("acc", F.when(F.col("fi") < 0, "D").otherwise("O").alias("state"), (-F.col("fi")).alias("score"))
+    got = R.own(R.fold_index(residue_table(spark, d))).select("acc", F.when(F.col("fi") < 0, "D").otherwise("O").alias("state"), (-F.col("fi")).alias("score"))
     return R.state_share(got).select("acc", r6("share").alias("share"), r6("mean").alias("mean"), r6("high").alias("high"))
 
 
@@ -321,7 +321,7 @@ WITH {PROFILE}, s AS (SELECT acc, avg(score) AS single FROM v_w GROUP BY acc)
 SELECT acc, round(min(v), 6) AS low, round(max(v), 6) AS high, round(avg(v), 6) AS mean FROM (SELECT acc, value + (single - avg(value) OVER (PARTITION BY acc)) AS v FROM v_prof JOIN s USING (acc)) GROUP BY acc""")
 def aligned_profile(spark: SparkSession, d: str) -> DataFrame:
     t = residue_table(spark, d)
-    got = R.aligned_profile(R.profile(t), R.residue_scores(t).groupBy("acc").agg(F.avg("score").alias("single")))
+    got = R.aligned_profile(R.profile(t), R.own(R.residue_scores(t)).groupBy("acc").agg(F.avg("score").alias("single")))
     return got.groupBy("acc").agg(r6(F.min("value")).alias("low"), r6(F.max("value")).alias("high"), r6(F.avg("value")).alias("mean"))
 
 

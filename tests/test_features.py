@@ -97,6 +97,33 @@ def test_one_sequence_an_accession(spark):
     assert R.protein_scores(table(spark, [("A", "ACDE" * 9), ("A", "ACDE" * 9), (None, "ACDE")])).count() == 3
 
 
+def test_chunks_of_a_sequence_give_what_it_gives_whole(spark):
+    """Chunks of 150 residues with halos: windows, runs, cores and stretches over their borders are as in the whole sequence."""
+    rng = random.Random(12)
+    seqs = [(f"P{n}", "".join(rng.choice(rng.choice(["DEKR", "AILV", "ACDEFGHIKLMNPQRSTVWYX"])) for _ in range(n))) for n in (1, 149, 150, 151, 300, 1000)] + [("long", "DDDDDDDK" * 200), ("é", "É" + "KD" * 300)]
+    df = table(spark, seqs)
+    charge = R.valued({"K": 1, "R": 1, "D": -1, "E": -1})
+    what = {
+        "score": lambda t: R.own(R.residue_scores(t)).select("acc", "pos", "score"),
+        "profile": R.profile,
+        "fold": lambda t: R.own(R.fold_index(t)).select("acc", "pos", "fi"),
+        "best": lambda t: R.best_window(t, charge, 60, shorter=True),
+        "stretch": lambda t: R.best_subarray(t, charge),
+        "runs": lambda t: R.runs(t, F.col("aa").isin("D", "E", "K", "R")),
+        "disordered": R.disordered_runs,
+        "core": lambda t: R.core_domains(R.fold_index(t), F.col("fi") < 0, -R.valued(HYDROPATHY10), 20),
+        "peak": R.prion_propensity_peak,
+        "near": lambda t: R.top_neighbourhood(R.residue_scores(t), "score"),
+        "spread": lambda t: R.own(R.spread_average(R.residue_scores(t), "score")).select("acc", "pos", "avg_20", "avg_60"),
+        "grams": lambda t: R.letter_counts(t, 3),
+        "exposure": R.exposure,
+    }
+    close = lambda r: tuple(round(x, 9) if isinstance(x, float) else x for x in r)
+    for name, f in what.items():
+        whole, parts = (sorted((close(r) for r in f(R.residues(df, chunk=c)).collect()), key=str) for c in (None, 150))
+        assert parts == whole and whole, name
+
+
 def test_best_windows(spark):
     got = {r["acc"]: r for r in R.best_window(R.residues(table(spark, PROTEINS)), F.col("aa").isin("N", "Q").cast("long"), 8, shorter=False).collect()}
     for acc, seq in PROTEINS:
