@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from peptora.llm.common import bitmap, bound_batches, discard, marked, materialise, ranked, table
 
 #: Bytes of text that a task takes at once; longer texts are cut between two pieces.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Candidates of one trie: bounds what is broadcast and what the driver holds.
 SHARD = 1 << 19
 #: A word's number is spelled in digits of so many bits, so that no state has more than 64 children.
