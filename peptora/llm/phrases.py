@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from peptora.llm.common import bitmap, bound_batches, discard, marked, materialise, ranked, table
 
 #: Bytes of text that a task takes at once; longer texts are cut between two pieces.
-CHUNK = 8 << 20
+CHUNK = 16 << 20
 #: Candidates of one trie: bounds what is broadcast and what the driver holds.
 SHARD = 1 << 19
 #: A word's number is spelled in digits of so many bits, so that no state has more than 64 children.
@@ -72,13 +72,13 @@ class Words:
         first[1:] &= ~inside[:-1]
         starts = np.flatnonzero(first)
         # Without what stands between them, words lie end to end, as Arrow wants them.
-        at = np.cumsum(inside)
+        at = np.cumsum(inside, dtype=np.int32)
         flat = bytes_[inside]
         ends = np.append(at[starts] - 1, len(flat)).astype(np.int64)
         words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(flat)]).dictionary_encode()
         self.number = words.indices.to_numpy().astype(np.int64)
         self.dictionary = words.dictionary
-        piece = np.cumsum(kind == 2)[starts]
+        piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
         self.joined = piece[1:] == piece[:-1]
 
     def keys(self, lang: str) -> np.ndarray:
