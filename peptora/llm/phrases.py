@@ -27,6 +27,8 @@ from peptora.llm.common import bitmap, bound_batches, discard, marked, materiali
 
 #: Bytes of text that a task takes at once; longer texts are cut between two pieces.
 CHUNK = 16 << 20
+#: Rows that a task hands over at once.
+BATCH = 100_000
 #: Candidates of one trie: bounds what is broadcast and what the driver holds.
 SHARD = 1 << 19
 #: A word's number is spelled in digits of so many bits, so that no state has more than 64 children.
@@ -98,8 +100,9 @@ def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _over(docs: DataFrame, each: Callable[[str, Words], dict[str, pa.Array]], schema: str, most: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, bodies in chunks(batches, most):
-            if out := each(lang, Words(bodies)):
-                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+            out = each(lang, Words(bodies))
+            for k in range(0, len(out["f"]) if out else 0, BATCH):
+                yield pa.RecordBatch.from_arrays([c.slice(k, BATCH) for c in out.values()], list(out))
 
     return docs.mapInArrow(run, schema)
 
@@ -138,7 +141,10 @@ def _rows(lang: np.uint64, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.nd
 
 
 def pair_keys(texts: DataFrame, frequent: np.ndarray, least: int, most: int = CHUNK) -> DataFrame:
-    """ab, lc, f of pairs of frequent words by their keys, where f is ``least`` at least. Colliding pairs are one."""
+    """ab, lc, f of pairs of frequent words by their keys, where f is ``least`` at least. Colliding pairs are one.
+
+    Tasks have added up by chunks already, so rows are dealt out as they are and no map of all of a task's pairs is held.
+    """
     bits = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def each(lang: str, words: Words) -> dict[str, pa.Array]:
@@ -150,7 +156,7 @@ def pair_keys(texts: DataFrame, frequent: np.ndarray, least: int, most: int = CH
         a, b = key[pair // n] if len(pair) else key[:0], key[pair % n] if len(pair) else key[:0]
         return _rows(code, a, b, np.zeros_like(a), f)
 
-    return _over(texts, each, "ab long, lc long, f long", most).groupBy("ab", "lc").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return _over(texts, each, "ab long, lc long, f long", most).repartition("ab", "lc").groupBy("ab", "lc").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def triple_keys(texts: DataFrame, frequent: np.ndarray, pairs: np.ndarray, least: int, most: int = CHUNK) -> DataFrame:
@@ -173,7 +179,7 @@ def triple_keys(texts: DataFrame, frequent: np.ndarray, pairs: np.ndarray, least
         left, right = pair[triple // len(pair)], pair[triple % len(pair)]
         return _rows(code, key[left // n], key[right // n], key[right % n], f)
 
-    return _over(texts, each, "ab long, lc long, f long", most).groupBy("ab", "lc").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return _over(texts, each, "ab long, lc long, f long", most).repartition("ab", "lc").groupBy("ab", "lc").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def _keyed(words: DataFrame) -> DataFrame:
