@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from peptora.llm.common import bitmap, bound_batches, discard, marked, materialise, ranked, table
 
 #: Bytes of text that a task takes at once; longer texts are cut between two pieces.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Rows that a task hands over at once.
 BATCH = 100_000
 #: Candidates of one trie: bounds what is broadcast and what the driver holds.
@@ -37,7 +37,7 @@ DIGIT = 6
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 END = re.compile(rb"[.,;:!?\x0a-\x0d]")
 #: 0 in a word, 1 between words, 2 between pieces.
-KIND = np.array([2 if END.match(bytes([b])) else int(b in b" \t") for b in range(256)], np.uint8)
+KIND = bytes(2 if END.match(bytes([b])) else int(b in b" \t") for b in range(256))
 
 Chunk = tuple[str, list[bytes]]
 
@@ -68,7 +68,7 @@ class Words:
     def __init__(self, bodies: list[bytes]):
         data = b"\n".join(bodies).translate(LOWER)
         bytes_ = np.frombuffer(data, np.uint8)
-        kind = KIND[bytes_]
+        kind = np.frombuffer(data.translate(KIND), np.uint8)
         inside = kind == 0
         first = inside.copy()
         first[1:] &= ~inside[:-1]
