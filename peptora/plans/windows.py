@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from peptora.functions.sequence import charge_metrics, is_standard
 from peptora.functions.tables import HYDROPATHY10, NORMALISATION, PROFILE_RADIUS, RESIDUES, SCALE_NAMES, SCALES100, YEAST, granule10000, prion_propensity, prion_ratio
-from peptora.operators import charge, kernels
+from peptora.operators import charge, kernels, states
 from peptora.operators import residues as R
 from peptora.plans.views import RES, SEQ, _values, residue_table, sequences
 
@@ -248,7 +248,7 @@ def spread_average(spark: SparkSession, d: str) -> DataFrame:
 
 @query("e22_hidden_states")
 def hidden_states(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.hidden_state_summary(sequences(spark, d))
+    return states.hidden_state_summary(sequences(spark, d))
 
 
 @query("c15_charge_decoration", f"""

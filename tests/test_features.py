@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from peptora.functions import sequence as S
 from peptora.functions.tables import HYDROPATHY10, prion_ratio
-from peptora.operators import checks, kernels
+from peptora.operators import checks, kernels, states
 from peptora.operators import residues as R
 from peptora.operators.charge import charge_decoration
 
@@ -172,6 +172,39 @@ def test_hidden_states_in_step_are_those_alone(monkeypatch, places):
             assert got[k] == pytest.approx(want[k], abs=1e-9)
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 50, 1 << 16])
+def test_hidden_states_by_chunks_are_those_of_the_whole(spark, chunk):
+    """Repeated and null accessions, one letter, chunks that end with the sequence or one letter after, and characters of several bytes."""
+    rng = np.random.default_rng(11)
+    seqs = ["".join(rng.choice(list("QNSGYAVLKX"), n)) + "QNQNQN" * (n % 4) for n in (1, 2, 7, 8, 9, 50, 51, 52, 150)] + ["Q", "éQNQNQNQNQNQNQNQNé" * 4, "LVKLQ" * 30]
+    rows = [(f"P{k}", s) for k, s in enumerate(seqs)] + [("P3", seqs[4]), (None, seqs[5]), ("E", ""), ("N", None)]
+    df = spark.createDataFrame(rows, "acc string, seq string").repartition(3)
+    plain = {(a, s): kernels.decode_states(s) for a, s in rows if s}
+    parts = {}
+    of = dict(rows[: len(seqs)])
+    once = spark.createDataFrame([*of.items(), ("E", ""), ("N", None)], "acc string, seq string").repartition(3)
+    for r in sorted(states.hidden_state_parts(once, chunk).collect(), key=lambda r: r["start"]):
+        path, posterior = parts.setdefault(r["acc"], ([], []))
+        assert r["start"] == len(path)
+        path += r["path"]
+        posterior += r["posterior"]
+    assert set(parts) == set(of)
+    for acc, (path, posterior) in parts.items():
+        want = plain[acc, of[acc]]
+        assert path == want[0] and posterior == pytest.approx(want[3], abs=1e-9)
+    key = lambda r: tuple((x is None, x or 0) for x in r[1:])
+    got = sorted(map(tuple, states.hidden_state_summary(df, chunk).collect()), key=lambda r: (str(r[0]), key(r)))
+    want = sorted(((a, *((plain[a, s][k] for k in (1, 2, 4, 5)) if s else (None,) * 4)) for a, s in rows), key=lambda r: (str(r[0]), key(r)))
+    assert [(r[0], r[3]) for r in got] == [(r[0], r[3]) for r in want]
+    for g, w in zip(got, want, strict=True):
+        assert (g[1] is None and w[1] is None) or [g[1], g[2], g[4]] == pytest.approx([w[1], w[2], w[4]], abs=1e-9)
+
+
+def test_hidden_states_without_rows(spark):
+    none = spark.createDataFrame([], "acc string, seq string")
+    assert states.hidden_state_summary(none).count() == 0 and states.hidden_state_parts(none).count() == 0
+
+
 def test_spread_average_fills_from_the_nearest(spark):
     df = R.residues(table(spark, [("A", "AILV" * 6)])).withColumn("v", R.valued(HYDROPATHY10).cast("double"))
     rows = R.spread_average(df, "v", (20,)).orderBy("pos").collect()
