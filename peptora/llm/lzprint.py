@@ -168,18 +168,29 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
     stands before its successor. What goes through the driver is one doc_id for each cut.
     """
     cuts = [int(c) for c in docs.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts)] if parts > 1 else []
-    cuts = sorted(set(cuts))
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    dealt = docs.select(F.size(F.filter(bounds, lambda c: c < F.col("doc_id"))).alias("run"), "doc_id", "text")
-    first = sorted((r["run"], r["doc_id"]) for r in dealt.groupBy("run").agg(F.min("doc_id").alias("doc_id")).collect())
-    before = [(doc, first[k - 1][0]) for k, (_, doc) in enumerate(first)]
-    own = F.struct("run", F.lit(0).alias("last"))
-    places = F.array(own)
-    if before:
-        copies = F.create_map(*[F.lit(x).cast(t) for pair in before for x, t in zip(pair, ("long", "int"))])
-        closing = F.struct(copies[F.col("doc_id")].alias("run"), F.lit(1).alias("last"))
-        places = F.when(F.col("doc_id").isin([doc for doc, _ in before]), F.array(own, closing)).otherwise(places)
-    dealt = dealt.withColumn("at", F.explode(places)).select(F.col("at.run").alias("run"), F.col("at.last").alias("last"), "doc_id", "text")
+    cuts = np.array(sorted(set(cuts)), np.int64)
+
+    def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, b.column(0).to_numpy())), b.column(0)], ["run", "doc_id"])
+
+    first = docs.select("doc_id").mapInArrow(runs, "run long, doc_id long").groupBy("run").agg(F.min("doc_id").alias("doc_id")).orderBy("run").collect()
+    # As many numbers as runs; a first document closes the run before.
+    closes, closed = np.array([r["doc_id"] for r in first], np.int64), np.roll(np.array([r["run"] for r in first], np.int64), 1)
+    held = docs.sparkSession.sparkContext.broadcast((cuts, closes, closed))
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, closes, closed = held.value
+        names = ["run", "last", "doc_id", "text"]
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, ids)), pa.array(np.zeros(len(ids), np.int32)), *b.columns], names)
+            at = np.minimum(np.searchsorted(closes, ids), len(closes) - 1)
+            also = np.flatnonzero(closes[at] == ids)
+            if len(also):
+                yield pa.RecordBatch.from_arrays([pa.array(closed[at[also]]), pa.array(np.ones(len(also), np.int32)), *b.take(pa.array(also)).columns], names)
+
+    dealt = docs.mapInArrow(deal, "run long, last int, doc_id long, text string").withColumn("run", F.col("run").cast("int"))
     return dealt.repartitionById(parts, F.col("run")).sortWithinPartitions("run", "last", "doc_id", "text")
 
 
@@ -193,7 +204,7 @@ def compare_neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
     Rows that repeat a doc_id follow one another by text; a single document is its own next.
     An empty table gives none.
     """
-    docs = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = in_order(docs, parts or shuffle_width(docs.sparkSession))
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
