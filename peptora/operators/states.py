@@ -31,6 +31,8 @@ from peptora.sources.shared import written
 CHUNK = 1 << 16
 #: From state (first axis) to state.
 MOVE = np.log(np.array([[HMM_STAY, HMM_ENTER], [HMM_LEAVE, HMM_KEEP]]))
+#: Against the one-state model, which all paths are compared with: sums stay small, and so do their errors.
+EMIT = kernels.emissions() - kernels.emissions()[0]
 
 
 def blocks(seq: str) -> tuple[np.ndarray, np.ndarray]:
@@ -39,7 +41,7 @@ def blocks(seq: str) -> tuple[np.ndarray, np.ndarray]:
     width = -(-len(seq) // steps)
     x = np.full(steps * width, 20)
     x[: len(seq)] = kernels.codes(seq)
-    return kernels.emissions()[:, x.reshape(width, steps).T], (np.arange(steps * width) < len(seq)).reshape(width, steps).T
+    return EMIT[:, x.reshape(width, steps).T], (np.arange(steps * width) < len(seq)).reshape(width, steps).T
 
 
 def transfers(e: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,28 +84,29 @@ def product(best: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best[:, :, 0], every[:, :, 0]
 
 
-def decode_part(seq: str, v: np.ndarray, f: np.ndarray, b: np.ndarray, state: int, total: float) -> tuple[np.ndarray, np.ndarray]:
+def decode_part(seq: str, v: np.ndarray, f: np.ndarray, b: np.ndarray, state: int) -> tuple[np.ndarray, np.ndarray]:
     """Path and prion posteriors of a stretch between two borders."""
     e, real = blocks(seq)
     at = Borders(*transfers(e, real), v, f, b, state)
     steps, width = real.shape
-    back, forward = np.zeros((steps, 2, width), np.int8), np.empty((steps, width))
+    back, forward = np.zeros((steps, 2, width), np.int8), np.empty((steps, 2, width))
     v, f = at.v, at.f
     for k, there in enumerate(real):
         came = v[:, None] + MOVE[:, :, None]
         back[k] = came[1] > came[0]
         v, f = np.where(there, came.max(axis=0) + e[:, k], v), np.where(there, np.logaddexp(*(f[:, None] + MOVE[:, :, None])) + e[:, k], f)
-        forward[k] = f[1]
+        forward[k] = f
     path, posterior = np.zeros((steps, width), np.int32), np.zeros((steps, width))
     state, after, block = at.state, at.b, np.arange(width)
     for k in range(steps - 1, -1, -1):
-        path[k], posterior[k] = state, np.exp(forward[k] + after[1] - total)
+        both = forward[k] + after
+        path[k], posterior[k] = state, np.exp(both[1] - np.logaddexp(*both))
         state = np.where(real[k], back[k][state, block], state)
         after = np.where(real[k], np.logaddexp(*(MOVE.T[:, :, None] + (e[:, k] + after)[:, None])), after)
     return path.T.ravel()[: len(seq)], posterior.T.ravel()[: len(seq)]
 
 
-BORDERS = "row long, at long, v array<double>, f array<double>, b array<double>, state long, total double, score double, viterbi_score double, first_state long, first_posterior double"
+BORDERS = "row long, at long, v array<double>, f array<double>, b array<double>, state long, score double, viterbi_score double, first_state long, first_posterior double"
 
 
 def _parts(sequences: DataFrame, chunk: int) -> DataFrame:
@@ -114,37 +117,35 @@ def _parts(sequences: DataFrame, chunk: int) -> DataFrame:
     # Of letters of one byte a part is found at once; characters must be counted from the beginning.
     part = F.when(F.octet_length("seq") == n, F.substring(F.col("seq").cast("binary"), F.col("at") + 1, F.lit(chunk)).cast("string")).otherwise(F.substring("seq", F.col("at") + 1, F.lit(chunk)))
     dealt = each.select("row", "acc", F.col("at").cast("long").alias("at"), F.substring("seq", 1, 1).alias("first"), part.alias("part"))
-    return written(dealt.repartition("row", "at"), "state-parts")
+    return written(dealt.repartition(int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row", "at"), "state-parts")
 
 
 def _matrices(parts: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, every, none = [], [], []
+            best, every = [], []
             for seq in batch.column(3).to_pylist():
                 e, real = blocks(seq)
                 b, m = product(*transfers(e, real)) if seq else (np.where(np.eye(2) > 0, 0.0, -np.inf),) * 2
                 best.append(b.ravel().tolist())
                 every.append(m.ravel().tolist())
-                none.append(float(e[0][real].sum()))
             doubles = pa.list_(pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(best, doubles), pa.array(every, doubles), pa.array(none, pa.float64())], ["row", "at", "first", "best", "every", "none"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(best, doubles), pa.array(every, doubles)], ["row", "at", "first", "best", "every"])
 
-    return parts.select("row", "at", "first", "part").mapInArrow(run, "row long, at long, first string, best array<double>, every array<double>, none double")
+    return parts.select("row", "at", "first", "part").mapInArrow(run, "row long, at long, first string, best array<double>, every array<double>")
 
 
 def _borders(rows: pd.DataFrame) -> pd.DataFrame:
     """One sequence's chunks in order."""
     rows = rows.sort_values("at")
     best, every = (np.stack([np.reshape(x, (2, 2)) for x in rows[c]], axis=2) for c in ("best", "every"))
-    e = kernels.emissions()[:, kernels.codes(rows["first"].iloc[0])][:, 0]
-    start = np.log(np.array(HMM_START)) + e
+    start = np.log(np.array(HMM_START)) + EMIT[:, kernels.codes(rows["first"].iloc[0])][:, 0]
     got = Borders(best, every, start, start, np.zeros(2))
-    total, none = float(np.logaddexp(*got.last_f)), float(e[0] + rows["none"].sum())
+    first = start + got.first_b
     return pd.DataFrame(
         {
-            "row": rows["row"].to_numpy(), "at": rows["at"].to_numpy(), "v": got.v.T.tolist(), "f": got.f.T.tolist(), "b": got.b.T.tolist(), "state": got.state, "total": total,
-            "score": total - none, "viterbi_score": float(got.last_v.max()) - none, "first_state": got.first_state, "first_posterior": float(np.exp(start[1] + got.first_b[1] - total)),
+            "row": rows["row"].to_numpy(), "at": rows["at"].to_numpy(), "v": got.v.T.tolist(), "f": got.f.T.tolist(), "b": got.b.T.tolist(), "state": got.state,
+            "score": float(np.logaddexp(*got.last_f)), "viterbi_score": float(got.last_v.max()), "first_state": got.first_state, "first_posterior": float(np.exp(first[1] - np.logaddexp(*first))),
         }
     )
 
@@ -159,7 +160,7 @@ def _bordered(sequences: DataFrame, chunk: int) -> DataFrame:
 
 def _decoded(batch: pa.RecordBatch) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
     for r in batch.to_pylist():
-        path, posterior = decode_part(r["part"], np.array(r["v"]), np.array(r["f"]), np.array(r["b"]), r["state"], r["total"]) if r["part"] else (np.zeros(0, np.int32), np.zeros(0))
+        path, posterior = decode_part(r["part"], np.array(r["v"]), np.array(r["f"]), np.array(r["b"]), r["state"]) if r["part"] else (np.zeros(0, np.int32), np.zeros(0))
         if r["at"] == 1:
             path, posterior = np.append(np.int32(r["first_state"]), path), np.append(r["first_posterior"], posterior)
         yield r, path, posterior
