@@ -119,13 +119,24 @@ def window_runs(docs: DataFrame, window: int) -> DataFrame:
     return bodies(docs.where("doc_id is not null")).mapInArrow(run, "doc_id long, content long, name long, first int, last int, h1 long, h2 long")
 
 
+def stretches(at: np.ndarray, one: np.ndarray, two: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Of windows ``at`` with hashes ``one`` and ``two``: first word, end and hashes of each stretch that equal windows cover.
+
+    A line said over and over has few windows of its own and they lie close, so it is a row for each of them, not one a place.
+    """
+    order = np.lexsort((at, two, one))
+    at, one, two = at[order], one[order], two[order]
+    start = np.concatenate([[0], np.flatnonzero((one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (np.diff(at) > window)) + 1])
+    return at[start], at[np.append(start[1:], len(at)) - 1] + window, one[start], two[start]
+
+
 def _single_windows(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
-    """doc_id, content, first, h1, h2 for each window of the given runs, hashed from the texts."""
+    """doc_id, content, first, last, h1, h2 for each stretch of equal windows of the given runs, hashed from the texts."""
     asked = runs.groupBy("doc_id").agg(F.collect_list(F.struct("content", "first", "last")).alias("runs"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, keys, first, one, two = [], [], [], [], []
+            ids, keys, found = [], [], []
             for doc, body, asked in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 body = body.as_py()
                 key = content_key(body)
@@ -134,16 +145,16 @@ def _single_windows(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
                     continue
                 at = np.unique(np.concatenate(at))
                 h = word_hashes(body.split())
-                ids.append(np.full(len(at), doc))
-                keys.append(np.full(len(at), key))
-                first.append(at)
-                one.append(Rolling(h, 0).of(at, at + window))
-                two.append(Rolling(h, 1).of(at, at + window))
+                got = stretches(at, Rolling(h, 0).of(at, at + window), Rolling(h, 1).of(at, at + window), window)
+                ids.append(np.full(len(got[0]), doc))
+                keys.append(np.full(len(got[0]), key))
+                found.append(got)
             if ids:
-                cols = [np.concatenate(x) for x in (ids, keys, first, one, two)]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(_signed(cols[3])), pa.array(_signed(cols[4]))], ["doc_id", "content", "first", "h1", "h2"])
+                first, last, one, two = (np.concatenate(x) for x in zip(*found))
+                cols = [np.concatenate(ids), np.concatenate(keys), first.astype(np.int32), last.astype(np.int32), _signed(one), _signed(two)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["doc_id", "content", "first", "last", "h1", "h2"])
 
-    return bodies(docs).join(asked, "doc_id").mapInArrow(run, "doc_id long, content long, first int, h1 long, h2 long")
+    return bodies(docs).join(asked, "doc_id").mapInArrow(run, "doc_id long, content long, first int, last int, h1 long, h2 long")
 
 
 def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -151,6 +162,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
 
     A window may occur in a large part of all documents. What is aggregated by it is written before
     it is joined back: a join of plain tables is split where a key is too large, one behind an aggregate isn't.
+    What is joined back has one row a key, so no join gives more rows than the runs or windows that it judges.
     """
     runs = materialise(window_runs(docs, window), "runs")
     common = materialise(runs.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name"), "common")
@@ -164,7 +176,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     open_ = judged.where("doc_id = least and forms > 1")
     single = materialise(_single_windows(docs, open_, window), "windows")
     least = materialise(single.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "least")
-    part = single.join(least, ["h1", "h2"]).where("doc_id > least").select("doc_id", "content", "first", (F.col("first") + window).alias("last"))
+    part = single.join(least, ["h1", "h2"]).where("doc_id > least").select("doc_id", "content", "first", "last")
     return whole.union(part)
 
 

@@ -343,6 +343,33 @@ def test_substring_removal(docs, texts, empty, window):
     assert substring.remove_repeats(empty, window).count() == 0
 
 
+@pytest.mark.parametrize("line", ["Is onhe. ", "the ", prose(5, 30) + " "])
+def test_a_line_said_over_and_over_is_a_stretch(spark, line):
+    said = [prose(50 + k, 20) + " " + line * 300 + prose(70 + k, 20) + " " + line * (40 + k) for k in range(12)]
+    texts = list(enumerate([*said, prose(90, 100), *said[:2]]))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    want = naive_removal(texts, 50)
+    for r in substring.remove_repeats(docs).collect():
+        assert (r["n_words"], sum(x["last"] - x["first"] for x in r["removed"]), r["kept"]) == want[r["doc_id"]]
+    places = sum(max(0, n - 49) for n, _, _ in want.values())
+    assert substring.repeated_spans(docs).count() < places / 4
+
+
+def test_stretches_cover_the_places_of_their_windows():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        at = np.unique(rng.integers(0, 300, rng.integers(1, 120)))
+        one, two = rng.integers(0, 3, (2, len(at))).astype(np.uint64)
+        window = int(rng.integers(1, 30))
+        want, got = {}, {}
+        for a, x, y in zip(at, one, two):
+            want.setdefault((x, y), set()).update(range(a, a + window))
+        for first, last, x, y in zip(*substring.stretches(at, one, two, window)):
+            assert not got.setdefault((x, y), set()) & set(range(first, last))
+            got[x, y].update(range(first, last))
+        assert got == want
+
+
 # URL rules
 
 
