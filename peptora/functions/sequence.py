@@ -13,7 +13,7 @@ from peptora.functions.tables import HYDROPATHY10, RESIDUES
 
 def letters(text: Column) -> Column:
     """A text's ASCII letters in upper case; others go first, as upper-casing may change their number."""
-    return F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]", ""))
+    return F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]+", ""))
 
 
 def normalised(sequence: Column) -> Column:

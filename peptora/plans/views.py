@@ -14,11 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """acc, raw (all letters), seq (those of the 20 residues), organism, source, doc_id."""
-    raw = letters(F.col("text"))
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("acc"), raw.alias("raw"), F.regexp_replace(raw, f"[^{RESIDUES}]", "").alias("seq"), F.col("lang").alias("organism"), "source", "doc_id")
-    return docs.where("seq != ''")
+def sequences(spark: SparkSession, sf_dir: str, bound: bool = False) -> DataFrame:
+    """acc, raw (all letters), seq (those of the 20 residues), organism, source, doc_id; ``bound``: also _most, which no seq is longer than.
+
+    Each is one replacement over the text, and a search that ends at the first residue tells which texts have any.
+    """
+    either = RESIDUES + RESIDUES.lower()
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(f"[{either}]"))
+    more = [F.octet_length(text).alias("_most")] if bound else []
+    return docs.select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("acc"), letters(text).alias("raw"), F.upper(F.regexp_replace(text, f"[^{either}]+", "")).alias("seq"), F.col("lang").alias("organism"), "source", "doc_id", *more)
 
 
 def residue_table(spark: SparkSession, sf_dir: str) -> DataFrame:

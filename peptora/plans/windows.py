@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from peptora.functions.sequence import charge_metrics, is_standard
 from peptora.functions.tables import HYDROPATHY10, NORMALISATION, PROFILE_RADIUS, RESIDUES, SCALE_NAMES, SCALES100, YEAST, granule10000, prion_propensity, prion_ratio
-from peptora.operators import charge, kernels, states
+from peptora.operators import batches, charge, kernels, states
 from peptora.operators import residues as R
 from peptora.plans.views import RES, SEQ, _values, residue_table, sequences
 
@@ -301,7 +301,7 @@ def window_summaries(spark: SparkSession, d: str) -> DataFrame:
 
 @query("d06_profile_statistics", f"WITH {PROFILE} SELECT acc, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, " + ", ".join(f"round(quantile_cont(value, {p}), 6) AS q{round(100 * p):02d}" for p in (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)) + ", round(min(value), 6) AS low, round(max(value), 6) AS high, round(avg((value > 0)::INT), 6) AS positive, round(coalesce(avg(value) FILTER (WHERE value > 0), 0), 6) AS strength FROM v_prof GROUP BY acc")
 def profile_statistics(spark: SparkSession, d: str) -> DataFrame:
-    got = R.profile_statistics(R.profile(residue_table(spark, d)))
+    got = batches.profile_statistics(sequences(spark, d, bound=True))
     return got.select("acc", *[r6(c).alias(c) for c in got.columns if c != "acc"])
 
 
