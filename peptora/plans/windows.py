@@ -172,7 +172,7 @@ m AS (SELECT acc, n, pos, fi, {over(20, "sum(once)")} / {W41} AS x FROM o),
 t AS (SELECT acc, n, pos, {over(20, f"sum({W41K} * x)")} / {over(20, f"sum({W41K})")} AS x2, {over(20, f"sum({W41K} * fi)")} / {over(20, f"sum({W41K})")} AS fi2 FROM m)
 SELECT acc, round(max(x2) FILTER (WHERE fi2 < 0 AND pos >= 20 AND pos < n - 20), 6) AS papa FROM t GROUP BY acc""")
 def papa(spark: SparkSession, d: str) -> DataFrame:
-    return R.prion_propensity_peak(residue_table(spark, d)).select("acc", r6("papa").alias("papa"))
+    return batches.prion_propensity_peak(sequences(spark, d, bound=True)).select("acc", r6("papa").alias("papa"))
 
 
 @query("e15_longest_run", f"WITH {RES}, marked AS (SELECT acc, n, pos FROM v_res WHERE charge <> 0), {RUNS} SELECT acc, max(last - first) AS longest, count(*) AS stretches FROM runs GROUP BY acc")
