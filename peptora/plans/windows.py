@@ -187,8 +187,7 @@ b AS (SELECT acc, max(s)::BIGINT AS core, arg_max(pos, (s, -pos)) AS core_first
 SELECT b.acc, core, core_first, sum(-v.hydro)::BIGINT AS domain, first AS domain_first, last AS domain_last
 FROM b JOIN runs r ON r.acc = b.acc AND core_first >= r.first AND core_first < r.last JOIN v_res v ON v.acc = b.acc AND v.pos >= r.first AND v.pos < r.last GROUP BY ALL""")
 def core_domains(spark: SparkSession, d: str) -> DataFrame:
-    got = R.fold_index(residue_table(spark, d))
-    return R.core_domains(got, F.col("fi") < 0, -R.valued(HYDROPATHY10))
+    return batches.core_domains(sequences(spark, d, bound=True), {a: -v for a, v in HYDROPATHY10.items()})
 
 
 ENTROPY_COUNTS = ", ".join(ahead(12, f"sum(CASE WHEN aa = '{a}' THEN 1 ELSE 0 END)") + f" AS c_{a}" for a in RESIDUES)
