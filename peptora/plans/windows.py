@@ -294,7 +294,7 @@ def _summary_sql(radii: tuple[int, ...]) -> str:
 
 @query("d05_window_summaries", _summary_sql((3, 7, 13, 25)))
 def window_summaries(spark: SparkSession, d: str) -> DataFrame:
-    got = R.window_summaries(residue_table(spark, d))
+    got = batches.window_summaries(sequences(spark, d, bound=True))
     return got.select("acc", *[F.round(c, 6 if c.endswith("_sd") else 9).alias(c) for c in got.columns if c != "acc"])
 
 
