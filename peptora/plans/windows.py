@@ -238,11 +238,10 @@ def _spread_sql(w: int) -> str:
     return f"a{w} AS (SELECT acc, round(max(m), 9) AS high_{w} FROM (SELECT acc, {mean} AS m FROM v_w) GROUP BY acc)"
 
 
-# What fills the ends is one of the means, so the greatest is that of the means which fit.
 @query("e21_spread_average", f"WITH {RES}, {', '.join(_spread_sql(w) for w in (20, 40, 60))} SELECT acc, high_20, high_40, high_60 FROM a20 JOIN a40 USING (acc) JOIN a60 USING (acc)")
 def spread_average(spark: SparkSession, d: str) -> DataFrame:
-    got = R.own(R.spread_average(R.residue_scores(residue_table(spark, d)), "score"))
-    return got.groupBy("acc").agg(*[F.round(F.max(f"avg_{w}"), 9).alias(f"high_{w}") for w in (20, 40, 60)])
+    got = batches.spread_average_peaks(sequences(spark, d, bound=True))
+    return got.select("acc", *[F.round(f"high_{w}", 9).alias(f"high_{w}") for w in (20, 40, 60)])
 
 
 @query("e22_hidden_states")
