@@ -123,7 +123,7 @@ def best_window(spark: SparkSession, d: str) -> DataFrame:
 WITH {RES}, s AS (SELECT acc, n, pos, {ahead(60, "sum(prion)")} AS s FROM v_res)
 SELECT acc, n, round(max(s) FILTER (WHERE pos + 60 <= n), 6) AS llr, round(max(s) FILTER (WHERE pos + 60 <= n) / 60.0, 6) AS nllr FROM s GROUP BY acc, n""")
 def prion_like(spark: SparkSession, d: str) -> DataFrame:
-    got = R.best_window(residue_table(spark, d), R.valued(prion_ratio()), 60, shorter=False)
+    got = batches.best_window(sequences(spark, d, bound=True), prion_ratio(), 60, shorter=False)
     return got.select("acc", "n", r6("best").alias("llr"), r6(F.col("best") / 60.0).alias("nllr"))
 
 
