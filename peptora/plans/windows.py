@@ -115,8 +115,7 @@ def prolines(spark: SparkSession, d: str) -> DataFrame:
 WITH {RES}, s AS (SELECT acc, n, pos, {ahead(80, "sum(CASE WHEN aa IN ('N', 'Q') THEN 1 ELSE 0 END)")} AS s FROM v_res)
 SELECT acc, max(s)::BIGINT AS best, arg_max(pos, (s, -pos)) AS first, least(arg_max(pos, (s, -pos)) + 80, n) AS last FROM s WHERE pos + 80 <= n OR (n < 80 AND pos = 0) GROUP BY acc, n""")
 def best_window(spark: SparkSession, d: str) -> DataFrame:
-    got = R.best_window(residue_table(spark, d), F.col("aa").isin("N", "Q").cast("long"), 80, shorter=True)
-    return got.select("acc", "best", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
+    return batches.best_window(sequences(spark, d, bound=True), {"N": 1, "Q": 1}, 80, shorter=True).select("acc", "best", "first", "last")
 
 
 @query("e10_prion_like", f"""
