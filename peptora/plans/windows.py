@@ -176,7 +176,7 @@ def papa(spark: SparkSession, d: str) -> DataFrame:
 
 @query("e15_longest_run", f"WITH {RES}, marked AS (SELECT acc, n, pos FROM v_res WHERE charge <> 0), {RUNS} SELECT acc, max(last - first) AS longest, count(*) AS stretches FROM runs GROUP BY acc")
 def longest_run(spark: SparkSession, d: str) -> DataFrame:
-    return R.runs(residue_table(spark, d), F.col("aa").isin("D", "E", "K", "R")).groupBy("acc").agg(F.max("size").alias("longest"), F.count("*").alias("stretches"))
+    return batches.run_summary(sequences(spark, d, bound=True), "DEKR")
 
 
 @query("e16_core_domains", f"""
