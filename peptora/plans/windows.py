@@ -229,7 +229,7 @@ WITH {RES}, cut AS (SELECT acc, score AS cut FROM (SELECT acc, n, score, row_num
 near AS (SELECT acc, score, {over(5, "max(CASE WHEN score >= cut THEN 1 ELSE 0 END)")} AS near FROM v_w JOIN cut USING (acc))
 SELECT acc, round(avg(score), 6) AS top_mean, count(*) AS n_near FROM near WHERE near = 1 GROUP BY acc""")
 def top_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_neighbourhood(R.residue_scores(residue_table(spark, d)), "score").withColumn("top_mean", r6("top_mean"))
+    return batches.top_neighbourhood(sequences(spark, d, bound=True)).withColumn("top_mean", r6("top_mean"))
 
 
 def _spread_sql(w: int) -> str:
