@@ -157,8 +157,7 @@ dis AS (SELECT acc, n, first, last FROM (
 
 @query("e13_disordered_runs", f"WITH {DISORDER} SELECT acc, count(*) AS stretches, sum(last - first)::BIGINT AS residues, max(last - first) AS longest, min(first) AS first FROM dis GROUP BY acc")
 def disordered_runs(spark: SparkSession, d: str) -> DataFrame:
-    size = F.col("last") - F.col("first")
-    return R.disordered_runs(residue_table(spark, d)).groupBy("acc").agg(F.count("*").alias("stretches"), F.sum(size).alias("residues"), F.max(size).alias("longest"), F.min("first").alias("first"))
+    return batches.disorder_summary(sequences(spark, d, bound=True))
 
 
 W41K = "(1 + least(pos, least(20, n - 1)) + least(n - 1 - pos, least(20, n - 1)))"
