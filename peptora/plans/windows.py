@@ -316,9 +316,7 @@ def state_share(spark: SparkSession, d: str) -> DataFrame:
 WITH {PROFILE}, s AS (SELECT acc, avg(score) AS single FROM v_w GROUP BY acc)
 SELECT acc, round(min(v), 6) AS low, round(max(v), 6) AS high, round(avg(v), 6) AS mean FROM (SELECT acc, value + (single - avg(value) OVER (PARTITION BY acc)) AS v FROM v_prof JOIN s USING (acc)) GROUP BY acc""")
 def aligned_profile(spark: SparkSession, d: str) -> DataFrame:
-    t = residue_table(spark, d)
-    got = R.aligned_profile(R.profile(t), R.own(R.residue_scores(t)).groupBy("acc").agg(F.avg("score").alias("single")))
-    return got.groupBy("acc").agg(r6(F.min("value")).alias("low"), r6(F.max("value")).alias("high"), r6(F.avg("value")).alias("mean"))
+    return batches.aligned_profile_summary(sequences(spark, d, bound=True)).select("acc", *[r6(c).alias(c) for c in ("low", "high", "mean")])
 
 
 @query("j12_batch_scores", f"""
