@@ -194,15 +194,152 @@ def merged_segments(seq: str) -> list[tuple[int, int]]:
     return out
 
 
+#: Stretches of more residues are trimmed one by one; walkers that step together.
+WALK, WALKERS = 256, 1 << 14
+LN = np.log(np.maximum(np.arange(WALK + 22), 1))
+
+
+def least_likely_of(x: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``least_likely`` of many stretches of ``n`` residues: first and last (excluded) in ``x``.
+
+    From each place of each stretch a walker takes one residue after the other. With a residue that it has met c times,
+    the arrangements and the ways to name the composition change by three logarithms.
+    """
+    count = len(first)
+    begin = (first[None, :] + np.arange(n)[:, None]).ravel()
+    counts = np.zeros((len(begin), 21), np.int16)
+    alike = np.zeros((len(begin), n + 2), np.int16)  # how many residues have been met so often
+    alike[:, 0] = 20
+    counts, alike = counts.ravel(), alike.ravel()
+    by_residue, by_count = np.arange(len(begin)) * 21, np.arange(len(begin)) * (n + 2)
+    q = np.full(len(begin), -LOG_FACTORIAL[20])
+    least, at = np.full((n + 1, count), np.inf), np.zeros((n + 1, count), np.int64)
+    total = LOG_FACTORIAL[20]
+    for length in range(1, n + 1):
+        total += LN[length] - math.log(20)
+        there = (n - length + 1) * count
+        letter = x[begin[:there] + length - 1]
+        k = by_residue[:there] + letter
+        c = counts[k]
+        counts[k] = c + 1
+        j = by_count[:there] + c
+        here, next_ = alike[j], alike[j + 1]
+        step = LN[here] - LN[next_ + 1] - LN[c + 1]
+        known = letter < 20
+        if known.all():
+            alike[j], alike[j + 1] = here - 1, next_ + 1
+        else:
+            step[~known] = 0.0
+            alike[j[known]], alike[j[known] + 1] = here[known] - 1, next_[known] + 1
+        q[:there] += step
+        if length > max(1, n - SEG_TRIM) or n == 1:
+            p = q[:there].reshape(-1, count) + total
+            at[length] = (p <= p.min(axis=0) + 1e-11).argmax(axis=0)
+            least[length] = p[at[length], np.arange(count)]
+    best, start, size = np.ones(count), np.zeros(count, np.int64), np.full(count, n)
+    for length in range(n, max(1, n - SEG_TRIM), -1):
+        better = least[length] < best - 1e-11
+        best, start, size = np.where(better, least[length], best), np.where(better, at[length], start), np.where(better, length, size)
+    return first + start, first + start + size
+
+
+def trimmed(x: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``least_likely`` of stretches of any lengths; those of one length step together."""
+    s, e = first.copy(), last.copy()
+    size = last - first
+    order = np.argsort(size, kind="stable")
+    cuts = np.flatnonzero(np.diff(size[order])) + 1
+    for own in np.split(order, cuts) if len(order) else ():
+        n = int(size[own[0]])
+        if n > WALK:
+            for k in own.tolist():
+                a, b = least_likely(x[first[k] : last[k]])
+                s[k], e[k] = first[k] + a, first[k] + b
+            continue
+        step = max(1, WALKERS // n)
+        for k in range(0, len(own), step):
+            part = own[k : k + step]
+            s[part], e[part] = least_likely_of(x, first[part], n)
+    return s, e
+
+
+def segments_of(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``segments`` of sequences that stand in ``x``: first and last (excluded), before merging, in no order.
+
+    A trigger grows within its run of windows up to SEG_HIGH bits and is sought anew behind what was found, in the run or
+    behind it, so no run has to do with another: the next trigger of every run is taken at once.
+    """
+    out_s, out_e = [], []
+    while len(start):
+        # What is searched, end to end; windows that reach over a border count as none.
+        begin = np.cumsum(size) - size
+        row = np.repeat(np.arange(len(size)), size)
+        back = (start - begin)[row]  # from a place here to that in x
+        y = x[np.arange(len(row)) + back]
+        h = np.full(len(y) + 1, np.inf)
+        if len(y) >= SEG_WINDOW:
+            w = np.arange(len(y) - SEG_WINDOW + 1)
+            h[w] = np.where(row[w] == row[w + SEG_WINDOW - 1], entropies(y), np.inf)
+        low, high = h <= SEG_LOW + 1e-9, h <= SEG_HIGH + 1e-9
+        # A run ends at its sequence's last window: the next sequence's first one stands SEG_WINDOW places behind.
+        edge = np.diff(np.concatenate([[0], high.astype(np.int8)]))
+        a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+        following = np.minimum.accumulate(np.where(low, np.arange(len(h)), len(h))[::-1])[::-1]
+        more_s, more_n = [], []
+        while len(a):
+            trigger = following[a]
+            some = trigger <= b
+            a, b, trigger = a[some], b[some], trigger[some]
+            if not len(a):
+                break
+            s, e = trimmed(y, a, b + SEG_WINDOW)
+            out_s.append(s + back[a])
+            out_e.append(e + back[a])
+            left = trigger + SEG_WINDOW - 1 < s
+            more_s.append((a + back[a])[left])
+            more_n.append((s - a)[left])
+            a = np.minimum(b, e - 1) + 1
+            some = a <= b
+            a, b = a[some], b[some]
+        start, size = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (more_s, more_n))
+    return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_s, out_e))
+
+
+def merged_segments_of(seqs: list[str]) -> list[list[list[int]]]:
+    """``merged_segments`` of many sequences at once."""
+    size = np.array(list(map(len, seqs)), np.int64)
+    start = np.cumsum(size) - size
+    s, e = segments_of(codes("".join(seqs)), start, size)
+    order = np.lexsort((e, s))
+    s, e = s[order], e[order]
+    reach = np.maximum.accumulate(e) if len(e) else e
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] >= reach[:-1]
+    begun = np.flatnonzero(new)
+    s, e = s[begun], (reach[np.append(begun[1:], len(reach)) - 1] if len(begun) else e[:0])
+    row = np.searchsorted(start, s, "right") - 1
+    found = np.stack([s - start[row], e - start[row]], axis=1).tolist() if len(s) else []
+    cuts = np.searchsorted(row, np.arange(len(seqs) + 1)).tolist()
+    return [found[cuts[k] : cuts[k + 1]] for k in range(len(seqs))]
+
+
 def exact_low_complexity(sequences: DataFrame) -> DataFrame:
     """acc, segments, covered, share: low complexity with minimum-probability trimming."""
 
-    def row(seq: str) -> tuple:
-        found = merged_segments(seq)
-        n = sum(e - s for s, e in found)
-        return [list(x) for x in found], n, n / len(seq)
-
-    return over_sequences(sequences, "segments array<array<int>>, covered long, share double", row)
+    def rows(seqs: list[str]) -> list[tuple]:
+        out, at = [], 0
+        while at < len(seqs):
+            part, letters = [], 0
+            while at < len(seqs) and (not part or letters + len(seqs[at]) <= STRETCH):
+                part.append(seqs[at])
+                letters += len(seqs[at])
+                at += 1
+            for seq, found in zip(part, merged_segments_of(part)):
+                n = sum(e - s for s, e in found)
+                out.append((found, n, n / len(seq)))
+        return out
+
+    return over_batches(sequences, "segments array<array<int>>, covered long, share double", rows)
 
 
 # The two-state model of prion-like stretches
