@@ -194,50 +194,61 @@ def merged_segments(seq: str) -> list[tuple[int, int]]:
     return out
 
 
-#: Stretches of more residues are trimmed one by one; walkers that step together.
-WALK, WALKERS = 256, 1 << 14
+#: Stretches of more residues are trimmed one by one; walkers that step together, and counts that they hold.
+WALK, WALKERS, HELD = 2048, 1 << 14, 1 << 22
 LN = np.log(np.maximum(np.arange(WALK + 22), 1))
+#: With more digits, as sums of a thousand residues pass those that are told apart.
+FACTORIAL = np.cumsum(np.log(np.maximum(np.arange(WALK + 22), 1).astype(np.longdouble)))
 
 
 def least_likely_of(x: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """``least_likely`` of many stretches of ``n`` residues: first and last (excluded) in ``x``.
 
-    From each place of each stretch a walker takes one residue after the other. With a residue that it has met c times,
-    the arrangements and the ways to name the composition change by three logarithms.
+    From each place that may be first a walker takes the residues that any stretch from there has, and then one after the
+    other. With a residue that it has met c times, the arrangements and the ways to name the composition change by three logarithms.
     """
-    count = len(first)
-    begin = (first[None, :] + np.arange(n)[:, None]).ravel()
-    counts = np.zeros((len(begin), 21), np.int16)
-    alike = np.zeros((len(begin), n + 2), np.int16)  # how many residues have been met so often
-    alike[:, 0] = 20
-    counts, alike = counts.ravel(), alike.ravel()
+    count, base = len(first), max(0, n - SEG_TRIM)
+    begin = (first[None, :] + np.arange(n - base)[:, None]).ravel()
+    kind = np.int8 if n < 120 else np.int16
+    counts, alike = np.zeros((len(begin), 21), kind), np.zeros((len(begin), n + 2), kind)
     by_residue, by_count = np.arange(len(begin)) * 21, np.arange(len(begin)) * (n + 2)
-    q = np.full(len(begin), -LOG_FACTORIAL[20])
+    before = np.zeros(1, np.longdouble)
+    if base:
+        inside = x[first[None, :] + np.arange(n)[:, None]]
+        for k in range(20):
+            upto = np.concatenate([np.zeros((1, count), np.int64), np.cumsum(inside == k, axis=0)])
+            counts[:, k] = (upto[base:n] - upto[: n - base]).ravel()
+        for k in range(20):  # how many residues have been met so often
+            alike.ravel()[by_count + counts[:, k]] += 1
+        before = FACTORIAL[20] - FACTORIAL[alike].sum(axis=1) - FACTORIAL[counts[:, :20]].sum(axis=1)
+    else:
+        alike[:, 0] = 20
+    counts, alike = counts.ravel(), alike.ravel()
+    q = np.zeros(len(begin))
     least, at = np.full((n + 1, count), np.inf), np.zeros((n + 1, count), np.int64)
-    total = LOG_FACTORIAL[20]
-    for length in range(1, n + 1):
-        total += LN[length] - math.log(20)
+    for length in range(base + 1, n + 1):
         there = (n - length + 1) * count
         letter = x[begin[:there] + length - 1]
         k = by_residue[:there] + letter
         c = counts[k]
         counts[k] = c + 1
         j = by_count[:there] + c
-        here, next_ = alike[j], alike[j + 1]
-        step = LN[here] - LN[next_ + 1] - LN[c + 1]
+        here, more = alike[j], alike[j + 1]
+        step = LN[here] - LN[more + 1] - LN[c + 1]
         known = letter < 20
         if known.all():
-            alike[j], alike[j + 1] = here - 1, next_ + 1
+            alike[j] = here - 1
+            alike[j + 1] = more + 1
         else:
             step[~known] = 0.0
-            alike[j[known]], alike[j[known] + 1] = here[known] - 1, next_[known] + 1
+            alike[j[known]] = here[known] - 1
+            alike[j[known] + 1] = more[known] + 1
         q[:there] += step
-        if length > max(1, n - SEG_TRIM) or n == 1:
-            p = q[:there].reshape(-1, count) + total
-            at[length] = (p <= p.min(axis=0) + 1e-11).argmax(axis=0)
-            least[length] = p[at[length], np.arange(count)]
+        p = (q[:there] + (before[:there] + (FACTORIAL[length] - length * np.log(np.longdouble(20)))).astype(float)).reshape(-1, count)
+        at[length] = (p <= p.min(axis=0) + 1e-11).argmax(axis=0)
+        least[length] = p[at[length], np.arange(count)]
     best, start, size = np.ones(count), np.zeros(count, np.int64), np.full(count, n)
-    for length in range(n, max(1, n - SEG_TRIM), -1):
+    for length in range(n, max(1, base), -1):
         better = least[length] < best - 1e-11
         best, start, size = np.where(better, least[length], best), np.where(better, at[length], start), np.where(better, length, size)
     return first + start, first + start + size
@@ -256,7 +267,7 @@ def trimmed(x: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndar
                 a, b = least_likely(x[first[k] : last[k]])
                 s[k], e[k] = first[k] + a, first[k] + b
             continue
-        step = max(1, WALKERS // n)
+        step = max(1, min(WALKERS, HELD // n) // min(n, SEG_TRIM))
         for k in range(0, len(own), step):
             part = own[k : k + step]
             s[part], e[part] = least_likely_of(x, first[part], n)
