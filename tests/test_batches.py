@@ -97,3 +97,8 @@ def _rows_of_generate(df):
             out.append(p.metrics().apply("numOutputRows").value())
         todo += [p.children().apply(k) for k in range(p.children().size())]
     return out
+
+
+def test_residue_rows_are_counted(made):
+    """The count above sees the rows of the residue table."""
+    assert sum(map(int, _rows_of_generate(R.residues(made.where("length(seq) = 300"))))) == 300
